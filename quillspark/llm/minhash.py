@@ -9,7 +9,8 @@ one node. Extra columns are not read. Very long texts are one slice of their own
 Plan: one Python pass makes set digests, band keys and a 256-bit sketch per text; equal sets collapse into classes by an
 aggregate; a bucket (texts with one band key in common) links each member to one pivot, so a bucket of m members makes m
 pairs; links are confirmed on full sets with array_intersect; buckets whose members are not yet in one component get another
-pivot and at last all pairs across components, so no link of a bucket is lost. Rounds end when no bucket holds two components.
+pivot and at last an equi-join on the shingles in which members differ from a pivot, which finds every link across components
+without all pairs. Rounds end when no bucket holds two components.
 """
 
 from __future__ import annotations
@@ -131,6 +132,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _by_differences(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) of two components in a bucket, from what its texts have unlike one pivot of its largest component.
+
+    Let D be the shingles in which a text differs from the pivot. A text that isn't linked with the pivot is linked with
+    another only if their D have a shingle in common: else their sets would differ by at least its own D, which is too
+    much already. So an equi-join on differing shingles finds every link, and its counts give the exact similarity.
+    """
+    size = now.groupBy("key", "root").agg(F.count("*").alias("c"), F.min("rep").alias("q"))
+    main = size.groupBy("key").agg(F.max_by(F.struct("root", "q"), F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("main"), F.col("m.q").alias("q"))
+    member = now.join(main, "key").where("rep <> q").select("q", "rep", "root", (F.col("root") == F.col("main")).alias("is_main")).distinct()
+    both = member.join(sets.select(F.col("id").alias("rep"), F.col("h").alias("hx")), "rep").join(sets.select(F.col("id").alias("q"), F.col("h").alias("hq")), "q")
+    unlike = both.select("q", "rep", "root", "is_main", F.size("hx").alias("n"), F.concat(F.array_except("hx", "hq"), F.array_except("hq", "hx")).alias("d"))
+    each = stage(unlike.select("q", "rep", "root", "is_main", "n", F.size("d").alias("nd"), F.explode("d").alias("e")), "unlike")
+    mixed = each.groupBy("q", "e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("q", "e")
+    each = each.join(mixed, ["q", "e"])
+    x, y = each.where("not is_main").alias("x"), each.alias("y")
+    once = F.col("y.is_main") | (F.col("x.rep") < F.col("y.rep"))
+    met = x.join(y, (F.col("x.q") == F.col("y.q")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.root") != F.col("y.root")) & once)
+    pair = met.groupBy("x.q", F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("c"), F.first("x.n").alias("nx"), F.first("y.n").alias("ny"), F.first("x.nd").alias("dx"), F.first("y.nd").alias("dy"))
+    apart = F.col("dx") + F.col("dy") - 2 * F.col("c")
+    total = F.col("nx") + F.col("ny")
+    return pair.where(100 * (total - apart) >= percent * (total + apart)).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivots: int = 2) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row of docs; component_id is the smallest id reachable by links."""
     spark = docs.sparkSession
@@ -162,20 +187,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
             pivot = now.groupBy("key").agg(F.min_by(F.struct(*cols), order).alias("p")).select("key", "p.*")
             met = now.alias("x").join(pivot.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & _near(percent))
-            pairs = met.where("x.root <> y.root") if turn else met
-        else:  # whatever still differs: all members of a bucket's smaller components against the others
-            size = now.groupBy("key", "root").agg(F.count("*").alias("c"))
-            main = size.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-            rest = now.join(main, "key").where("root <> main").drop("main")
-            pairs = rest.alias("x").join(now.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _near(percent))
-        pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-        new = stage(_confirmed(pairs, sets, percent).distinct(), "links")
+            pairs = (met.where("x.root <> y.root") if turn else met).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+            new = _confirmed(pairs, sets, percent)
+        else:
+            new = _by_differences(now, sets, percent)
+        new = stage(new.distinct(), "links")
         release(spark)
         if turn and new.isEmpty():
             continue
         links = new if links is None else links.union(new)
-        comp = components(links)
+        if turn < pivots:
+            comp = components(links)
     comp = components((links.union(copies)) if links is not None else copies)
     out = sigs.select("id", F.col("n").alias("n_shingles")).join(comp.withColumnRenamed("node", "id"), "id", "left")
     root = F.coalesce("root", "id")
     return out.select("id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, of smallest id in their near-duplicate group. Rows that repeat an id are one document, and
+    stay or go together; rows with a null id stay."""
+    gone = near_duplicates(docs, k, percent, id_col, text_col).where("not kept").select(F.col("id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

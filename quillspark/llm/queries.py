@@ -5,20 +5,77 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillspark.llm import secrets
+from quillspark.llm.chunks import substring_dedup
+from quillspark.llm.decontaminate import leaks
+from quillspark.llm.hnsw import embedding_links
+from quillspark.llm.licenses import license_scan
 from quillspark.llm.minhash import near_duplicates
+from quillspark.llm.mixing import mix_sources
+from quillspark.llm.quality import quality_scores
+from quillspark.llm.suffixes import suffix_dedup
+from quillspark.llm.suffixtree import suffix_tree_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(_table(spark, sf_dir, "embeddings"), 0.93).withColumnRenamed("id", "vec_id")
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document that loses a passage, with its removed spans and the documents that keep them."""
+    return substring_dedup(_table(spark, sf_dir, "documents")).where("n_spans > 0").withColumnRenamed("id", "doc_id")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and test item that it leaks."""
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85).withColumnRenamed("id", "doc_id")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(_table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] != "crf")
+    counts = [secrets.count_of(spans, k).alias(f"n_{k}") for k in secrets.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op9_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_scores(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup(_table(spark, sf_dir, "documents"), 100)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_minhash_near_dedup,)}
+    return {f.__name__: f for f in (
+        op1_embedding_near_dedup, op2_substring_dedup, op3_license_scan, op4_benchmark_decontamination, op5_minhash_near_dedup,
+        op6_secret_scan, op7_quality_classifier, op8_source_mixing, op9_suffix_tree_scoring, op10_suffix_array_dedup,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:

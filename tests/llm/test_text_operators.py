@@ -1,0 +1,310 @@
+"""Text operators against plain Python over small tables with every edge case."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from quillspark.llm import chunks, decontaminate, licenses, minhash, mixing, quality, secrets, suffixes, suffixtree
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _words(t, pattern=WORD):
+    return re.findall(pattern, (t or "").translate(LOWER))
+
+
+def _groups(links, ids):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {i: find(i) for i in ids}
+
+
+def _sets(rows, k):
+    out = {}
+    for r in rows:
+        w = _words(r[1])
+        out[r[0]] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    return out
+
+
+def test_near_duplicates_match_brute_force(docs, rows, none):
+    for k, percent in ((3, 85), (5, 80)):
+        got = minhash.near_duplicates(docs, k, percent).collect()
+        sets = _sets([r for r in rows if r[0] is not None], k)
+        links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) > 0]
+        want = _groups(links, sets)
+        assert len(got) == len(rows)
+        for r in got:
+            if r["id"] is None:
+                assert r["component_id"] is None and r["kept"]
+            else:
+                assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["id"]]), want[r["id"]], want[r["id"]] == r["id"])
+    assert minhash.near_duplicates(none).count() == 0
+    left = minhash.one_of_each(docs)
+    assert left.columns == docs.columns
+
+
+def test_bucket_without_common_pivot_loses_no_link(spark):
+    """A chain whose ends aren't linked, among many others of the same bucket."""
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join([*base[:i], *(f"x{j}" for j in range(i))]) + " " + " ".join(base[i:]) for i in range(0, 12, 2)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = _sets([(i, t) for i, t in enumerate(texts)], 3)
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = _groups(links, sets)
+    assert {r["id"]: r["component_id"] for r in minhash.near_duplicates(df, 3, 85).collect()} == want
+
+
+def test_suffix_dedup_matches_brute_force(docs, rows, none, monkeypatch):
+    def check():
+        length, seen, want = 100, {}, {}
+        for i, t in sorted({(r[0], r[1] or "") for r in rows if r[0] is not None}):
+            b = t.encode()
+            gone = np.zeros(len(b), bool)
+            for s in range(len(b) - length + 1):
+                g = b[s : s + length]
+                if seen.setdefault(g, (i, s)) != (i, s):
+                    gone[s : s + length] = True
+            runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+            want[i] = (len(b), int(gone.sum()), runs, bytes(np.frombuffer(b, np.uint8)[~gone]))
+        got = suffixes.suffix_dedup(docs, length).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            if r["id"] is not None:
+                assert (r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) == want[r["id"]]
+
+    check()
+    monkeypatch.setattr(suffixes, "SHARD_SEGMENTS", 2)  # every key over several shards
+    check()
+    assert suffixes.suffix_dedup(none).count() == 0
+
+
+def test_chunks_resist_insertions_and_find_passages(docs, rows, none):
+    data = np.random.default_rng(1).integers(97, 123, 20000).astype(np.uint8)
+    moved = np.concatenate([data[:5000], np.frombuffer(b"inserted", np.uint8), data[5000:]])
+    cut = lambda x: {bytes(x[s:e]) for s, e in zip(*chunks.cut_points(x, np.array([0, len(x)]))[:2])}
+    assert len(cut(data) & cut(moved)) > 0.95 * len(cut(data))
+    start, end, _ = chunks.cut_points(data, np.array([0, len(data)]))
+    assert start[0] == 0 and end[-1] == len(data) and (start[1:] == end[:-1]).all()
+    got = {r["id"]: r for r in chunks.substring_dedup(docs).collect()}
+    texts = {r[0]: (r[1] or "").encode() for r in rows}
+    for r in got.values():
+        for s in r["spans"]:
+            piece = texts[r["id"]][s["start"] : s["end"]]
+            assert sum(piece[:48] in t for t in texts.values()) > 1
+    sharing = sorted(i for i, r in got.items() if i is not None and 76 <= i < 80)
+    assert [got[i]["n_spans"] > 0 for i in sharing] == [False, True, True, True]
+    assert chunks.substring_dedup(none).count() == 0
+
+
+def test_license_scan_matches_brute_force(docs, rows, none):
+    got = defaultdict(list)
+    for r in licenses.license_scan(docs).collect():
+        got[r["id"]].append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    for r in rows:
+        w = _words(r[1], licenses.WORD)
+        places = [(i, label) for phrase, label in licenses.PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+        first, last = (min(p)[0], max(p)[0]) if (p := places) else (None, None)
+        x = got[r[0]][0]
+        assert (x["n_words"], x["n_base"], x["first_word"], x["last_word"], x["base_labels"]) == (len(w), len(places), first, last, ",".join(sorted({p[1] for p in places})))
+        assert 0 <= x["score"] <= 1 and set(filter(None, x["base_labels"].split(","))) <= set(x["labels"].split(","))
+    assert licenses.license_scan(none).count() == 0
+
+
+def test_license_voting_bears_edits(spark):
+    text = licenses.NOTICES[0][0].split()
+    text.insert(20, "really")
+    del text[30]
+    df = spark.createDataFrame([(1, "intro " + " ".join(text) + " end")], "doc_id long, text string")
+    row = licenses.license_scan(df).first()
+    assert row["labels"] == "mit" and row["base_labels"] == "" and 0.6 < row["score"] < 1
+
+
+def _base_spans(t):
+    t = t or ""
+    out = []
+    rx = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+    out += [(m.start(), 0, "assign", m.end()) for m in rx.finditer(t) if len(m[2]) >= 12]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    return [(k, s, e) for s, _, k, e in sorted(out)]
+
+
+def test_secret_spans_hold_the_patterns_and_add(docs, rows, none):
+    got = defaultdict(list)
+    for r in secrets.secret_spans(docs).collect():
+        got[r["id"]].append([(s["kind"], s["start"], s["end"]) for s in r["spans"]])
+    for r in rows:
+        spans = got[r[0]][0]
+        assert [s for s in spans if s[0] != "crf"] == _base_spans(r[1])
+    assert any(s[0] == "crf" and rows[i][1][s[1] : s[2]].startswith("ghp_") for i, x in got.items() if i is not None for s in x[0])
+    masked = {r["doc_id"]: r for r in secrets.redacted(docs).collect()}
+    assert all(not _base_spans(r["text"]) for r in masked.values()) and all(r["n_chars"] == len(r["text"]) for r in masked.values() if r["text"] is not None and r["doc_id"] is not None)
+    assert secrets.secret_spans(none).count() == 0
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(2)
+    trans = rng.normal(size=(3, 3))
+    for n in (1, 2, 4):
+        e = rng.normal(size=(n, 3))
+        paths = {p: e[range(n), list(p)].sum() + trans[0, p[0]] + sum(trans[a, b] for a, b in zip(p, p[1:])) + trans[p[-1], 0] for p in np.ndindex(*(3,) * n)}
+        assert tuple(secrets.viterbi(e, trans)) == max(paths, key=paths.get)
+
+
+def test_quality_learns_and_holds_out(spark, none):
+    rng = np.random.default_rng(4)
+    good = lambda: " ".join("".join(rng.choice(list("etaoinshr"), 4)) for _ in range(60)) + "."
+    texts = [(i, good() if i % 3 else good().upper().replace(" ", "!! "), int(i % 3 > 0)) for i in range(600)]
+    docs = spark.createDataFrame([*((i, t) for i, t, _ in texts), (None, None), (900, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([*((i, y, 0) for i, _, y in texts), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    got = {r["id"]: r for r in quality.quality_scores(docs, labels).collect()}
+    assert len(got) == 602
+    for i, _, y in texts:
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and got[i]["predicted"] == y == int(got[i]["score"] >= 0.3)
+    assert quality.quality_filter(docs, labels).columns == docs.columns
+    assert quality.quality_scores(docs, labels.limit(0)).select("score").distinct().count() == 1
+    assert quality.quality_scores(none, labels).count() == 0
+
+
+def test_tree_traversal_matches_plain_walk():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(500, 6))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    m = quality.fit(x, y)
+    p = quality.predict(m, x)
+    assert ((p > 0.5) == y).mean() > 0.95
+    raw = float(m["start"])
+    for f, c, leaf in zip(m["feature"], m["cut"], m["leaf"]):
+        node = 0
+        while node < len(f):
+            node = 2 * node + (1 if x[7, f[node]] <= c[node] else 2)
+        raw += leaf[node - len(f)]
+    assert math.isclose(p[7], 1 / (1 + math.exp(-raw)))
+
+
+def test_mixing_meets_targets_and_is_repeatable(docs, rows, none):
+    got = mixing.mix_sources(docs).collect()
+    key = lambda r: (r["id"] is None, r["id"] or 0)
+    again = mixing.mix_sources(docs.repartition(2)).collect()
+    assert [tuple(r) for r in sorted(got, key=key)] == [tuple(r) for r in sorted(again, key=key)] and len(got) == len(rows)
+    per = defaultdict(int)
+    for r in rows:
+        per[r[3]] += len(re.findall(WORD, r[1] or ""))
+    order = sorted((s for s in per if s is not None)) + [s for s in per if s is None]
+    goal = dict(zip(order, mixing.targets([per[s] for s in order])))
+    assert math.isclose(sum(goal.values()), 1.5 * sum(per.values())) and all(goal[s] <= 2 * per[s] + 1e-9 for s in per)
+    taken = defaultdict(int)
+    source = {r[0]: r[3] for r in rows}
+    for r in got:
+        assert r["source_size"] == per[source[r["id"]]] and math.isclose(r["target"], goal[source[r["id"]]])
+        assert r["taken"] in (0, r["size"], 2 * r["size"]) and (r["size"] == 0 or len(r["shards"]) * r["size"] == r["taken"])
+        taken[source[r["id"]]] += r["taken"]
+    assert all(abs(taken[s] - goal[s]) <= 0.02 * goal[s] + 20 for s in per)
+    assert mixing.mix_sources(none).count() == 0
+
+
+def test_splitting_tree_is_exact():
+    q = np.array([7, 0, 130, 45])
+    leaf = mixing.split(q, 6, 3)
+    assert (leaf.sum(1) == q).all() and leaf.sum(0).max() - leaf.sum(0).min() <= 2 and (leaf >= 0).all()
+
+
+def test_suffix_tree_base_and_scores(docs, rows, none):
+    train = Counter()
+    for r in rows:
+        if r[0] is None or zlib.crc32(str(r[0]).encode()) % 5 != 1:
+            train.update(_words(r[1]))
+            train["\n"] += 1
+    n, v = sum(train.values()), len(train)
+    got = suffixtree.suffix_tree_scores(docs).collect()
+    assert len(got) == len(rows)
+    texts = {r[0]: r[1] for r in rows}
+    better = 0
+    for r in got:
+        toks = [*_words(texts[r["id"]]), "\n"]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(toks), sum(train[t] > 0 for t in toks), n)
+        assert math.isclose(r["base_score"], sum(math.log10((train[t] + 0.5) / (n + 0.5 * (v + 1))) for t in toks), rel_tol=1e-9)
+        assert r["score"] < 0
+        better += r["score"] > r["base_score"]
+    assert better > 0.5 * len(got)
+    assert suffixtree.suffix_tree_scores(none).count() == 0
+
+
+def test_suffix_automaton_matches_longest_suffix():
+    rng = np.random.default_rng(6)
+    st = suffixtree
+    s = rng.choice([1, 2, 3, 0], 3000, p=[0.5, 0.3, 0.1, 0.1]).astype(np.uint8)
+    s[2::5] = s[1::5][: len(s[2::5])]
+    s[-1] = st.END
+    hist = np.concatenate([np.full(st.DEPTH, st.START), s]).astype(np.int64)
+    code = np.zeros(len(s), np.int64)
+    for j in range(st.DEPTH + 1):
+        code = code << st.BITS | hist[j : j + len(s)]
+    k, c = np.unique(code, return_counts=True)
+    m = st.grow(k, c.astype(float))
+    prob = 10.0 ** m["logp"].reshape(-1, st.SYMBOLS).astype(float)
+    assert np.allclose(prob.sum(1), 1, atol=1e-4)
+    total, state = 0.0, int(m["origin"])
+    for x in s:
+        total += float(m["logp"][state * st.SYMBOLS + x])
+        state = int(m["step"][state * st.SYMBOLS + x])
+    old, st.PIECE = st.PIECE, 128
+    try:
+        assert math.isclose(st.walk(m, s, np.array([0, len(s)]))[0], total, rel_tol=1e-6)
+    finally:
+        st.PIECE = old
+
+
+def test_decontamination_finds_leaks_and_leaves_the_rest(spark, docs, rows, none):
+    words = [w for r in rows[:60] for w in (r[1] or "").split()]
+    item = lambda k: " ".join(reversed(words[k * 40 : k * 40 + 35])) + f". The answer is q{k}."
+    items = [(k, item(k)) for k in range(12)] + [(50, None), (51, ""), (None, "x"), (52, "zebra quagga")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    leaking = [(1000 + k, f"{rows[30][1]} {item(k).upper()} {rows[31][1]}") for k in range(12)] + [(2000, "a zebra quagga b")]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(leaking, "doc_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(both, bench).collect()}
+    assert got == {(1000 + k, k) for k in range(12)} | {(2000, 52)}
+    left = decontaminate.decontaminated(both, bench)
+    assert left.columns == both.columns and left.count() == len(rows) and left.where(F.col("doc_id") >= 1000).count() == 0
+    assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_block_max_retrieval_is_exact():
+    rng = np.random.default_rng(8)
+    vocab = ["".join(rng.choice(list("abcdefg"), 4)) for _ in range(60)]
+    items = [(k, " ".join(rng.choice(vocab, 12))) for k in range(100)]
+    index = decontaminate.build_index(items)
+    text = " ".join(rng.choice(vocab, 90))
+    from quillspark.llm import bytekit as bk
+
+    data = np.frombuffer(text.encode(), np.uint8)
+    h, _, _, doc = bk.word_hashes(data, np.array([0, len(data)]), bk.ALNUM)
+    got = {int(p): s for _, p, s in zip(*decontaminate.retrieve(index, h, doc, 1, 0.5))}
+    full = np.zeros(100)
+    for t in np.unique(h):
+        at = np.searchsorted(index["vocab"], t)
+        if at < len(index["vocab"]) and index["vocab"][at] == t:
+            lo, hi = index["at"][at], index["at"][at + 1]
+            full[index["doc"][lo:hi]] += index["impact"][lo:hi]
+    assert set(got) == set(np.flatnonzero(full >= 0.5)) and all(math.isclose(got[p], full[p]) for p in got)
+
+
+def test_hash_of_kept_text(docs):
+    row = suffixes.suffix_dedup(docs.where("doc_id = 3")).select(F.sha2("kept", 256).alias("h")).first()
+    assert row["h"] == hashlib.sha256(docs.where("doc_id = 3").first()["text"].encode()).hexdigest()
