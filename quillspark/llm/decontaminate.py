@@ -93,7 +93,7 @@ def _spread(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def retrieve(index: dict, h: np.ndarray, doc: np.ndarray, n: int, least: float = LEAST_SCORE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, piece, score) of all pieces that score at least `least` in a passage of a text; best passage each."""
+    """(text, piece, score) of every passage and piece that score at least `least`."""
     none = np.zeros(0, np.int64)
     vocab = index["vocab"]
     if not len(h) or not len(vocab):

@@ -5,8 +5,8 @@ Text: A-Z lower-cased; tokens are the runs of non-(ASCII)-space characters and o
 log10((c+0.5)/(N+0.5*(V+1))), c the token's count in training, N all training tokens, V the distinct ones.
 
 The tree's symbols are the text's bytes with runs of space as one blank, and an end; bytes that are not among the most frequent
-SYMBOLS - 3 of the training text share a class, inside which they are uniform. Contexts have up to DEPTH symbols. A context
-stays when its next-symbol distribution diverges from that of its parent (one symbol shorter): count times divergence of at
+SYMBOLS - 3 of the training text share a class, inside which they are uniform. Contexts have up to DEPTH symbols; candidates
+are those seen in at least LEAST_SHARE of all places. A context stays when its next-symbol distribution diverges from that of its parent (one symbol shorter): count times divergence of at
 least GAIN nats. With a context stay its prefixes and suffixes, so that the longest retained suffix of a history is the state
 of an automaton. A state's distribution is smoothed with its parent's by the number of symbols seen after it. The score is the
 log10 probability of the whole normalised text with its end; scoring walks the automaton over whole texts, many at once.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import bytekit as bk
 from quillspark.llm.shared import release, stage
 
-SYMBOLS, DEPTH, GAIN, STATES = 64, 4, 8.0, 250_000
+SYMBOLS, DEPTH, GAIN, LEAST_SHARE, STATES = 64, 6, 12.0, 4e-6, 160_000
 PIECE = 4096
 BITS = 6
 BLANK, END, OTHER = 0, SYMBOLS - 1, SYMBOLS - 2
@@ -100,72 +100,75 @@ def _counts(table: np.ndarray):
     return run
 
 
-def grow(code: np.ndarray, count: np.ndarray, gain: float = GAIN, most: int = STATES) -> dict[str, np.ndarray]:
+def levels_of(counted: DataFrame, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per context length, (context and symbol, times) of the contexts seen at least `least` times; at most N/least contexts each."""
+    each = counted.select(F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.col("code").bitwiseAND((1 << BITS * (d + 1)) - 1).alias("pair")) for d in range(DEPTH + 1)))).alias("x"), "c")
+    pairs = each.groupBy("x.d", "x.pair").agg(F.sum("c").alias("c")).withColumn("ctx", F.shiftright("pair", BITS))
+    pairs = stage(pairs, "levels")
+    often = pairs.groupBy("d", "ctx").agg(F.sum("c").alias("t")).where((F.col("t") >= least) | (F.col("d") == 0)).select("d", "ctx")
+    got = pairs.join(often, ["d", "ctx"]).select("d", "pair", "c").toPandas().sort_values(["d", "pair"])
+    return [(x["pair"].to_numpy(np.int64), x["c"].to_numpy(np.float64)) for d in range(DEPTH + 1) for x in [got[got["d"] == d]]]
+
+
+def grow(levels: list[tuple[np.ndarray, np.ndarray]], gain: float = GAIN, most: int = STATES) -> dict[str, np.ndarray]:
     """The automaton: next state and log10 probability per (state, symbol).
 
-    code, count: the strings of DEPTH context symbols and one symbol with how often each was seen.
+    levels: per context length, the sorted strings of a context and one symbol, and how often each was seen.
     """
     mask = (1 << BITS) - 1
-    levels = []  # per context length: distinct contexts, counts (context, symbol)
-    for d in range(DEPTH + 1):
-        short = code & ((1 << BITS * (d + 1)) - 1)
-        k, inv = np.unique(short, return_inverse=True)
-        c = np.bincount(inv, count, len(k))
-        levels.append((k >> BITS, k & mask, c))
-
-    def table(d):
-        ctx, sym, c = levels[d]
-        keys, inv = np.unique(ctx, return_inverse=True)
-        return keys, inv, sym, c
-
-    tabs = [table(d) for d in range(DEPTH + 1)]
-    root = np.zeros(SYMBOLS)
-    keys, inv, sym, c = tabs[0]
-    root[sym] = c
-    prob = [((root + 0.5) / (root.sum() + 0.5 * SYMBOLS))[None, :]]
-    gains = [np.full(1, np.inf)]
-    for d in range(1, DEPTH + 1):
-        keys, inv, sym, c = tabs[d]
-        total = np.bincount(inv, c, len(keys))
-        kinds = np.bincount(inv, minlength=len(keys))
-        parent = np.searchsorted(tabs[d - 1][0], keys & ((1 << BITS * (d - 1)) - 1)) if d > 1 else np.zeros(len(keys), np.int64)
-        back = prob[d - 1][parent]
-        p = back * (kinds / (total + kinds))[:, None]
-        p[inv, sym] += c / (total + kinds)[inv]
-        share = c / total[inv]
-        parts = c * np.log(share / back[inv, sym])
-        gains.append(np.bincount(inv, parts, len(keys)))
-        prob.append(p.astype(np.float32) if d == DEPTH else p)
+    tail = lambda k, d: k & ((1 << BITS * d) - 1)  # the last d symbols
+    ctxs, totals, kinds, pairs, probs, gains = [], [], [], [], [], []
+    for d, (pair, c) in enumerate(levels):
+        ctx, at = np.unique(pair >> BITS, return_inverse=True)
+        total, kind = np.bincount(at, c, len(ctx)), np.bincount(at, minlength=len(ctx)).astype(np.float64)
+        if d:
+            back = probs[d - 1][np.searchsorted(pairs[d - 1], tail(pair, d))]
+            p = c / (total + kind)[at] + (kind / (total + kind))[at] * back
+            gains.append(np.bincount(at, c * np.log(np.maximum(c / np.maximum(total[at], 1e-9), 1e-12) / back), len(ctx)))
+        else:
+            p = (c + 0.5) / (total + 0.5 * SYMBOLS)[at]
+            gains.append(np.full(len(ctx), np.inf))
+        for xs, x in ((ctxs, ctx), (totals, total), (kinds, kind), (pairs, pair), (probs, p)):
+            xs.append(x)
     while True:
-        keep = [gains[d] >= gain * (1 if d else 0) for d in range(DEPTH + 1)]
+        keep = [g >= gain for g in gains]
+        keep[0][:] = True
         for d in range(DEPTH, 1, -1):  # suffixes and prefixes of what stays
-            k = tabs[d][0][keep[d]]
-            keep[d - 1][np.searchsorted(tabs[d - 1][0], k & ((1 << BITS * (d - 1)) - 1))] = True
-            pre = k >> BITS
-            at = np.minimum(np.searchsorted(tabs[d - 1][0], pre), len(tabs[d - 1][0]) - 1)
-            keep[d - 1][at[tabs[d - 1][0][at] == pre]] = True
+            k = ctxs[d][keep[d]]
+            keep[d - 1][np.searchsorted(ctxs[d - 1], tail(k, d - 1))] = True
+            at = np.minimum(np.searchsorted(ctxs[d - 1], k >> BITS), len(ctxs[d - 1]) - 1)
+            keep[d - 1][at[ctxs[d - 1][at] == k >> BITS]] = True
         if sum(int(x.sum()) for x in keep) <= most:
             break
         gain *= 1.5
-    kept = [tabs[d][0][keep[d]] if d else np.zeros(1, np.int64) for d in range(DEPTH + 1)]
+    kept = [c[k] for c, k in zip(ctxs, keep)]
     base = np.cumsum([0, *(len(k) for k in kept)])
-    n = int(base[-1])
-    step = np.zeros((n, SYMBOLS), np.int32)
-    logp = np.empty((n, SYMBOLS), np.float32)
+    step, logp = np.zeros((int(base[-1]), SYMBOLS), np.int32), np.empty((int(base[-1]), SYMBOLS), np.float32)
     for d in range(DEPTH + 1):
-        at = np.arange(base[d], base[d + 1])
-        logp[at] = np.log10(prob[d][keep[d]] if d else prob[0])
-        done = np.zeros((len(at), SYMBOLS), bool)
+        lo, hi = int(base[d]), int(base[d + 1])
+        if d:
+            share = kinds[d][keep[d]] / (totals[d] + kinds[d])[keep[d]]
+            rows = logp[base[d - 1] + np.searchsorted(kept[d - 1], tail(kept[d], d - 1))] * share[:, None].astype(np.float32)
+        else:
+            rows = np.full((1, SYMBOLS), 0.5 / (totals[0][0] + 0.5 * SYMBOLS), np.float32)
+        at = np.minimum(np.searchsorted(kept[d], pairs[d] >> BITS), hi - lo - 1) if hi > lo else np.zeros(len(pairs[d]), int)
+        here = kept[d][at] == pairs[d] >> BITS if hi > lo else np.zeros(len(pairs[d]), bool)
+        rows[at[here], (pairs[d] & mask)[here]] = probs[d][here]
+        logp[lo:hi] = rows
+        done = np.zeros((hi - lo, SYMBOLS), bool)
         for e in range(min(d + 1, DEPTH), 0, -1):
-            want = (kept[d][:, None] << BITS | np.arange(SYMBOLS)) & ((1 << BITS * e) - 1)
-            found = np.minimum(np.searchsorted(kept[e], want), max(len(kept[e]) - 1, 0))
-            hit = (kept[e][found] == want) & ~done if len(kept[e]) else np.zeros(done.shape, bool)
-            step[base[d] : base[d + 1]][hit] = (base[e] + found)[hit]
+            if not len(kept[e]) or hi == lo:
+                continue
+            want = tail(kept[d][:, None] << BITS | np.arange(SYMBOLS), e)
+            found = np.minimum(np.searchsorted(kept[e], want), len(kept[e]) - 1)
+            hit = (kept[e][found] == want) & ~done
+            step[lo:hi][hit] = (base[e] + found)[hit]
             done |= hit
+    np.log10(logp, out=logp)
     origin = 0
     for e in range(DEPTH, 0, -1):
         want = sum(START << BITS * j for j in range(e))
-        found = np.searchsorted(kept[e], want)
+        found = int(np.searchsorted(kept[e], want))
         if found < len(kept[e]) and kept[e][found] == want:
             origin = int(base[e] + found)
             break
@@ -263,9 +266,10 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table[often] = np.arange(1, SYMBOLS - 2)
     extra[table == OTHER] = -np.log10(256 - len(often) - 6)
     table[bk.SPACE], extra[bk.SPACE] = BLANK, 0
-    # distinct strings of DEPTH+1 symbols: bounded by the alphabet, not by the text
-    counted = stage(learn.mapInArrow(_counts(table), "code long, c long").groupBy("code").agg(F.sum("c").alias("c")), "contexts").toPandas()
-    model = grow(counted["code"].to_numpy(np.int64), counted["c"].to_numpy(np.float64)) if len(counted) else grow(np.array([START], np.int64), np.array([0.0]))
+    counted = stage(learn.mapInArrow(_counts(table), "code long, c long").groupBy("code").agg(F.sum("c").alias("c")), "contexts")
+    n_symbols = counted.agg(F.sum("c")).first()[0] or 0
+    none = np.zeros(0, np.int64)
+    model = grow(levels_of(counted, LEAST_SHARE * n_symbols) if n_symbols else [(np.array([END]), np.zeros(1)), *[(none, none.astype(float))] * DEPTH])
     release(spark)
     counts = stage(learn.mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "words")
     release(spark)
