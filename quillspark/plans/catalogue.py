@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import corpus, ranking
+from quillspark.plans import content, corpus, experiments, ranking
 from quillspark.plans.registry import QUERIES, SQL
 
-MODULES = (corpus, ranking)
+MODULES = (corpus, ranking, experiments, content)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -74,7 +74,7 @@ def signal_popularity(spark, d):
     return value(catalog(spark, d).works.select("id", fn.popularity(F.col("hits"), F.col("kudos")).alias("value")))
 
 
-RATED = ", rated AS (SELECT id, 1500.0 + (id % 41 - 20) * 15 AS mu, 50.0 + id % 300 AS phi FROM works WHERE id % 3 <> 0), med AS (SELECT median(mu) AS m FROM rated)"
+RATED = ", rated AS (SELECT id, (1500.0 + (id % 41 - 20) * 15)::DOUBLE AS mu, (50.0 + id % 300)::DOUBLE AS phi FROM works WHERE id % 3 <> 0), med AS (SELECT median(mu) AS m FROM rated)"
 
 
 def ratings(works: DataFrame) -> DataFrame:
