@@ -86,9 +86,9 @@ def rarity(p: Column) -> Column:
 
 
 def decade_weight(v: Column) -> Column:
-    """Engagement weight: decades counted by repeated division, then the rest less one, over four; at least 0.05."""
+    """Engagement weight: divisions by ten until one or less is left, four at most, plus what is left less one, over four."""
     v = v.cast("double")
-    decades = F.greatest(F.lit(0.0), F.ceil(F.log10(F.greatest(v, F.lit(1.0))) - 1e-12))
+    decades = F.least(F.lit(4.0), F.greatest(F.lit(0.0), F.ceil(F.round(F.log10(F.greatest(v, F.lit(1.0))), 12))))
     rest = v / F.pow(F.lit(10.0), decades)
     return F.when(v > 0, F.greatest(F.lit(0.05), (decades + rest - 1) / 4)).otherwise(0.05)
 

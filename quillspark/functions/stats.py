@@ -80,7 +80,9 @@ def glicko(mu: float, phi: float, sigma: float, games: list[tuple[float, float,
 
 
 def bradley_terry(pairs: list[tuple[int, int, float]], prior: float = 1.0, rounds: int = 2000, tol: float = 1e-10) -> dict[int, float]:
-    """Strengths by minorisation-maximisation from (winner, loser, weight), with `prior` half-won games against a unit opponent."""
+    """Strengths by minorisation-maximisation from (winner, loser, weight), with `prior` half-won games against a unit opponent;
+    strengths have a geometric mean of one after every round.
+    """
     ids = sorted({x for p in pairs for x in p[:2]})
     at = {x: i for i, x in enumerate(ids)}
     n = np.zeros((len(ids), len(ids)))
@@ -92,6 +94,7 @@ def bradley_terry(pairs: list[tuple[int, int, float]], prior: float = 1.0, round
     s = np.ones(len(ids))
     for _ in range(rounds):
         new = wins / ((n / (s[:, None] + s[None, :])).sum(1) + prior / (s + 1))
+        new /= np.exp(np.log(new).mean())
         if np.abs(new - s).max() < tol:
             s = new
             break

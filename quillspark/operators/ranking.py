@@ -343,26 +343,30 @@ def tag_trend(works: DataFrame, work_tags: DataFrame, seed: DataFrame, windows=(
     return pair.join(F.broadcast(all_)).where("all_new > 0").select("tag", "window", "co", "co_new", growth.alias("growth"))
 
 
-def tag_gap(works: DataFrame, work_tags: DataFrame, seed: DataFrame, hood: int = 30, gate: int = 20, prior: float = 10.0, limit: int = 20) -> DataFrame:
+def tag_gap(works: DataFrame, work_tags: DataFrame, seed: DataFrame, hood: int = 30, gate: int = 20, seed_least: int = 25, least_works: int = 50, candidates: int = 150, prior: float = 100.0, limit: int = 20) -> DataFrame:
     """Tags that the seed's surroundings carry but the seed itself lacks.
 
     The neighbourhood is the `hood` tags of highest lift with the seed and at least `gate` works in common; hood works carry
-    one of them and not the seed. gap = (shrunk enrichment among hood works - 1) * (1 - lift with the seed).
+    one of them and not the seed. Candidates stand outside it, with least_works works and `gate` hood works or more, the
+    best by their share of works in the hood. Enrichment = (support/hood works)/(works/N) is shrunk by support/(support +
+    prior); gap = (shrunk - 1)(1 - lift), kept where lift < 1 < shrunk. A seed of fewer than seed_least works has no gaps.
     """
     c = op.carried(work_tags)
     n = works.agg(F.count("*").alias("n"))
     df = op.doc_frequency(work_tags)
     seed_name = F.broadcast(seed.select(F.col("tag").alias("seed")))
     own = c.join(seed_name, F.col("tag") == F.col("seed"), "left_semi").select("work_id")
-    size = own.agg(F.count("*").alias("ns"))
+    size = own.agg(F.count("*").alias("ns")).where(F.col("ns") >= seed_least)
     co = c.join(own, "work_id", "left_semi").groupBy("tag").agg(F.count("*").alias("co"))
     lift = F.round(F.col("co") * F.col("n") / (F.col("ns") * F.col("df")), 9)
     stats = df.join(co, "tag", "left").join(F.broadcast(size)).join(F.broadcast(n)).join(seed_name, F.col("tag") != F.col("seed")).withColumn("co", F.coalesce("co", F.lit(0))).withColumn("lift", lift)
     near = stats.where(F.col("co") >= gate).orderBy(F.desc("lift"), "tag").limit(hood).select("tag")
     hood_works = c.join(F.broadcast(near), "tag", "left_semi").select("work_id").distinct().join(own, "work_id", "left_anti")
     nh = hood_works.agg(F.count("*").alias("nh"))
-    there = c.join(hood_works, "work_id", "left_semi").groupBy("tag").agg(F.count("*").alias("here"))
-    out = there.join(stats, "tag").join(F.broadcast(near), "tag", "left_anti").join(F.broadcast(nh))
-    expected = F.col("nh") * F.col("df") / F.col("n")
-    gap = ((F.col("here") + prior) / (expected + prior) - 1) * (1 - F.col("lift"))
-    return out.withColumn("gap", F.round(gap, 9)).where("gap > 0").orderBy(F.desc("gap"), "tag").limit(limit).select("tag", "here", "co", "lift", "gap")
+    there = c.join(hood_works, "work_id", "left_semi").groupBy("tag").agg(F.count("*").alias("support"))
+    out = there.join(stats, "tag").join(F.broadcast(near), "tag", "left_anti").where((F.col("df") >= least_works) & (F.col("support") >= gate))
+    out = out.orderBy(F.desc(F.round(F.col("support") / F.col("df"), 9)), "tag").limit(candidates).join(F.broadcast(nh))
+    enriched = (F.col("support") / F.col("nh")) / (F.col("df") / F.col("n"))
+    shrunk = 1 + (enriched - 1) * F.col("support") / (F.col("support") + prior)
+    out = out.withColumn("shrunk", shrunk).where("lift < 1 and shrunk > 1").withColumn("gap", F.round((F.col("shrunk") - 1) * (1 - F.col("lift")), 9))
+    return out.orderBy(F.desc("gap"), "tag").limit(limit).select("tag", "support", "co", "lift", "gap")

@@ -95,10 +95,12 @@ def pair_similarity(pairs: DataFrame, works: DataFrame, work_tags: DataFrame, ce
     return out.select("x", "y", ((b / (F.col("m_x") + F.col("m_y") - b) + F.greatest(F.lit(0.0), fn.cosine(F.col("v_x"), F.col("v_y")))) / 2).alias("sim"))
 
 
-def personal_walk(edges: DataFrame, seed: DataFrame, damping: float = 0.85, rounds: int = 20, least: float = 1e-5, eps: float = 1e-6) -> DataFrame:
-    """(tag, mass): random walk with restart over (src, dst, co), steps by share of co; mass below `least` is dropped.
+def personal_walk(edges: DataFrame, seed: DataFrame, damping: float = 0.85, rounds: int = 20, least: float = 1e-5, eps: float = 1e-6, shown: float = 1e-4) -> DataFrame:
+    """(tag, mass): random walk with restart over (src, dst, co), steps by share of co, seeds left out of the result.
 
-    Rounds end early once the mass moves by less than eps; each round is a join and a sum, written to the shared folder.
+    Tags of less mass than `least` neither push nor stay, what they and tags without neighbours hold returns to the seeds;
+    tags of less than `shown` aren't listed. Rounds end early once the mass moves by less than eps in all. A round is a
+    join and a sum, written to the shared folder.
     """
     out = edges.groupBy("src").agg(F.sum("co").alias("total"))
     step = staged(edges.join(out, "src").select("src", "dst", (F.col("co") / F.col("total")).alias("p")), "walk")
@@ -107,13 +109,15 @@ def personal_walk(edges: DataFrame, seed: DataFrame, damping: float = 0.85, roun
     mass = home.select("tag", F.col("home").alias("mass"))
     for _ in range(rounds):
         flow = step.join(mass.withColumnRenamed("tag", "src"), "src").groupBy(F.col("dst").alias("tag")).agg(F.sum(F.col("p") * F.col("mass")).alias("flow"))
-        new = flow.join(home, "tag", "full_outer").select("tag", (damping * F.coalesce("flow", F.lit(0.0)) + (1 - damping) * F.coalesce("home", F.lit(0.0))).alias("mass")).where(F.col("mass") >= least)
-        new = staged(new, "walk")
+        kept = flow.agg(F.coalesce(F.sum("flow"), F.lit(0.0)).alias("flown"))
+        new = flow.join(home.join(F.broadcast(kept)), "tag", "full_outer")
+        back = (1 - damping * F.coalesce("flown", F.lit(1.0))) * F.coalesce("home", F.lit(0.0))
+        new = staged(new.select("tag", (damping * F.coalesce("flow", F.lit(0.0)) + back).alias("mass")).where(F.col("mass") >= least), "walk")
         moved = new.join(mass.withColumnRenamed("mass", "was"), "tag", "full_outer").agg(F.sum(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
         mass = new
         if (moved or 0.0) < eps:
             break
-    return mass
+    return mass.join(home, "tag", "left_anti").where(F.col("mass") >= shown)
 
 
 def reading_path(vectors: DataFrame, seed: int, steps: int, pull: float = 0.5) -> DataFrame:

@@ -333,14 +333,15 @@ def tag_trend(spark, d):
     stt AS (SELECT df.tag, df, coalesce(co, 0) AS co, n, round(coalesce(co, 0) * n / ((SELECT count(*) FROM own) * df), 9) AS lift FROM df LEFT JOIN co ON co.tag = df.tag, total WHERE df.tag NOT IN (SELECT tag FROM seed)),
     near AS (SELECT tag FROM stt WHERE co >= 5 ORDER BY lift DESC, tag LIMIT 10),
     hw AS (SELECT DISTINCT work_id FROM carried WHERE tag IN (SELECT tag FROM near) AND work_id NOT IN (SELECT work_id FROM own)),
-    th AS (SELECT tag, count(*) AS here FROM carried WHERE work_id IN (SELECT work_id FROM hw) GROUP BY 1),
-    g AS (SELECT tag, here, co, lift, round(((here + 10.0) / ((SELECT count(*) FROM hw) * df / n + 10.0) - 1) * (1 - lift), 9) AS gap FROM th JOIN stt USING (tag) WHERE tag NOT IN (SELECT tag FROM near))
-    SELECT tag, here, co, round(lift, 6) AS lift, round(gap, 6) AS gap FROM g WHERE gap > 0 ORDER BY g.gap DESC, tag LIMIT 20""",
+    th AS (SELECT tag, count(*) AS support FROM carried WHERE work_id IN (SELECT work_id FROM hw) GROUP BY 1),
+    cd AS (SELECT tag, support, co, lift, df, n FROM th JOIN stt USING (tag) WHERE tag NOT IN (SELECT tag FROM near) AND df >= 10 AND support >= 5 ORDER BY round(support / df, 9) DESC, tag LIMIT 150),
+    g AS (SELECT *, 1 + ((support / (SELECT count(*) FROM hw)) / (df / n) - 1) * support / (support + 100.0) AS shrunk FROM cd), h AS (SELECT *, round((shrunk - 1) * (1 - lift), 9) AS gap FROM g WHERE lift < 1 AND shrunk > 1)
+    SELECT tag, support, co, round(lift, 6) AS lift, round(gap, 6) AS gap FROM h WHERE (SELECT count(*) FROM own) >= 5 ORDER BY h.gap DESC, tag LIMIT 20""",
     "work_tags carried df total",
 )
 def tag_gap(spark, d):
     r = catalog(spark, d)
-    out = rk.tag_gap(r.works, r.work_tags, rk.head_tag(r.work_tags, "name"), 10, 5)
+    out = rk.tag_gap(r.works, r.work_tags, rk.head_tag(r.work_tags, "name"), 10, 5, 5, 10)
     return out.withColumn("lift", F.round("lift", 6)).withColumn("gap", F.round("gap", 6))
 
 
