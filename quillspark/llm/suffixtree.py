@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import bytekit as bk
 from quillspark.llm.shared import release, stage
 
-SYMBOLS, DEPTH, GAIN, LEAST_SHARE, STATES = 64, 6, 12.0, 4e-6, 160_000
+SYMBOLS, DEPTH, GAIN, LEAST_SHARE, STATES = 64, 6, 8.0, 2e-6, 160_000
 PIECE = 4096
 BITS = 6
 BLANK, END, OTHER = 0, SYMBOLS - 1, SYMBOLS - 2

@@ -215,7 +215,9 @@ def test_mixing_meets_targets_and_is_repeatable(docs, rows, none):
         assert r["source_size"] == per[source[r["id"]]] and math.isclose(r["target"], goal[source[r["id"]]])
         assert r["taken"] in (0, r["size"], 2 * r["size"]) and (r["size"] == 0 or len(r["shards"]) * r["size"] == r["taken"])
         taken[source[r["id"]]] += r["taken"]
-    assert all(abs(taken[s] - goal[s]) <= 0.02 * goal[s] + 20 for s in per)
+    largest = {s: max(len(re.findall(WORD, r[1] or "")) for r in rows if r[3] == s) for s in per}
+    assert all(abs(taken[s] - goal[s]) <= largest[s] / 2 for s in per)  # documents are whole
+    assert all(abs(taken[s] - goal[s]) <= 0.01 * goal[s] + 10 for s in per if largest[s] < 0.05 * per[s])
     assert mixing.mix_sources(none).count() == 0
 
 
@@ -235,14 +237,13 @@ def test_suffix_tree_base_and_scores(docs, rows, none):
     got = suffixtree.suffix_tree_scores(docs).collect()
     assert len(got) == len(rows)
     texts = {r[0]: r[1] for r in rows}
-    better = 0
     for r in got:
         toks = [*_words(texts[r["id"]]), "\n"]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(toks), sum(train[t] > 0 for t in toks), n)
         assert math.isclose(r["base_score"], sum(math.log10((train[t] + 0.5) / (n + 0.5 * (v + 1))) for t in toks), rel_tol=1e-9)
         assert r["score"] < 0
-        better += r["score"] > r["base_score"]
-    assert better > 0.5 * len(got)
+    # words drawn independently leave a symbol model nothing to gain over their counts; it must not lose much either
+    assert sum(r["score"] for r in got) > 1.1 * sum(r["base_score"] for r in got)
     assert suffixtree.suffix_tree_scores(none).count() == 0
 
 
