@@ -1,6 +1,6 @@
 """Benchmark decontamination: a BM25 inverted index of test items, block-max pruning, and a check of question and answer overlap.
 
-Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. A test item is cut into pieces of at most PIECE words;
+Words are runs of digits, letters and non-ASCII characters, lower-cased. A test item is cut into pieces of at most PIECE words;
 every training text is cut into passages of WINDOW words that overlap by half, so a piece stands whole in some passage. A
 piece's score in a passage is its BM25 weight of the words they share, as a share of the weight of all its words; all pieces
 at LEAST_SCORE or more are retrieved. Passages whose words' largest weights don't add up to that are passed over; for the
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ def build_index(items: list[tuple[int, str]]) -> dict:
     """Postings by word hash, impacts relative to a piece's own weight, and block maxima."""
     words, answers, ids = [], [], []
     for item, text in items:
-        data = bk.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
+        data = np.frombuffer(pc.utf8_lower(pa.scalar(text or "")).as_py().encode(), np.uint8)
         h, start, _, _ = bk.word_hashes(data, np.array([0, len(data)]), bk.ALNUM)
         if not len(h):
             continue
@@ -81,7 +82,7 @@ def build_index(items: list[tuple[int, str]]) -> dict:
     return {
         "vocab": vocab, "most": most, "doc": doc, "impact": impact, "at": np.searchsorted(term, np.arange(len(vocab) + 1)), "block": key % max(blocks, 1), "block_max": block_max, "block_at": np.searchsorted(key // max(blocks, 1), np.arange(len(vocab) + 1)),
         "blocks": max(blocks, 1), "owner": np.array(owner, np.int64), "ids": np.array(ids, np.int64),
-        "question": [_shingles(h[:a]) for h, a in zip(words, answers)], "answer": [_shingles(h[a:]) for h, a in zip(words, answers)], "whole": [_shingles(h) for h in words],
+        "question": [_shingles(h[:a]) for h, a in zip(words, answers)], "answer": [_shingles(h[a:]) for h, a in zip(words, answers)], "whole": [_shingles(h) for h in words], "size": [len(h) for h in words],
     }
 
 
@@ -141,8 +142,8 @@ def _leaks(shared):
     def run(batches):
         index = shared.value
         for b in batches:
-            for lo, hi, data, offs, _ in bk.slices(b.column(1)):
-                h, _, _, doc = bk.word_hashes(bk.LOWER[data], offs, bk.ALNUM)
+            for lo, hi, data, offs, _ in bk.slices(pc.utf8_lower(b.column(1))):
+                h, _, _, doc = bk.word_hashes(data, offs, bk.ALNUM)
                 text, piece, score = retrieve(index, h, doc, hi - lo)
                 if not len(text):
                     continue
@@ -157,8 +158,8 @@ def _leaks(shared):
                         seen, of = _shingles(h[at[i] : at[i + 1]]), i
                     words = h[at[i] : at[i + 1]]
                     share = lambda z: float(np.isin(z, seen, kind="sort").mean()) if len(z) else 0.0  # noqa: E731, B023
-                    if len(index["whole"][item]) == 1 and len(words) >= SHINGLE:
-                        whole = question = answer = float(_short(index["whole"][item], words))
+                    if index["size"][item] <= SHINGLE:
+                        whole = question = answer = float(_short(index["whole"][item][0], index["size"][item], words))
                     else:
                         whole, question, answer = share(index["whole"][item]), share(index["question"][item]), share(index["answer"][item])
                     if whole >= OVERLAP or question >= OVERLAP:
@@ -170,15 +171,12 @@ def _leaks(shared):
     return run
 
 
-def _short(shingle: np.ndarray, words: np.ndarray) -> bool:
-    """Whether an item of at most five words stands in the text."""
-    for k in range(1, SHINGLE + 1):
-        acc = np.full(len(words) - k + 1, k, np.uint64)
-        for j in range(k):
-            acc += words[j : len(words) - k + 1 + j] * MIXERS[j]
-        if (bk.mix(acc) == shingle[0]).any():
-            return True
-    return False
+def _short(shingle: np.uint64, k: int, words: np.ndarray) -> bool:
+    """Whether an item of k words, five at most, stands in the text."""
+    acc = np.full(max(0, len(words) - k + 1), k, np.uint64)
+    for j in range(k):
+        acc += words[j : len(words) - k + 1 + j] * MIXERS[j]
+    return bool((bk.mix(acc) == shingle).any())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
