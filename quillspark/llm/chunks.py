@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from quillspark.llm import bytekit as bk
 from quillspark.llm.shared import release, stage
 
-MIN_CHUNK, MAX_CHUNK, MASK = 48, 512, np.uint32(((1 << 6) - 1) << 26)
+MIN_CHUNK, MAX_CHUNK, MASK = 24, 512, np.uint32(((1 << 5) - 1) << 27)
+#: Least bytes of a removed run, and of a stretch in it whose first copies stand in one piece too.
+SHORTEST, STRETCH = 100, 80
 GEAR = np.random.default_rng(31).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -82,24 +84,29 @@ def duplicate_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return met.select("id", "start", "len", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = 200) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, stretch: int = STRETCH) -> DataFrame:
     """Per row of docs: n_bytes, n_chunks removed, bytes removed, removed spans and the ids that keep the removed text.
 
-    Runs of removed chunks that touch are one span; a span shorter than `shortest` bytes stays in the text (a stock line is no
-    passage), a longer one is listed whole.
+    Runs of repeated chunks that touch are one span. It is removed if it has `shortest` bytes and holds `stretch` bytes whose
+    first copies touch as well: stock lines that happen to meet are no passage.
     """
     found = stage(duplicate_chunks(docs, id_col, text_col), "repeats")
     release(docs.sparkSession)
-    each = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "len", "first_id"))).alias("c"))
-    empty = F.array().cast("array<struct<start:int,end:int,n:int>>")
+    each = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "len", "first_id", "first_start"))).alias("c"))
+    empty = F.array().cast("array<struct<start:int,end:int,n:int,fid:bigint,fend:int,cur:int,best:int>>")
 
     def fold(acc, c):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), (c["start"] + c["len"]).alias("end"), (last["n"] + 1).alias("n"))))
-        alone = F.concat(acc, F.array(F.struct(c["start"].alias("start"), (c["start"] + c["len"]).alias("end"), F.lit(1).alias("n"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] == c["start"]), joined).otherwise(alone)
-
-    runs = each.select("id", "c", F.filter(F.aggregate("c", empty, fold), lambda r: r["end"] - r["start"] >= shortest).alias("spans"))
+        last = F.try_element_at(acc, F.lit(-1))
+        touches = (F.size(acc) > 0) & (last["end"] == c["start"])
+        goes_on = touches & last["fid"].eqNullSafe(c["first_id"]) & (last["fend"] == c["first_start"])
+        cur = F.when(goes_on, last["cur"]).otherwise(0) + c["len"]
+        run = F.struct(
+            F.when(touches, last["start"]).otherwise(c["start"]).alias("start"), (c["start"] + c["len"]).alias("end"), (F.when(touches, last["n"]).otherwise(0) + 1).alias("n"),
+            c["first_id"].alias("fid"), (c["first_start"] + c["len"]).alias("fend"), cur.alias("cur"), F.greatest(F.when(touches, last["best"]).otherwise(0), cur).alias("best"),
+        )
+        return F.concat(F.when(touches, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc), F.array(run))
+
+    runs = each.select("id", "c", F.filter(F.aggregate("c", empty, fold), lambda r: (r["end"] - r["start"] >= shortest) & (r["best"] >= stretch)).alias("spans"))
     within = lambda c: F.exists("spans", lambda r: (r["start"] <= c["start"]) & (c["start"] < r["end"]))
     runs = runs.select("id", "spans", F.array_sort(F.array_distinct(F.transform(F.filter("c", within), lambda c: c["first_id"]))).alias("first_ids"))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
