@@ -78,5 +78,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     )}
 
 
+#: Components of links(a, b) over nodes(id): every node's smallest reachable id.
+_REACH = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(id, r) AS (SELECT a, a FROM both_ways UNION SELECT reach.id, b FROM reach JOIN both_ways ON reach.r = both_ways.a),
+roots AS (SELECT id, min(r) AS root FROM reach GROUP BY 1)"""
+
+_OP1 = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+links AS (SELECT p.id AS a, q.id AS b FROM v p JOIN v q ON p.label = q.label AND p.id < q.id WHERE p.n > 0 AND q.n > 0 AND list_dot_product(p.x, q.x) / (p.n * q.n) >= 0.93),
+{_REACH}, per AS (SELECT a AS id, count(*) AS c FROM both_ways GROUP BY 1)
+SELECT v.id AS vec_id, coalesce(c, 0)::BIGINT AS n_links, coalesce(root, v.id) AS component_id, v.id = coalesce(root, v.id) AS kept FROM v LEFT JOIN per ON per.id = v.id LEFT JOIN roots ON roots.id = v.id"""
+
+_OP5 = f"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ') || '  ' || len(w)] ELSE [] END) AS g FROM w),
+z AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+links AS (SELECT p.id AS a, q.id AS b FROM s p JOIN s q ON p.g = q.g AND p.id < q.id JOIN z x ON x.id = p.id JOIN z y ON y.id = q.id GROUP BY p.id, q.id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+{_REACH}
+SELECT w.id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, w.id) AS component_id, w.id = coalesce(root, w.id) AS kept FROM w LEFT JOIN z ON z.id = w.id LEFT JOIN roots ON roots.id = w.id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries whose rows it can express; the others are tested against plain Python."""
+    return {"op1_embedding_near_dedup": _OP1, "op5_minhash_near_dedup": _OP5}
