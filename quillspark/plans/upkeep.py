@@ -242,7 +242,7 @@ def pool_recall_probe(spark, d):
 
 
 TUNES = {"default": rk.DEFAULT_TUNE, "quality": rk.retuned({"quality": 1.0})[0]}
-_ARM = "(SELECT '{arm}' AS arm, id, score FROM (SELECT w.id, round(coalesce(q.value * {quality}, 0) + coalesce(p.value * {popularity}, 0), 6) AS score FROM (SELECT p_partkey::BIGINT AS id FROM part) w LEFT JOIN q ON q.id = w.id LEFT JOIN p ON p.id = w.id) ORDER BY score DESC, id LIMIT 20)"
+_ARM = "(SELECT '{arm}' AS arm, id, score FROM (SELECT w.id, round(coalesce(q.value * {quality}, 0) + coalesce(p.value * {popularity}, 0), 5) AS score FROM (SELECT p_partkey::BIGINT AS id FROM part) w LEFT JOIN q ON q.id = w.id LEFT JOIN p ON p.id = w.id) ORDER BY score DESC, id LIMIT 20)"
 
 
 @query(f"WITH q AS ({SQL['signal_quality']}), p AS ({SQL['signal_popularity']}) " + " UNION ALL ".join("SELECT * FROM " + _ARM.format(arm=a, **{k: t[k] for k in ("quality", "popularity")}) for a, t in TUNES.items()))
@@ -251,7 +251,7 @@ def compare_tunes(spark, d):
     w = catalog(spark, d).works
     value = lambda c: F.round(c, 6).alias("value")
     sig = {"quality": w.select("id", value(fn.quality(F.col("kudos"), F.col("word_count")))), "popularity": w.select("id", value(fn.popularity(F.col("hits"), F.col("kudos"))))}
-    arms = [rk.compose(w, sig, t).select(F.lit(a).alias("arm"), "id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(20) for a, t in TUNES.items()]
+    arms = [rk.compose(w, sig, t).select(F.lit(a).alias("arm"), "id", F.round("score", 5).alias("score")).orderBy(F.desc("score"), "id").limit(20) for a, t in TUNES.items()]
     return arms[0].union(arms[1])
 
 
