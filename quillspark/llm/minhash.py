@@ -133,27 +133,32 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _by_differences(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links (a, b) of two components in a bucket, from what its texts have unlike one pivot of its largest component.
+    """All links (a, b) of two components in a bucket, from what its texts have unlike a member q of its largest component.
 
-    Let D be the shingles in which a text differs from the pivot. A text that isn't linked with the pivot is linked with
-    another only if their D have a shingle in common: else their sets would differ by at least its own D, which is too
-    much already. So an equi-join on differing shingles finds every link, and its counts give the exact similarity.
+    A text x lacks M(x) of q's shingles and has E(x) that q lacks. x of another component isn't linked with q, and then is
+    linked with a text y only if they share a differing shingle: else |x ^ y| were at least |E(x)|+|M(x)|, which is too much
+    already. Where they share none of E, |x ^ y| is at least |E(x)|+|E(y)|+||M(x)|-|M(y)||; where even that is too much, a
+    shared M makes no candidate. So an equi-join on differing shingles finds every candidate; full sets confirm.
     """
-    size = now.groupBy("key", "root").agg(F.count("*").alias("c"), F.min("rep").alias("q"))
-    main = size.groupBy("key").agg(F.max_by(F.struct("root", "q"), F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("main"), F.col("m.q").alias("q"))
-    member = now.join(main, "key").where("rep <> q").select("q", "rep", "root", (F.col("root") == F.col("main")).alias("is_main")).distinct()
+    size = now.groupBy("key", "root").agg(F.count("*").alias("c"))
+    main = size.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("q"))
+    member = now.join(main, "key").where("rep <> q").select("q", "rep", "root").distinct()
     both = member.join(sets.select(F.col("id").alias("rep"), F.col("h").alias("hx")), "rep").join(sets.select(F.col("id").alias("q"), F.col("h").alias("hq")), "q")
-    unlike = both.select("q", "rep", "root", "is_main", F.size("hx").alias("n"), F.concat(F.array_except("hx", "hq"), F.array_except("hq", "hx")).alias("d"))
-    each = stage(unlike.select("q", "rep", "root", "is_main", "n", F.size("d").alias("nd"), F.explode("d").alias("e")), "unlike")
-    mixed = each.groupBy("q", "e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("q", "e")
-    each = each.join(mixed, ["q", "e"])
-    x, y = each.where("not is_main").alias("x"), each.alias("y")
-    once = F.col("y.is_main") | (F.col("x.rep") < F.col("y.rep"))
-    met = x.join(y, (F.col("x.q") == F.col("y.q")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.root") != F.col("y.root")) & once)
-    pair = met.groupBy("x.q", F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("c"), F.first("x.n").alias("nx"), F.first("y.n").alias("ny"), F.first("x.nd").alias("dx"), F.first("y.nd").alias("dy"))
-    apart = F.col("dx") + F.col("dy") - 2 * F.col("c")
-    total = F.col("nx") + F.col("ny")
-    return pair.where(100 * (total - apart) >= percent * (total + apart)).select("a", "b")
+    unlike = both.select("q", "rep", "root", F.size("hx").alias("n"), F.array_except("hx", "hq").alias("e"), F.array_except("hq", "hx").alias("m"))
+    marked = lambda c, own: F.transform(c, lambda s: F.struct(s.alias("s"), F.lit(own).alias("own")))
+    each = unlike.select("q", "rep", "root", "n", F.size("e").alias("ne"), F.size("m").alias("nm"), F.explode(F.concat(marked("e", True), marked("m", False))).alias("d")).select("q", "rep", "root", "n", "ne", "nm", "d.s", "d.own")
+    each = stage(each, "unlike")
+    mixed = each.groupBy("q", "s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("q", "s")
+    each = each.join(mixed, ["q", "s"])
+    x, y = each.where("root <> q").alias("x"), each.alias("y")
+    most = (100 - percent) / (100 + percent) * (F.col("x.n") + F.col("y.n")) + 1e-6
+    apart = F.abs(F.col("x.ne") + F.col("x.nm") - F.col("y.ne") - F.col("y.nm"))
+    least = F.col("x.ne") + F.col("y.ne") + F.abs(F.col("x.nm") - F.col("y.nm"))
+    once = (F.col("y.root") == F.col("y.q")) | (F.col("x.rep") < F.col("y.rep"))
+    near = (F.col("x.root") != F.col("y.root")) & once & (apart <= most) & (F.col("x.own") | (least <= most))
+    met = x.join(y, (F.col("x.q") == F.col("y.q")) & (F.col("x.s") == F.col("y.s")) & near)
+    pairs = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    return _confirmed(pairs, sets, percent)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivots: int = 2) -> DataFrame:
