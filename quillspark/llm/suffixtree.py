@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import bytekit as bk
 from quillspark.llm.shared import release, stage
 
-SYMBOLS, DEPTH, GAIN, LEAST_SHARE, STATES = 64, 6, 8.0, 2e-6, 160_000
+SYMBOLS, DEPTH, GAIN, LEAST_SHARE, STATES = 64, 6, 8.0, 5e-6, 80_000
 PIECE = 4096
 BITS = 6
 BLANK, END, OTHER = 0, SYMBOLS - 1, SYMBOLS - 2
@@ -106,8 +106,13 @@ def levels_of(counted: DataFrame, least: float) -> list[tuple[np.ndarray, np.nda
     pairs = each.groupBy("x.d", "x.pair").agg(F.sum("c").alias("c")).withColumn("ctx", F.shiftright("pair", BITS))
     pairs = stage(pairs, "levels")
     often = pairs.groupBy("d", "ctx").agg(F.sum("c").alias("t")).where((F.col("t") >= least) | (F.col("d") == 0)).select("d", "ctx")
-    got = pairs.join(often, ["d", "ctx"]).select("d", "pair", "c").toPandas().sort_values(["d", "pair"])
-    return [(x["pair"].to_numpy(np.int64), x["c"].to_numpy(np.float64)) for d in range(DEPTH + 1) for x in [got[got["d"] == d]]]
+    kept, out = pairs.join(often, ["d", "ctx"]).select("d", "pair", "c"), []
+    for d in range(DEPTH + 1):
+        got = kept.where(F.col("d") == d).select("pair", "c").toArrow()
+        pair, c = (np.asarray(got.column(k).combine_chunks()) for k in range(2))
+        order = np.argsort(pair, kind="stable")
+        out.append((pair[order].astype(np.int64), c[order].astype(np.float64)))
+    return out
 
 
 def grow(levels: list[tuple[np.ndarray, np.ndarray]], gain: float = GAIN, most: int = STATES) -> dict[str, np.ndarray]:
@@ -276,8 +281,8 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ends = rows.agg(F.count_if(~F.col("held_out"))).first()[0]
     total = counts.agg(F.sum("c"), F.count("*")).first()
     n_all, kinds = (total[0] or 0) + ends, total[1] + (1 if ends else 0)
-    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas().sort_values("h")
-    common = (top["h"].to_numpy(np.int64), top["c"].to_numpy(np.float64))
+    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow().sort_by("h")
+    common = tuple(np.asarray(top.column(k).combine_chunks()).astype(t) for k, t in ((0, np.int64), (1, np.float64)))
     send = spark.sparkContext.broadcast
     scored = stage(rows.mapInArrow(_score(send(model), send(common), table, extra), SCORED), "scored")
     rare = scored.where("part is null").select("rid", "h", "n").join(counts, "h", "left")
