@@ -28,6 +28,8 @@ from quillspark.llm.minhash import MIXERS
 from quillspark.llm.shared import stage
 
 PIECE, WINDOW, BLOCK, PART_WORDS = 40, 96, 32, 1_000_000
+#: Bytes of texts scored at once: the pairs of passages and words they make are the operator's memory.
+SLICE = 512 << 10
 K1, LENGTH, LEAST_SCORE, OVERLAP, SHINGLE = 1.2, 0.75, 0.5, 0.8, 5
 
 
@@ -142,7 +144,8 @@ def _leaks(shared):
     def run(batches):
         index = shared.value
         for b in batches:
-            for lo, hi, data, offs, _ in bk.slices(pc.utf8_lower(b.column(1))):
+            for lo, hi, *_ in bk.slices(b.column(1), SLICE):
+                data, offs, _ = bk.utf8(pc.utf8_lower(b.column(1).slice(lo, hi - lo)))
                 h, _, _, doc = bk.word_hashes(data, offs, bk.ALNUM)
                 text, piece, score = retrieve(index, h, doc, hi - lo)
                 if not len(text):
