@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U = np.uint64
 #: ASCII white space: \t \n \v \f \r and space
 SPACE = np.zeros(256, bool)
@@ -69,6 +69,7 @@ def slices(column, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarr
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, side="right")) - 1)
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], nulls[i:j]
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
