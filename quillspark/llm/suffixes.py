@@ -6,7 +6,8 @@ are copies of one document: they have the same positions, so neither is earlier
 an empty table gives no rows; one text of any length is handled as one slice.
 
 How the work is dealt: each string of `length` bytes is keyed by the least hash of its GRAM-byte grams, so equal strings have
-equal keys, and consecutive strings with one key form a segment. Keys that occur once are settled by a count. Equal segments
+equal keys, and consecutive strings with one key form a segment. Keys that occur once are settled by a count, unless the segment
+holds its least gram at two places, as periodic text does: only then can it hold equal strings itself. Equal segments
 collapse to the earliest; what remains is cut into shards by key (a key with very many different segments over several shards),
 and each shard sorts its suffixes by Larsson-Sadakane refinement: a first order on eight bytes, then ranks doubled on the groups
 that are still equal. Common prefixes of suffixes that are neighbours in the order follow from the ranks kept of each doubling.
@@ -30,21 +31,28 @@ LONGEST = 200
 U = np.uint64
 
 
+def _sliding(x: np.ndarray, span: int, least) -> np.ndarray:
+    """Minimum (or maximum) of every span values in a row."""
+    width = 1
+    while 2 * width <= span:
+        x = least(x[:-width], x[width:])
+        width *= 2
+    return least(x[: len(x) - (span - width)], x[span - width :]) if span > width else x
+
+
 def segments(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(key, content hash, text index, first string's start in the text, number of strings) of a slice's segments."""
+    """(key, content hash, text index, first string's start in the text, number of strings, whether strings in it may be equal) of a slice's segments."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none.astype(U), none.astype(U), none, none, none
+        return none.astype(U), none.astype(U), none, none, none, none.astype(bool)
     s = bk.prefix_hash(data)
     at = np.arange(n - GRAM + 1)
-    m = bk.mix((s[GRAM:] - s[:-GRAM]) * bk.powers(n + 1)[1][: len(at)])
-    span, width = length - GRAM + 1, 1
-    while 2 * width <= span:
-        m = np.minimum(m[:-width], m[width:])
-        width *= 2
-    if span > width:
-        m = np.minimum(m[: len(m) - (span - width)], m[span - width :])
+    gram = bk.mix((s[GRAM:] - s[:-GRAM]) * bk.powers(n + 1)[1][: len(at)])
+    span = length - GRAM + 1
+    m = _sliding(gram, span, np.minimum)
+    edge = np.zeros(span - 1, U)
+    least = np.flatnonzero(gram == _sliding(np.concatenate([edge, m, edge]), span, np.maximum))  # least in some string that holds them
     count = np.maximum(np.diff(offs) - length + 1, 0)
     doc = np.repeat(np.arange(len(count)), count)
     start = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(offs[:-1], count)
@@ -58,14 +66,20 @@ def segments(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarra
         step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         first, size = np.repeat(first, parts) + step * LONGEST, np.minimum(np.repeat(size, parts) - step * LONGEST, LONGEST)
     a = start[first]
-    return key[first], bk.range_hash(s, a, a + size + length - 1), doc[first], a - offs[doc[first]], size
+    lo = np.searchsorted(least, a)
+    held = np.searchsorted(least, a + size + span - 1) - lo
+    seg = np.repeat(np.arange(len(a)), held)
+    met = gram[least[np.arange(len(seg)) - np.repeat(np.cumsum(held) - held, held) + np.repeat(lo, held)]] == key[first][seg]
+    inner = np.bincount(seg[met], minlength=len(a)) > 1
+    return key[first], bk.range_hash(s, a, a + size + length - 1), doc[first], a - offs[doc[first]], size, inner
 
 
 def _keys(length):
     def run(batches):
         for b in batches:
             for _, _, data, offs, _ in bk.slices(b.column(1)):
-                yield pa.record_batch([pa.array(segments(data, offs, length)[0].view(np.int64))], names=["g"])
+                key, *_, inner = segments(data, offs, length)
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(inner)], names=["g", "inner"])
 
     return run
 
@@ -74,8 +88,8 @@ def _segments(length):
     def run(batches):
         for b in batches:
             for lo, hi, data, offs, _ in bk.slices(b.column(1)):
-                key, content, doc, a, size = segments(data, offs, length)
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), b.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(a << 8 | size)], names=["g", "sh", "id", "at"])
+                key, content, doc, a, size, inner = segments(data, offs, length)
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), b.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(a << 8 | size), pa.array(inner)], names=["g", "sh", "id", "at", "inner"])
 
     return run
 
@@ -156,7 +170,8 @@ def _shard(length):
         order = np.lexsort((pos, doc, r2, r1))
         same = np.zeros(len(order), bool)
         same[1:] = (r1[order][1:] == r1[order][:-1]) & (r2[order][1:] == r2[order][:-1])
-        gone = order[same]
+        head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+        gone = order[same & ((doc[order] != doc[head]) | (pos[order] != pos[head]))]  # not what a repeated id has at the first place
         d, p = doc[gone], pos[gone]
         by = np.lexsort((p, d))
         d, p = d[by], p[by]
@@ -206,15 +221,15 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """(id, start, end) spans whose union holds exactly the removed bytes of docs (id, text)."""
     spark = docs.sparkSession
     known = docs.where("id is not null")
-    often = stage(known.mapInArrow(_keys(length), "g long").groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g"), "keys")
+    often = stage(known.mapInArrow(_keys(length), "g long, inner boolean").groupBy("g").agg(F.count("*").alias("c"), F.max("inner").alias("inner")).where("c > 1 or inner").select("g"), "keys")
     release(spark)
-    cand = stage(known.mapInArrow(_segments(length), "g long, sh long, id long, at long").join(often, "g"), "segments")
+    cand = stage(known.mapInArrow(_segments(length), "g long, sh long, id long, at long, inner boolean").join(often, "g"), "segments")
     release(spark)
-    first = cand.groupBy("g", "sh").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c"))
-    first = stage(first.select("g", "sh", "c", F.col("first.id").alias("id"), F.col("first.at").alias("at")), "first")
+    first = cand.groupBy("g", "sh").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c"), F.max("inner").alias("inner"))
+    first = stage(first.select("g", "sh", "c", "inner", F.col("first.id").alias("id"), F.col("first.at").alias("at")), "first")
     end = (F.shiftright("at", 8) + F.col("at").bitwiseAND(255) + (length - 1)).alias("end")
     copied = cand.join(first.where("c > 1").select("g", "sh", F.col("id").alias("fi"), F.col("at").alias("fa")), ["g", "sh"]).where("id <> fi or at <> fa").select("id", F.shiftright("at", 8).alias("start"), end)
-    many = first.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
+    many = first.groupBy("g").agg(F.count("*").alias("m"), F.max("inner").alias("any")).where("m > 1 or any")
     parts = F.ceil(F.col("m") / SHARD_SEGMENTS)
     todo = first.join(many, "g").select("id", "at", "g", (parts > 1).alias("hot"), F.pmod(F.xxhash64("sh"), parts).alias("part"))
     todo = stage(todo, "todo")
