@@ -64,8 +64,17 @@ def theme_labels(spark, d):
     SELECT count(*) AS shared, round(avg(list_cosine_similarity(v, w)), 5) AS cosine, round(avg(sqrt(list_dot_product(w, w)) / sqrt(list_dot_product(v, v))), 5) AS norm_ratio, avg(list_cosine_similarity(v, w)) >= 0.98 AS stable FROM n"""
 )
 def drift(spark, d):
+    return stretched_drift(spark, d, "id % 3 = 0")
+
+
+@query()
+def drift_whole(spark, d):
+    return stretched_drift(spark, d, "true")
+
+
+def stretched_drift(spark, d, which: str) -> DataFrame:
     v = vectors(spark, d)
-    new = v.where("id % 3 = 0").select("id", F.transform("v", lambda x, i: F.when(i == 0, x * F.lit(1.5)).otherwise(x.cast("double"))).alias("v"))
+    new = v.where(which).select("id", F.transform("v", lambda x, i: F.when(i == 0, x * F.lit(1.5)).otherwise(x.cast("double"))).alias("v"))
     return ml.drift(v, new).withColumn("cosine", F.round("cosine", 5)).withColumn("norm_ratio", F.round("norm_ratio", 5))
 
 

@@ -132,9 +132,9 @@ def multi_token_search(spark, d):
     return op.search(catalog(spark, d).works, "Ring").select("id", "title", "tier")
 
 
-def entries(works: DataFrame) -> DataFrame:
+def entries(works: DataFrame, which: str = "id % 40 = 0") -> DataFrame:
     """Deterministic entries to resolve: exact, misspelt by one letter, and with a foreign author."""
-    e = works.where("id % 40 = 0").withColumn("m", (F.col("id") / 40 % 3).cast("int"))
+    e = works.where(which).withColumn("m", (F.col("id") / 40 % 3).cast("int"))
     title = F.when(F.col("m") == 1, F.concat("title", F.lit("x"))).otherwise(F.col("title"))
     return e.select(F.col("id").alias("entry"), title.alias("title"), F.when(F.col("m") == 2, "Nobody").otherwise(F.col("authors")).alias("author"))
 
@@ -152,6 +152,12 @@ def fuzzy_match(spark, d):
     return op.fuzzy_match(entries(w), w)
 
 
+@query()
+def fuzzy_match_whole(spark, d):
+    w = catalog(spark, d).works
+    return op.fuzzy_match(entries(w, "true"), w)
+
+
 @query("SELECT DISTINCT work_id, tag, CASE WHEN tag_type = 'name' AND length(tag) % 2 = 0 THEN 'even' ELSE tag_type END AS tag_type FROM work_tags", "work_tags")
 def retag_update_from(spark, d):
     t = catalog(spark, d).work_tags

@@ -299,10 +299,19 @@ def slices(spark, d):
     "works carried",
 )
 def intra_list_diversity(spark, d):
+    return list_diversity(spark, d, "id < 200")
+
+
+@query()
+def intra_list_diversity_whole(spark, d):
+    return list_diversity(spark, d, "true")
+
+
+def list_diversity(spark, d, which: str) -> DataFrame:
     r = catalog(spark, d)
     from quillspark.operators.ranking import tag_sets
 
-    t = r.works.where("id < 200").select("id", (F.col("id") % 20).alias("lst")).join(tag_sets(r.work_tags).withColumnRenamed("work_id", "id"), "id")
+    t = r.works.where(which).select("id", (F.col("id") % 20).alias("lst")).join(tag_sets(r.work_tags).withColumnRenamed("work_id", "id"), "id")
     b = t.select("lst", F.col("id").alias("id2"), F.col("tags").alias("tags2"))
     return t.join(b, "lst").where("id < id2").groupBy("lst").agg(F.round(F.avg(op.jaccard(F.col("tags"), F.col("tags2"))), 6).alias("mean_jaccard"), F.count("*").alias("pairs"))
 

@@ -437,8 +437,17 @@ def bridges(spark, d):
     ALL,
 )
 def pair_similarity(spark, d):
+    return neighbour_similarity(spark, d, "id % 10 = 0")
+
+
+@query()
+def pair_similarity_whole(spark, d):
+    return neighbour_similarity(spark, d, "true")
+
+
+def neighbour_similarity(spark, d, which: str) -> DataFrame:
     r = catalog(spark, d)
-    pairs = r.works.where("id % 10 = 0").select(F.col("id").alias("x"), (F.col("id") + 1).alias("y"))
+    pairs = r.works.where(which).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y"))
     out = rel.pair_similarity(pairs, r.works, r.work_tags, rk.mean_vectors(r.work_tags, tag_vectors(spark, d, r.work_tags)))
     return out.select("x", "y", F.round("sim", 5).alias("sim"))
 

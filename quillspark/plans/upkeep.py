@@ -55,11 +55,17 @@ def profile_from_works(spark, d):
     return up.profile_from_works(r.works.where("id % 9 = 0").select("id"), r.works, r.work_tags).withColumn("weight", F.round("weight", 6))
 
 
+@query()
+def profile_from_works_whole(spark, d):
+    r = catalog(spark, d)
+    return up.profile_from_works(r.works.select("id"), r.works, r.work_tags).withColumn("weight", F.round("weight", 6))
+
+
 PROFILE = ", rt AS (SELECT id AS work_id, id % 10 + 1 AS rating, 0.5 + (id % 4) / 4 AS conf FROM works WHERE id % 11 = 0), s AS (SELECT tag, sum((rating - 5.5) * conf) / (sum(conf) + 3) AS s FROM carried JOIN rt USING (work_id) GROUP BY 1), prof AS (SELECT tag, s / (SELECT max(abs(s)) FROM s) AS weight FROM s)"
 
 
-def rated_profile(r) -> DataFrame:
-    rated = r.works.where("id % 11 = 0").select("id", (F.col("id") % 10 + 1).alias("rating"), (0.5 + (F.col("id") % 4) / 4).alias("confidence"))
+def rated_profile(r, which: str = "id % 11 = 0") -> DataFrame:
+    rated = r.works.where(which).select("id", (F.col("id") % 10 + 1).alias("rating"), (0.5 + (F.col("id") % 4) / 4).alias("confidence"))
     return up.profile_from_ratings(rated, r.work_tags)
 
 
@@ -68,12 +74,23 @@ def profile_from_ratings(spark, d):
     return rated_profile(catalog(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
+@query()
+def profile_from_ratings_whole(spark, d):
+    return rated_profile(catalog(spark, d), "true").withColumn("weight", F.round("weight", 6))
+
+
 @query(PROFILE + " SELECT work_id AS id, round(coalesce(sum(weight), 0) / sqrt(count(*)), 6) AS score FROM carried LEFT JOIN prof USING (tag) GROUP BY 1", "works carried")
 def profile_score(spark, d):
     r = catalog(spark, d)
     return up.profile_score(r.work_tags, rated_profile(r)).withColumn("score", F.round("score", 6))
 
 
+@query()
+def profile_score_whole(spark, d):
+    r = catalog(spark, d)
+    return up.profile_score(r.work_tags, rated_profile(r, "true")).withColumn("score", F.round("score", 6))
+
+
 SHELF = ", rd AS (SELECT DISTINCT work_id FROM reads WHERE user_id = (SELECT min(user_id) FROM reads)), tt AS (SELECT tag, count(*) / (1 + ln(1 + any_value(df.df))) AS t FROM carried JOIN rd USING (work_id) JOIN df USING (tag) GROUP BY 1), ta AS (SELECT tag, t / (SELECT max(t) FROM tt) AS taste FROM tt)"
 
 
@@ -101,8 +118,9 @@ def shelf_scores(spark, d):
 VEC = ", ov AS (SELECT user_id AS owner, k % 30 AS tag, avg(value) - 50 AS weight FROM evt WHERE user_id < 30 GROUP BY 1, 2)"
 
 
-def owner_vectors(spark, d) -> DataFrame:
-    e = pc.events(spark, d).where("user_id < 30")
+def owner_vectors(spark, d, which: str = "user_id < 30") -> DataFrame:
+    """The SQL twins hold the first owners against each other; the `_whole` queries all of them."""
+    e = pc.events(spark, d).where(which)
     return e.groupBy(F.col("user_id").alias("owner"), (F.col("k") % 30).alias("tag")).agg((F.avg("value") - 50).alias("weight"))
 
 
@@ -126,6 +144,22 @@ def influence(spark, d):
     return up.influence(a).select("x", "y", F.round("influence", 5).alias("influence"))
 
 
+@query()
+def agreement_whole(spark, d):
+    return up.agreement(owner_vectors(spark, d, "true")).withColumn("agree", F.round("agree", 6))
+
+
+@query()
+def agreement_literal_whole(spark, d):
+    return up.agreement(owner_vectors(spark, d, "true"), literal=True).withColumn("agree", F.round("agree", 6))
+
+
+@query()
+def influence_whole(spark, d):
+    a = up.agreement(owner_vectors(spark, d, "true")).withColumn("agree", F.round("agree", 6))
+    return up.influence(a).select("x", "y", F.round("influence", 5).alias("influence"))
+
+
 @query(
     RATED + px.GAMES + """, c AS (SELECT id, mu, phi FROM rated ORDER BY phi DESC, id LIMIT 40), p AS (SELECT x.id AS a, y.id AS b, abs(x.mu - y.mu) AS gap, x.phi AS pa, y.phi AS pb FROM c x JOIN c y ON x.id < y.id),
     w AS (SELECT a, b, round((pa + pb) / (1 + gap / 100), 9) AS worth FROM p WHERE NOT (pa < 80 AND pb < 80 AND gap > 300) AND gap <= 1000 AND (a, b) NOT IN (SELECT (least(a, b), greatest(a, b)) FROM games))
@@ -163,7 +197,17 @@ def harvest_score(spark, d):
 )
 def explanation_pair(spark, d):
     r = catalog(spark, d)
-    pairs = r.works.where("id % 17 = 3").select("id").join(F.broadcast(pc.seeds(r.works, 1))).where("id <> seed").select("seed", "id")
+    return explained(r, r.works.where("id % 17 = 3"))
+
+
+@query()
+def explanation_pair_whole(spark, d):
+    r = catalog(spark, d)
+    return explained(r, r.works)
+
+
+def explained(r, works: DataFrame) -> DataFrame:
+    pairs = works.select("id").join(F.broadcast(pc.seeds(r.works, 1))).where("id <> seed").select("seed", "id")
     return up.explanation(r.work_tags, r.interactions, pairs)
 
 

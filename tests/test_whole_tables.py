@@ -1,0 +1,29 @@
+"""The `_whole` queries against the SQL of their twins with the twins' id subsets taken out, and the operators on more than 30 owners."""
+
+import duckdb
+import pytest
+from test_catalogue import TABLES, key, plain
+
+from quillspark.plans import catalogue
+
+SUBSETS = {
+    "agreement": "WHERE user_id < 30 ", "agreement_literal": "WHERE user_id < 30 ", "influence": "WHERE user_id < 30 ", "intra_list_diversity": " WHERE id < 200", "fuzzy_match": " WHERE id % 40 = 0", "pair_similarity": "id % 10 = 0 AND ",
+    "explanation_pair": "id % 17 = 3 AND ", "drift": " WHERE vec_id % 3 = 0", "profile_from_works": " WHERE id % 9 = 0", "profile_from_ratings": " WHERE id % 11 = 0", "profile_score": " WHERE id % 11 = 0",
+}
+
+
+@pytest.mark.parametrize("name", sorted(SUBSETS))
+def test_whole_query_reads_every_row(name, spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    part = catalogue.oracle_sql()[name]
+    assert SUBSETS[name] in part
+    want = con.sql(part.replace(SUBSETS[name], ""))
+    got = catalogue.queries()[f"{name}_whole"](spark, sf)
+    cols = sorted(want.columns)
+    assert cols == sorted(got.columns)
+    a = sorted((tuple(plain(r[c]) for c in cols) for r in got.collect()), key=key)
+    b = sorted((tuple(plain(r[want.columns.index(c)]) for c in cols) for r in want.fetchall()), key=key)
+    assert a == b and a
