@@ -8,7 +8,8 @@ others, blocks of pieces whose block maxima don't add up are; the rest is scored
 
 A retrieved item leaks when the text holds at least OVERLAP of the item's five-word shingles, or of its question's: the last
 sentence (or the last quarter of the words, where there is but one) is the answer, what stands before it the question. Items of
-fewer than five words are one shingle.
+fewer than five words are one shingle. A question alone, or one in scattered pieces, can hold less than LEAST_SCORE of a piece's
+weight: such texts are found by the shingles they share with an item, counted for every text, and scored after that.
 
 A null or empty text or item gives no rows. Rows that repeat an id are reported together (the best of each item); null ids
 are reported under null. Extra columns are not read. The index is built per part of at most PART_WORDS item words and broadcast;
@@ -81,10 +82,18 @@ def build_index(items: list[tuple[int, str]]) -> dict:
     np.maximum.at(block_max, inv, impact)
     most = np.zeros(len(vocab))
     np.maximum.at(most, term, impact)
+    whole, question = [_shingles(h) for h in words], [_shingles(h[:a]) for h, a in zip(words, answers)]
+    longer = [i for i, h in enumerate(words) if len(h) > SHINGLE]
+    gram = np.concatenate([whole[i] for i in longer]) if longer else np.zeros(0, np.uint64)
+    asked = np.concatenate([np.isin(whole[i], question[i]) for i in longer]) if longer else np.zeros(0, bool)
+    of = np.repeat(np.array(longer, np.int64), [len(whole[i]) for i in longer])
+    order = np.argsort(gram, kind="stable")
+    gram, at_gram = np.unique(gram[order], return_index=True)
     return {
+        "gram": gram, "gram_at": np.append(at_gram, len(order)), "gram_item": of[order], "gram_asked": asked[order],
         "vocab": vocab, "most": most, "doc": doc, "impact": impact, "at": np.searchsorted(term, np.arange(len(vocab) + 1)), "block": key % max(blocks, 1), "block_max": block_max, "block_at": np.searchsorted(key // max(blocks, 1), np.arange(len(vocab) + 1)),
         "blocks": max(blocks, 1), "owner": np.array(owner, np.int64), "ids": np.array(ids, np.int64),
-        "question": [_shingles(h[:a]) for h, a in zip(words, answers)], "answer": [_shingles(h[a:]) for h, a in zip(words, answers)], "whole": [_shingles(h) for h in words], "size": [len(h) for h in words],
+        "question": question, "answer": [_shingles(h[a:]) for h, a in zip(words, answers)], "whole": whole, "size": [len(h) for h in words],
     }
 
 
@@ -140,6 +149,46 @@ def retrieve(index: dict, h: np.ndarray, doc: np.ndarray, n: int, least: float =
     return text, key % pieces_n, score
 
 
+def held(index: dict, h: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
+    """(text, item) of every text that holds OVERLAP of the shingles of an item, or of its question."""
+    gram, n = index["gram"], len(h) - SHINGLE + 1
+    if n <= 0 or not len(gram):
+        return []
+    acc = np.full(n, SHINGLE, np.uint64)
+    for j in range(SHINGLE):
+        acc += h[j : n + j] * MIXERS[j]
+    acc = bk.mix(acc)
+    place = np.minimum(np.searchsorted(gram, acc), len(gram) - 1)
+    hit = np.flatnonzero((gram[place] == acc) & (doc[:n] == doc[SHINGLE - 1 :]))
+    pair = np.unique(doc[hit] * len(gram) + place[hit])
+    pos, src = _spread(index["gram_at"], pair % len(gram))
+    items = len(index["whole"])
+    key, inv = np.unique((pair // len(gram))[src] * items + index["gram_item"][pos], return_inverse=True)
+    both, asked = np.bincount(inv, minlength=len(key)), np.bincount(inv, index["gram_asked"][pos], len(key))
+    out = []
+    for k, c, q in zip(key.tolist(), both.tolist(), asked.tolist()):
+        i = k % items
+        if c / len(index["whole"][i]) >= OVERLAP or q / max(1, len(index["question"][i])) >= OVERLAP:
+            out.append((k // items, i))
+    return out
+
+
+def best_score(index: dict, h: np.ndarray, item: int) -> float:
+    """The largest score of a piece of one item in the passages of one text."""
+    best, step = 0.0, WINDOW // 2
+    for piece in np.flatnonzero(index["owner"] == item).tolist():
+        post = np.flatnonzero(index["doc"] == piece)
+        term = np.searchsorted(index["at"], post, side="right") - 1
+        words, impact = index["vocab"][term], index["impact"][post]
+        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        hit = np.flatnonzero(words[at] == h)
+        half = hit // step
+        pair = np.unique(np.concatenate([half, np.maximum(half - 1, 0)]) * len(words) + np.concatenate([at[hit], at[hit]]))
+        if len(pair):
+            best = max(best, float(np.bincount(pair // len(words), impact[pair % len(words)]).max()))
+    return best
+
+
 def _leaks(shared):
     def run(batches):
         index = shared.value
@@ -148,13 +197,14 @@ def _leaks(shared):
                 data, offs, _ = bk.utf8(pc.utf8_lower(b.column(1).slice(lo, hi - lo)))
                 h, _, _, doc = bk.word_hashes(data, offs, bk.ALNUM)
                 text, piece, score = retrieve(index, h, doc, hi - lo)
-                if not len(text):
-                    continue
                 at = bk.per_text(doc, hi - lo)
                 rows = {}
                 for i, p, s in zip(text.tolist(), piece.tolist(), score.tolist()):
                     k = (i, int(index["owner"][p]))
                     rows[k] = max(rows.get(k, 0.0), s)
+                for i, item in held(index, h, doc):
+                    if (i, item) not in rows:
+                        rows[i, item] = best_score(index, h[at[i] : at[i + 1]], item)
                 out, seen, of = [], None, -1
                 for (i, item), s in sorted(rows.items()):
                     if i != of:
