@@ -135,9 +135,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _by_differences(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All links (a, b) of two components in a bucket, from what its texts have unlike a member q of its largest component.
 
-    A text x lacks M(x) of q's shingles and has E(x) that q lacks. x of another component isn't linked with q, and then is
-    linked with a text y only if they share a differing shingle: else |x ^ y| were at least |E(x)|+|M(x)|, which is too much
-    already. Where they share none of E, |x ^ y| is at least |E(x)|+|E(y)|+||M(x)|-|M(y)||; where even that is too much, a
+    A text x lacks M(x) of q's shingles and has E(x) that q lacks, which tells whether x is linked with q. Where x or y is not,
+    the two are linked only if they share a differing shingle: else they were no more alike than that one and q, which is too
+    little already; where both are, q joins them. Where they share none of E, |x ^ y| is at least |E(x)|+|E(y)|+||M(x)|-|M(y)||; where even that is too much, a
     shared M makes no candidate. So an equi-join on differing shingles finds every candidate; full sets confirm.
     """
     size = now.groupBy("key", "root").agg(F.count("*").alias("c"))
@@ -148,6 +148,9 @@ def _by_differences(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     marked = lambda c, own: F.transform(c, lambda s: F.struct(s.alias("s"), F.lit(own).alias("own")))
     each = unlike.select("q", "rep", "root", "n", F.size("e").alias("ne"), F.size("m").alias("nm"), F.explode(F.concat(marked("e", True), marked("m", False))).alias("d")).select("q", "rep", "root", "n", "ne", "nm", "d.s", "d.own")
     each = stage(each, "unlike")
+    # q itself, which may have met only other pivots so far
+    direct = each.where((F.col("root") != F.col("q")) & (100 * (F.col("n") - F.col("ne")) >= percent * (F.col("n") + F.col("nm"))))
+    direct = direct.select(F.least("rep", "q").alias("a"), F.greatest("rep", "q").alias("b")).distinct()
     mixed = each.groupBy("q", "s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("q", "s")
     each = each.join(mixed, ["q", "s"])
     x, y = each.where("root <> q").alias("x"), each.alias("y")
@@ -158,7 +161,7 @@ def _by_differences(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     near = (F.col("x.root") != F.col("y.root")) & once & (apart <= most) & (F.col("x.own") | (least <= most))
     met = x.join(y, (F.col("x.q") == F.col("y.q")) & (F.col("x.s") == F.col("y.s")) & near)
     pairs = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    return _confirmed(pairs, sets, percent)
+    return _confirmed(pairs, sets, percent).union(direct)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivots: int = 2) -> DataFrame:
