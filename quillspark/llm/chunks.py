@@ -21,7 +21,7 @@ from quillspark.llm import bytekit as bk
 from quillspark.llm.shared import release, stage
 
 MIN_CHUNK, MAX_CHUNK, MASK = 24, 512, np.uint32(((1 << 5) - 1) << 27)
-#: Least bytes of a removed run, and of a stretch in it whose first copies stand in one piece too.
+#: Least bytes of a removed run, and of a stretch in it whose first copies stand in one piece too; a whole document needs neither.
 SHORTEST, STRETCH = 100, 80
 GEAR = np.random.default_rng(31).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -88,7 +88,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row of docs: n_bytes, n_chunks removed, bytes removed, removed spans and the ids that keep the removed text.
 
     Runs of repeated chunks that touch are one span. It is removed if it has `shortest` bytes and holds `stretch` bytes whose
-    first copies touch as well: stock lines that happen to meet are no passage.
+    first copies touch as well: stock lines that happen to meet are no passage. A run that is the whole document always goes.
     """
     found = stage(duplicate_chunks(docs, id_col, text_col), "repeats")
     release(docs.sparkSession)
@@ -106,11 +106,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
         return F.concat(F.when(touches, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc), F.array(run))
 
-    runs = each.select("id", "c", F.filter(F.aggregate("c", empty, fold), lambda r: (r["end"] - r["start"] >= shortest) & (r["best"] >= stretch)).alias("spans"))
+    runs = each.select("id", "c", F.aggregate("c", empty, fold).alias("runs"))
     within = lambda c: F.exists("spans", lambda r: (r["start"] <= c["start"]) & (c["start"] < r["end"]))
-    runs = runs.select("id", "spans", F.array_sort(F.array_distinct(F.transform(F.filter("c", within), lambda c: c["first_id"]))).alias("first_ids"))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
     out = base.join(runs, base["id"].eqNullSafe(runs["id"]), "left").drop(runs["id"])
+    passage = lambda r: (r["end"] - r["start"] >= shortest) & (r["best"] >= stretch) | (r["start"] == 0) & (r["end"] == F.col("n_bytes"))
+    out = out.select("id", "n_bytes", "c", F.filter("runs", passage).alias("spans"))
+    out = out.select("id", "n_bytes", "spans", F.array_sort(F.array_distinct(F.transform(F.filter("c", within), lambda c: c["first_id"]))).alias("first_ids"))
     total = F.aggregate("spans", F.lit(0).cast("long"), lambda a, r: a + (r["end"] - r["start"]))
     return out.select(
         "id", "n_bytes", F.coalesce(F.aggregate("spans", F.lit(0), lambda a, r: a + r["n"]), F.lit(0)).cast("long").alias("n_removed_chunks"), F.coalesce(total, F.lit(0)).cast("long").alias("n_removed"),
