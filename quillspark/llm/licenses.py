@@ -3,7 +3,8 @@
 A-Z is lower-cased, words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ (digits, letters, everything beyond ASCII). Every rolling K-word hash of a
 text is joined to the positions of that hash in the templates; a hit votes for the diagonal (text position - template
 position). Full votes of a short phrase on one diagonal are a place of it; for the longer notices, neighbouring diagonals
-(words put in or left out) merge, and a merged span counts when it holds enough of the template and little else.
+(words put in or left out) merge, and a merged span counts when it holds enough of the template and little else, or when one
+diagonal in it has every vote of the template.
 
 A null text is empty; a text without words has n_words 0, no labels and score 0. Every input row gives one output row, also
 where ids repeat or are null; extra columns are not read. Texts of any length are one row.
@@ -79,12 +80,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(near) > SLACK, F.lit(True)) | F.col("base")
     cluster = F.sum(fresh.cast("int")).over(near.rowsBetween(W.unboundedPreceding, 0))
     spans = votes.withColumn("cluster", F.coalesce(cluster, F.lit(0))).groupBy("rid", "tpl", "cluster").agg(
-        F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("grams").alias("grams"), F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("grams").alias("grams"), F.max(F.col("votes") == F.col("grams")).alias("full"), F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
     )
     share = F.least(F.col("votes") / F.col("grams"), F.lit(1.0))
     dense = F.col("votes") / (F.col("hi") - F.col("lo") + 1)
     place = F.col("base") & (F.col("votes") == F.col("grams"))
-    found = place | (~F.col("base") & (share >= LEAST_SHARE) & (dense >= LEAST_DENSITY))
+    found = place | (~F.col("base") & (F.col("full") | ((share >= LEAST_SHARE) & (dense >= LEAST_DENSITY))))
     joined = lambda ok: F.array_join(F.array_sort(F.collect_set(F.when(ok, F.col("label")))), ",")
     return spans.groupBy("rid").agg(
         F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.count_if(place).alias("n_base"), F.min(F.when(place, F.col("lo"))).cast("long").alias("first_word"), F.max(F.when(place, F.col("lo"))).cast("long").alias("last_word"),
