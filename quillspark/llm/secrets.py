@@ -235,13 +235,13 @@ def scan(data: np.ndarray, offs: np.ndarray, w: np.ndarray, trans: np.ndarray) -
     view = data.tobytes()
     low = bk.LOWER[data].tobytes()
     text = lambda i: view[offs[i] : offs[i + 1]]
-    hits = np.unique(np.searchsorted(offs, [m.start() for m in CUE.finditer(low)], side="right") - 1)
-    for i in hits.tolist():
-        for m in ASSIGN.finditer(text(i)):
-            if len(m[2]) >= LEAST["assign"]:
-                out.setdefault(i, []).append((m.start(), "assign", m.end()))
-    if b"AKIA" in view:
-        for i in np.unique(np.searchsorted(offs, [m.start() for m in re.finditer(b"AKIA", view)], side="right") - 1).tolist():
+    # a match over the border of two texts would hide one that starts in the second, so every text is searched alone
+    for i in range(len(offs) - 1):
+        if CUE.search(low, int(offs[i]), int(offs[i + 1])):
+            for m in ASSIGN.finditer(text(i)):
+                if len(m[2]) >= LEAST["assign"]:
+                    out.setdefault(i, []).append((m.start(), "assign", m.end()))
+        if view.find(b"AKIA", offs[i], offs[i + 1]) >= 0:
             for m in ACCESS.finditer(text(i)):
                 if len(m[0]) >= LEAST["access"]:
                     out.setdefault(i, []).append((m.start(), "access", m.end()))
