@@ -14,9 +14,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; one of our own only where that is unset and all runs in this process (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -35,18 +37,31 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a staged table whose readers are done; one still listed is deleted at exit."""
+    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        for k, (spark, known) in enumerate(_written):
+            if path.endswith(known.rsplit("/", 1)[1]):
+                _delete(spark, known)
+                del _written[k]
+                break
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished phases, whose frames are out of scope."""
     gc.collect()
     spark._jvm.System.gc()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session is gone: the folder's owner cleans it
             return
 

@@ -1,39 +1,44 @@
-"""Language-model scoring with a probabilistic suffix tree over symbols, beside a unigram base over words.
+"""Language-model scoring with a probabilistic suffix tree over bytes, beside a unigram base over words.
 
 Text: A-Z lower-cased; tokens are the runs of non-(ASCII)-space characters and one end. Rows whose crc32 of the id as text modulo
 5 is 1 are held out; all others, null ids included, are learnt from. Base: sum over tokens of
 log10((c+0.5)/(N+0.5*(V+1))), c the token's count in training, N all training tokens, V the distinct ones.
 
-The tree's symbols are the text's bytes with runs of space as one blank, and an end; bytes that are not among the most frequent
-SYMBOLS - 3 of the training text share a class, inside which they are uniform. Contexts have up to DEPTH symbols; candidates
-are those seen in at least LEAST_SHARE of all places. A context stays when its next-symbol distribution diverges from that of its parent (one symbol shorter): count times divergence of at
-least GAIN nats. With a context stay its prefixes and suffixes, so that the longest retained suffix of a history is the state
-of an automaton. A state's distribution is smoothed with its parent's by the number of symbols seen after it. The score is the
-log10 probability of the whole normalised text with its end; scoring walks the automaton over whole texts, many at once.
+The tree's symbols are the text's bytes with runs of space as one blank, and an end. Contexts have up to DEPTH symbols. All
+contexts of up to LOW symbols stay; a longer one stays when it was seen LEAST times or more and its next-symbol distribution
+diverges from that of its parent (one symbol shorter): the sum of c*ln(share/parent's probability) is at least GAIN nats. With
+a context stay its suffixes. A distribution is smoothed with its parent's by the number of symbols seen after it. The score is
+the log10 probability of the whole normalised text with its end, each symbol under its longest retained context.
 
-A null text is empty and scores its end alone. Every input row gives one output row; extra columns are not read. Without any
-training rows N and V are 0 and the tree is its root. Context counts are shuffled as counts per distinct context and symbol;
-the automaton is broadcast: its size is bounded by STATES, checked by raising GAIN until it fits.
+No bound on contexts is relative to the input, so the tree grows with it; it is therefore never in one place. A string of context
+and symbol is an integer, the latest symbol of the context first, so that contexts are prefixes; buckets hold all strings
+with the same last three symbols. Groups of whole texts count their distinct strings, buckets add the counts in a tree of merges,
+build their part of the model, and answer each group's strings with probabilities. Only the levels up to LOW are sent to all
+tasks: 256**(LOW+1) numbers at the very most, a few ten thousand in practice.
+
+A null text is empty and scores its end alone. Every input row gives one output row, also where ids repeat or are null; extra
+columns are not read; a text of any length is handled whole. Without any training rows N and V are 0 and symbols are uniform.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import bytekit as bk
-from quillspark.llm.shared import release, stage
+from quillspark.llm.shared import drop, release, stage
 
-SYMBOLS, DEPTH, GAIN, LEAST_SHARE, STATES = 64, 6, 8.0, 5e-6, 80_000
-PIECE = 4096
-BITS = 6
-BLANK, END, OTHER = 0, SYMBOLS - 1, SYMBOLS - 2
-START = END  # a text's history begins with the end of another
+DEPTH, LOW, GAIN, LEAST = 6, 2, 8.0, 8
+#: Bytes of text in a group, of all text per bucket, groups of a bucket merged or answered at once, most buckets.
+GROUP_BYTES, BUCKET_BYTES, FAN, BUCKETS = 8 << 20, 32 << 20, 32, 4096
+BLANK, END = 32, 10  # white space other than a blank never stands in normalised text
+ALPHABET = 252  # bytes that aren't white space, the blank and the end
 
 
-def symbols(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of each text, runs of space as one blank and none at the ends, then its end: (symbols, offsets)."""
     n = len(offs) - 1
     start, end, doc = bk.words(data, offs, ~bk.SPACE)
@@ -50,158 +55,181 @@ def symbols(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.n
     before = upto - gap - np.repeat((upto - gap)[at[:-1][np.diff(at) > 0]], np.diff(at)[np.diff(at) > 0])
     to = out_offs[doc] + before + ~first
     inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    out[np.repeat(to, size) + inner] = table[data[np.repeat(start, size) + inner]]
+    out[np.repeat(to, size) + inner] = data[np.repeat(start, size) + inner]
     out[out_offs[1:] - 1] = END
     return out, out_offs
 
 
-def _bytes(batches):
-    total = np.zeros(256, np.int64)
-    for b in batches:
-        for _, _, data, _, _ in bk.slices(b.column(0)):
-            total += np.bincount(bk.LOWER[data], minlength=256)
-    some = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["b", "c"])
+def coded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(string of context and symbol at every place, offsets of the texts). A text's history begins with ends."""
+    s, o = symbols(bk.LOWER[data], offs)
+    at = np.arange(len(s)) + DEPTH * (np.repeat(np.arange(len(o) - 1), np.diff(o)) + 1)
+    p = np.full(len(s) + DEPTH * (len(o) - 1), END, np.int64)
+    p[at] = s
+    two = p[1:] << 8 | p[:-1]
+    four = two[2:] << 16 | two[:-2]
+    six = four[2:] << 16 | two[:-4]
+    return six[at - DEPTH] << 8 | s, o
 
 
-def _counts(table: np.ndarray):
-    """Partial counts of DEPTH+1-symbol strings, each at the end of its text's history."""
+def _blobs(group: pa.Table, name: str, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for chunk in group.column(name).chunks for x in chunk]
 
-    def merge(parts):
-        k = np.concatenate([p[0] for p in parts])
-        c = np.concatenate([p[1] for p in parts])
-        order = np.argsort(k, kind="stable")
-        k, c = k[order], c[order]
-        first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, int)
-        return k[first], np.add.reduceat(c, first) if len(first) else c
 
-    def run(batches):
-        parts, held = [], 0
-        for b in batches:
-            for _, _, data, offs, _ in bk.slices(b.column(0)):
-                s, o = symbols(bk.LOWER[data], offs, table)
-                padded = np.full(len(s) + DEPTH * (len(o) - 1), START, np.int64)
-                doc = np.repeat(np.arange(len(o) - 1), np.diff(o))
-                padded[np.arange(len(s)) + DEPTH * (doc + 1)] = s
-                code = np.zeros(len(s), np.int64)
-                at = np.arange(len(s)) + DEPTH * (doc + 1)
-                for j in range(DEPTH, -1, -1):
-                    code = code << BITS | padded[at - j]
-                parts.append(np.unique(code, return_counts=True))
-                held += len(parts[-1][0])
-                if held > 4_000_000:
-                    parts = [merge(parts)]
-                    held = len(parts[0][0]) // 2
-        if parts:
-            k, c = merge(parts)
-            for lo in range(0, len(k), 200_000):
-                yield pa.record_batch([pa.array(k[lo : lo + 200_000]), pa.array(c[lo : lo + 200_000].astype(np.int64))], names=["code", "c"])
+def _pack(*columns: np.ndarray) -> list[bytes]:
+    return [np.ascontiguousarray(c).tobytes() for c in columns]
+
+
+def _distinct(sorted_: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(sorted_) else np.zeros(0, np.int64)
+
+
+CODES = "grp long, bucket long, codes binary, counts binary"
+_CODES = pa.schema([("grp", pa.int64()), ("bucket", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary())])
+
+
+def _count(buckets: int):
+    """A group's distinct strings by bucket, and how often each was seen in training."""
+
+    def run(key, group):
+        seen = []
+        held = np.asarray(group.column("held_out").combine_chunks())
+        for lo, hi, data, offs, _ in bk.slices(group.column("text")):
+            code, o = coded(data, offs)
+            seen.append(code << 1 | np.repeat(held[lo:hi], np.diff(o)))
+        seen = np.concatenate(seen) if seen else np.zeros(0, np.int64)
+        seen.sort()
+        learnt = (seen & 1) == 0
+        seen >>= 1
+        first = _distinct(seen)
+        times = np.add.reduceat(learnt, first, dtype=np.int64) if len(first) else first
+        code = seen[first]
+        to = (bk.mix((code >> 32).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        to, code, times = to[order], code[order], times[order]
+        cut = _distinct(to)
+        parts = [(c, t) for c, t in zip(np.split(code, cut[1:]), np.split(times, cut[1:]))] if len(cut) else []
+        grp = key[0].as_py()
+        return pa.table([[grp] * len(cut), to[cut], _pack(*(c for c, _ in parts)), _pack(*(t for _, t in parts))], schema=_CODES)
 
     return run
 
 
-def levels_of(counted: DataFrame, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per context length, (context and symbol, times) of the contexts seen at least `least` times; at most N/least contexts each."""
-    each = counted.select(F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.col("code").bitwiseAND((1 << BITS * (d + 1)) - 1).alias("pair")) for d in range(DEPTH + 1)))).alias("x"), "c")
-    pairs = each.groupBy("x.d", "x.pair").agg(F.sum("c").alias("c")).withColumn("ctx", F.shiftright("pair", BITS))
-    pairs = stage(pairs, "levels")
-    often = pairs.groupBy("d", "ctx").agg(F.sum("c").alias("t")).where((F.col("t") >= least) | (F.col("d") == 0)).select("d", "ctx")
-    kept, out = pairs.join(often, ["d", "ctx"]).select("d", "pair", "c"), []
-    for d in range(DEPTH + 1):
-        got = kept.where(F.col("d") == d).select("pair", "c").toArrow()
-        pair, c = (np.asarray(got.column(k).combine_chunks()) for k in range(2))
-        order = np.argsort(pair, kind="stable")
-        out.append((pair[order].astype(np.int64), c[order].astype(np.float64)))
+def _merge(key, group):
+    """The training counts of a bucket's groups in one."""
+    code, times = np.concatenate(_blobs(group, "codes", np.int64)), np.concatenate(_blobs(group, "counts", np.int64))
+    code, times = code[times > 0], times[times > 0]
+    order = np.argsort(code, kind="stable")  # runs that are sorted already merge
+    code, times = code[order], times[order]
+    first = _distinct(code)
+    times = np.add.reduceat(times, first) if len(first) else times
+    return pa.table([[key[1].as_py()], [key[0].as_py()], _pack(code[first]), _pack(times)], schema=_CODES)
+
+
+def context(code: np.ndarray, d: int) -> np.ndarray:
+    """The context of d symbols of a string."""
+    return code >> 8 * (DEPTH + 1 - d)
+
+
+def shorter(pair: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strings without their context's oldest symbol, and their counts added up."""
+    up, at = np.unique(parent(pair), return_inverse=True)
+    return up, np.bincount(at, c, len(up))
+
+
+def parent(pair: np.ndarray) -> np.ndarray:
+    return pair >> 16 << 8 | pair & 255
+
+
+def level(pair: np.ndarray, c: np.ndarray, back: np.ndarray, half: float | None = None) -> tuple[np.ndarray, ...]:
+    """(contexts, times seen, weight left to the parent, probability of each string, gain over the parent)."""
+    ctx, at = np.unique(pair >> 8, return_inverse=True)
+    t, k = np.bincount(at, c, len(ctx)), np.bincount(at, minlength=len(ctx)).astype(np.float64)
+    k = np.full(len(ctx), half) if half else k
+    p = c / (t + k)[at] + (k / (t + k))[at] * back
+    return ctx, t, k / (t + k), p, np.bincount(at, c * np.log(c / t[at] / back), len(ctx))
+
+
+def low_levels(pair: np.ndarray, c: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """(contexts, weight left, strings, probabilities) of the contexts of up to LOW symbols."""
+    order = np.argsort(pair, kind="stable")
+    counts = [(pair[order], c[order].astype(np.float64))]
+    for _ in range(LOW):
+        counts.append(shorter(*counts[-1]))
+    out = []
+    for d, (pair, c) in enumerate(reversed(counts)):
+        back = out[-1][3][np.searchsorted(out[-1][2], parent(pair))] if d else np.full(len(pair), 1 / ALPHABET)
+        ctx, _, left, p, _ = level(pair, c, back, None if d else ALPHABET / 2)
+        out.append((ctx, left, pair, p))
     return out
 
 
-def grow(levels: list[tuple[np.ndarray, np.ndarray]], gain: float = GAIN, most: int = STATES) -> dict[str, np.ndarray]:
-    """The automaton: next state and log10 probability per (state, symbol).
-
-    levels: per context length, the sorted strings of a context and one symbol, and how often each was seen.
-    """
-    mask = (1 << BITS) - 1
-    tail = lambda k, d: k & ((1 << BITS * d) - 1)  # the last d symbols
-    ctxs, totals, kinds, pairs, probs, gains = [], [], [], [], [], []
-    for d, (pair, c) in enumerate(levels):
-        ctx, at = np.unique(pair >> BITS, return_inverse=True)
-        total, kind = np.bincount(at, c, len(ctx)), np.bincount(at, minlength=len(ctx)).astype(np.float64)
-        if d:
-            back = probs[d - 1][np.searchsorted(pairs[d - 1], tail(pair, d))]
-            p = c / (total + kind)[at] + (kind / (total + kind))[at] * back
-            gains.append(np.bincount(at, c * np.log(np.maximum(c / np.maximum(total[at], 1e-9), 1e-12) / back), len(ctx)))
-        else:
-            p = (c + 0.5) / (total + 0.5 * SYMBOLS)[at]
-            gains.append(np.full(len(ctx), np.inf))
-        for xs, x in ((ctxs, ctx), (totals, total), (kinds, kind), (pairs, pair), (probs, p)):
-            xs.append(x)
-    while True:
-        keep = [g >= gain for g in gains]
-        keep[0][:] = True
-        for d in range(DEPTH, 1, -1):  # suffixes and prefixes of what stays
-            k = ctxs[d][keep[d]]
-            keep[d - 1][np.searchsorted(ctxs[d - 1], tail(k, d - 1))] = True
-            at = np.minimum(np.searchsorted(ctxs[d - 1], k >> BITS), len(ctxs[d - 1]) - 1)
-            keep[d - 1][at[ctxs[d - 1][at] == k >> BITS]] = True
-        if sum(int(x.sum()) for x in keep) <= most:
-            break
-        gain *= 1.5
-    kept = [c[k] for c, k in zip(ctxs, keep)]
-    base = np.cumsum([0, *(len(k) for k in kept)])
-    step, logp = np.zeros((int(base[-1]), SYMBOLS), np.int32), np.empty((int(base[-1]), SYMBOLS), np.float32)
-    for d in range(DEPTH + 1):
-        lo, hi = int(base[d]), int(base[d + 1])
-        if d:
-            share = kinds[d][keep[d]] / (totals[d] + kinds[d])[keep[d]]
-            rows = logp[base[d - 1] + np.searchsorted(kept[d - 1], tail(kept[d], d - 1))] * share[:, None].astype(np.float32)
-        else:
-            rows = np.full((1, SYMBOLS), 0.5 / (totals[0][0] + 0.5 * SYMBOLS), np.float32)
-        at = np.minimum(np.searchsorted(kept[d], pairs[d] >> BITS), hi - lo - 1) if hi > lo else np.zeros(len(pairs[d]), int)
-        here = kept[d][at] == pairs[d] >> BITS if hi > lo else np.zeros(len(pairs[d]), bool)
-        rows[at[here], (pairs[d] & mask)[here]] = probs[d][here]
-        logp[lo:hi] = rows
-        done = np.zeros((hi - lo, SYMBOLS), bool)
-        for e in range(min(d + 1, DEPTH), 0, -1):
-            if not len(kept[e]) or hi == lo:
-                continue
-            want = tail(kept[d][:, None] << BITS | np.arange(SYMBOLS), e)
-            found = np.minimum(np.searchsorted(kept[e], want), len(kept[e]) - 1)
-            hit = (kept[e][found] == want) & ~done
-            step[lo:hi][hit] = (base[e] + found)[hit]
-            done |= hit
-    np.log10(logp, out=logp)
-    origin = 0
-    for e in range(DEPTH, 0, -1):
-        want = sum(START << BITS * j for j in range(e))
-        found = int(np.searchsorted(kept[e], want))
-        if found < len(kept[e]) and kept[e][found] == want:
-            origin = int(base[e] + found)
-            break
-    return {"step": step.ravel(), "logp": logp.ravel(), "origin": np.int32(origin)}
-
-
-def walk(model: dict[str, np.ndarray], s: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Sum of log10 probabilities per text. Long texts are cut into pieces that start DEPTH symbols early, unscored."""
-    size = np.diff(offs)
-    parts = np.maximum(-(-size // PIECE), 1)
-    owner = np.repeat(np.arange(len(size)), parts)
-    k = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-    lo = offs[owner] + k * PIECE
-    hi = np.minimum(lo + PIECE, offs[owner + 1])
-    warm = np.where(k > 0, DEPTH, 0)
-    order = np.argsort(-(hi - lo), kind="stable")
-    lo, hi, warm, owner = lo[order], hi[order], warm[order], owner[order]
-    state = np.where(warm > 0, 0, model["origin"]).astype(np.int64)
-    for j in range(DEPTH):
-        some = np.flatnonzero(warm > 0)
-        state[some] = model["step"][state[some] * SYMBOLS + s[lo[some] - DEPTH + j]]
-    length, total = hi - lo, np.zeros(len(lo))
-    alive = np.searchsorted(-length, -np.arange(int(length.max()) if len(length) else 0), side="left")
-    for t, m in enumerate(alive.tolist()):
-        at = state[:m] * SYMBOLS + s[lo[:m] + t]
-        total[:m] += model["logp"][at]
-        state[:m] = model["step"][at]
-    return np.bincount(owner, total, len(size))
+def deep_levels(code: np.ndarray, times: np.ndarray, low: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+    """The same for the longer contexts of one bucket, of which those that diverge from their parents stay."""
+    counts = [(code, times.astype(np.float64))]
+    for _ in range(DEPTH - LOW - 1):
+        counts.append(shorter(*counts[-1]))
+    found, (pairs, probs) = [], low[-1][2:]
+    for pair, c in reversed(counts):
+        ctx, t, left, p, gain = level(pair, c, probs[np.searchsorted(pairs, parent(pair))])
+        found.append((ctx, left, pair, p, (t >= LEAST) & (gain >= GAIN)))
+        pairs, probs = pair, p
+    for short, long in zip(found[-2::-1], found[:0:-1]):
+        short[4][np.searchsorted(short[0], long[0][long[4]] >> 8)] = True
+    out = []
+    for ctx, left, pair, p, keep in found:
+        some = keep[np.searchsorted(ctx, pair >> 8)]
+        out.append((ctx[keep], left[keep], pair[some], p[some]))
+    return out
+
+
+def _find(among: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(among):
+        return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
+    at = np.minimum(np.searchsorted(among, want), len(among) - 1)
+    return at, among[at] == want
+
+
+def probabilities(levels: list[tuple[np.ndarray, ...]], code: np.ndarray) -> np.ndarray:
+    """Of each string's symbol under the longest retained context."""
+    p, live = np.full(len(code), 1 / ALPHABET), np.arange(len(code))
+    for d, (ctx, left, pair, prob) in enumerate(levels):
+        at, hit = _find(ctx, context(code[live], d))
+        live, at = live[hit], at[hit]
+        own, seen = _find(pair, context(code[live], d) << 8 | code[live] & 255)
+        p[live] = np.where(seen, prob[own] if len(prob) else 0.0, left[at] * p[live])
+    return p
+
+
+def _low(batches):
+    """Counts of the strings with contexts of LOW symbols, by bucket."""
+    for b in batches:
+        for code, times in zip(b.column(2), b.column(3)):
+            code, times = np.frombuffer(code.as_buffer(), np.int64), np.frombuffer(times.as_buffer(), np.int64)
+            pair, at = np.unique(context(code, LOW) << 8 | code & 255, return_inverse=True)
+            yield pa.record_batch([pa.array(pair), pa.array(np.bincount(at, times, len(pair)).astype(np.int64))], names=["pair", "c"])
+
+
+def _build(low):
+    def run(batches):
+        for b in batches:
+            for k in range(len(b)):
+                found = deep_levels(*(np.frombuffer(b.column(c)[k].as_buffer(), np.int64) for c in (2, 3)), low.value)
+                yield pa.record_batch([b.column(1).slice(k, 1), pa.array([len(found[-1][0])]), pa.array([_pack(*(c for lv in found for c in lv))], pa.list_(pa.binary()))], names=["bucket", "deepest", "model"])
+
+    return run
+
+
+def _answer(low):
+    def run(key, asked, model):
+        levels = list(low.value)
+        for parts in model.column("model") if len(model) else ():
+            arrays = [np.frombuffer(x.as_buffer(), np.float64 if j % 2 else np.int64) for j, x in enumerate(parts.values)]
+            levels += [tuple(arrays[j : j + 4]) for j in range(0, len(arrays), 4)]
+        logs = [np.log10(probabilities(levels, code)).astype(np.float32) for code in _blobs(asked, "codes", np.int64)]
+        return pa.table([asked.column("grp"), asked.column("codes"), pa.array(_pack(*logs), pa.binary())], names=["grp", "codes", "logs"])
+
+    return run
 
 
 def _word_counts(batches):
@@ -216,75 +244,91 @@ FREQUENT = 1 << 16
 SCORED = "rid long, id long, held_out boolean, h long, n long, part double, score double"
 
 
-def _score(model, common, table, extra):
-    """Per text one row with the tree's score and the base sum over the frequent words, and one row per distinct other word.
+def _score(common):
+    """Per text one row with the tree's score and the base sum over the frequent words, and one row per distinct other word."""
+
+    def run(key, texts, answers):
+        keys, count = common.value
+        logs, grp = np.log10(count + 0.5), key[0].as_py()
+        parts = [(lo, hi, bk.LOWER[data], offs, *coded(data, offs)) for lo, hi, data, offs, _ in bk.slices(texts.column("text"))]
+        known, value = np.concatenate([np.zeros(0, np.int64), *_blobs(answers, "codes", np.int64)]), np.concatenate([np.zeros(0, np.float32), *_blobs(answers, "logs", np.float32)])
+        place = np.asarray(pc.index_in(pa.array(np.concatenate([np.zeros(0, np.int64), *(p[4] for p in parts)])), value_set=pa.array(known)))
+        out, done = [], 0
+        for lo, hi, low, offs, code, o in parts:
+            n = hi - lo
+            score = np.add.reduceat(value[place[done : done + len(code)]].astype(np.float64), o[:-1])
+            done += len(code)
+            h, _, _, doc = bk.word_hashes(low, offs, ~bk.SPACE)
+            near = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+            hit = keys[near] == h if len(keys) else np.zeros(len(h), bool)
+            part = np.bincount(doc[hit], logs[near[hit]], n) if len(keys) else np.zeros(n)
+            seen = np.bincount(doc[hit], minlength=n)
+            h, doc = h[~hit], doc[~hit]
+            order = np.lexsort((h, doc))
+            h, doc = h[order], doc[order]
+            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, int)
+            times, h, doc = np.diff(np.append(first, len(h))), h[first], doc[first]
+            whole = np.arange(n + len(h)) < n
+            row = np.concatenate([np.arange(n), doc])
+            own = pa.array(np.where(whole, row + lo, 0), mask=~whole)
+            out.append(
+                [pa.array(grp << 32 | (row + lo)), *(texts.column(c).combine_chunks().take(own) for c in ("id", "held_out")), pa.array(np.concatenate([np.zeros(n, np.int64), h.view(np.int64)])), pa.array(np.concatenate([seen, times]).astype(np.int64)), pa.array(np.concatenate([part, np.zeros(len(h))]), mask=~whole), pa.array(np.concatenate([score, np.zeros(len(h))]), mask=~whole)],
+            )
+        names = ["rid", "id", "held_out", "h", "n", "part", "score"]
+        return pa.Table.from_batches([pa.record_batch(x, names=names) for x in out]) if out else pa.schema([(c, pa.bool_() if c == "held_out" else pa.float64() if k > 4 else pa.int64()) for k, c in enumerate(names)]).empty_table()
 
-    extra: log10 cost of each byte inside its class.
-    """
+    return run
 
-    def run(batches):
-        at, (keys, count) = model.value, common.value
-        logs = np.log10(count + 0.5)
-        for b in batches:
-            for lo, hi, data, offs, _ in bk.slices(b.column(3)):
-                n, low = hi - lo, bk.LOWER[data]
-                s, o = symbols(low, offs, table)
-                score = walk(at, s, o)
-                if extra.any():
-                    cum = np.zeros(len(low) + 1)
-                    np.cumsum(extra[low], out=cum[1:])
-                    score += cum[offs[1:]] - cum[offs[:-1]]
-                h, _, _, doc = bk.word_hashes(low, offs, ~bk.SPACE)
-                near = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-                hit = keys[near] == h if len(keys) else np.zeros(len(h), bool)
-                part = np.bincount(doc[hit], logs[near[hit]], n) if len(keys) else np.zeros(n)
-                seen = np.bincount(doc[hit], minlength=n)
-                h, doc = h[~hit], doc[~hit]
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, int)
-                times, h, doc = np.diff(np.append(first, len(h))), h[first], doc[first]
-                whole = np.arange(n + len(h)) < n
-                pick = pa.array(np.concatenate([np.arange(n), doc]))
-                own = [b.column(c).slice(lo, n) for c in range(3)]
-                yield pa.record_batch(
-                    [own[0].take(pick), own[1].take(pa.array(np.where(whole, np.asarray(pick), 0), mask=~whole)), own[2].take(pa.array(np.where(whole, np.asarray(pick), 0), mask=~whole)), pa.array(np.concatenate([np.zeros(n, np.int64), h.view(np.int64)])), pa.array(np.concatenate([seen, times]).astype(np.int64)), pa.array(np.concatenate([part, np.zeros(len(h))]), mask=~whole), pa.array(np.concatenate([score, np.zeros(len(h))]), mask=~whole)],
-                    names=["rid", "id", "held_out", "h", "n", "part", "score"],
-                )
 
-    return run
+def tree(codes: DataFrame, groups: int) -> tuple[list[tuple[np.ndarray, ...]], DataFrame]:
+    """The levels up to LOW, and a table (bucket, deepest, model) of the retained longer contexts; deepest: how many have DEPTH symbols."""
+    spark = codes.sparkSession
+    counted, parts = codes, groups
+    while True:
+        parts = -(-parts // FAN)
+        merged = stage(counted.withColumn("part", F.floor(F.col("grp") / FAN)).groupBy("bucket", "part").applyInArrow(_merge, CODES), "counted")
+        if counted is not codes:
+            drop(counted)
+        counted = merged
+        release(spark)
+        if parts <= 1:
+            break
+    pairs = counted.mapInArrow(_low, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    low = low_levels(*(np.asarray(pairs.column(k).combine_chunks()) for k in range(2)))
+    model = stage(counted.mapInArrow(_build(spark.sparkContext.broadcast(low)), "bucket long, deepest long, model array<binary>"), "tree")
+    drop(counted)
+    return low, model
 
 
 def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row."""
     spark = docs.sparkSession
+    send = spark.sparkContext.broadcast
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False)).alias("held_out")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), held, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    learn = rows.where("not held_out").select("text")
-    seen = learn.mapInArrow(_bytes, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).collect()  # at most 256 rows
-    byte = np.zeros(256, np.int64)
-    for r in seen:
-        byte[r["b"]] = r["c"]
-    byte[bk.SPACE] = 0
-    often = np.sort(np.argsort(-byte, kind="stable")[: SYMBOLS - 3])
-    table, extra = np.full(256, OTHER, np.uint8), np.zeros(256)
-    table[often] = np.arange(1, SYMBOLS - 2)
-    extra[table == OTHER] = -np.log10(256 - len(often) - 6)
-    table[bk.SPACE], extra[bk.SPACE] = BLANK, 0
-    counted = stage(learn.mapInArrow(_counts(table), "code long, c long").groupBy("code").agg(F.sum("c").alias("c")), "contexts")
-    n_symbols = counted.agg(F.sum("c")).first()[0] or 0
-    none = np.zeros(0, np.int64)
-    model = grow(levels_of(counted, LEAST_SHARE * n_symbols) if n_symbols else [(np.array([END]), np.zeros(1)), *[(none, none.astype(float))] * DEPTH])
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), held, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    size, ends = rows.agg(F.sum(F.octet_length("text") + 1), F.count_if(~F.col("held_out"))).first()
+    groups, buckets = -(-(size or 1) // GROUP_BYTES), min(BUCKETS, max(8, (size or 0) // BUCKET_BYTES))
+    texts = stage(rows.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))), "texts")
+    codes = stage(texts.select("grp", "held_out", "text").groupBy("grp").applyInArrow(_count(buckets), CODES), "codes")
     release(spark)
-    counts = stage(learn.mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "words")
+    low, model = tree(codes, groups)
+    salt = F.floor(F.col("grp") / FAN).alias("salt")
+    asked = codes.select("bucket", salt, "grp", "codes").groupBy("bucket", "salt")
+    copies = model.select("bucket", F.explode(F.expr(f"sequence(0L, {(groups - 1) // FAN}L)")).alias("salt"), "model").groupBy("bucket", "salt")
+    answers = stage(asked.cogroup(copies).applyInArrow(_answer(send(low)), "grp long, codes binary, logs binary"), "answers")
+    release(spark)
+    drop(codes)
+    drop(model)
+    counts = stage(texts.where("not held_out").select("text").mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "words")
     release(spark)
-    ends = rows.agg(F.count_if(~F.col("held_out"))).first()[0]
     total = counts.agg(F.sum("c"), F.count("*")).first()
     n_all, kinds = (total[0] or 0) + ends, total[1] + (1 if ends else 0)
     top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow().sort_by("h")
     common = tuple(np.asarray(top.column(k).combine_chunks()).astype(t) for k, t in ((0, np.int64), (1, np.float64)))
-    send = spark.sparkContext.broadcast
-    scored = stage(rows.mapInArrow(_score(send(model), send(common), table, extra), SCORED), "scored")
+    scored = stage(texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_score(send(common)), SCORED), "scored")
+    release(spark)
+    drop(texts)
+    drop(answers)
     rare = scored.where("part is null").select("rid", "h", "n").join(counts, "h", "left")
     known = F.when(F.col("c") > 0, F.col("n")).otherwise(0)
     rare = rare.groupBy("rid").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_part"), F.sum("n").alias("rare_n"), F.sum(known).alias("rare_known"))
