@@ -1,8 +1,8 @@
 """License scan by diagonal voting, in DataFrame operations only.
 
 A-Z is lower-cased, words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ (digits, letters, everything beyond ASCII). Every rolling K-word hash of a
-text is joined to the positions of that hash in the templates; a hit votes for the diagonal (text position - template
-position). Full votes of a short phrase on one diagonal are a place of it; for the longer notices, neighbouring diagonals
+text is joined to the positions of that hash in the templates; a hit whose words are verified to be the template's votes for the
+diagonal (text position - template position). Full votes of a short phrase on one diagonal are a place of it; for the longer notices, neighbouring diagonals
 (words put in or left out) merge, and a merged span counts when it holds enough of the template and little else, or when one
 diagonal in it has every vote of the template.
 
@@ -55,24 +55,33 @@ def words_of(text: Column) -> Column:
 
 
 def grams_of(words: Column) -> Column:
-    """Hashes of all runs of K words."""
+    """(pos, h) of all runs of K words: where each starts, and its hash."""
     n = F.size(words)
     at = F.when(n >= K, F.sequence(F.lit(0), n - K)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(K))))
+    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(*(F.get(words, i + j) for j in range(K))).alias("h")))
+
+
+def _with_words(grams: Column, words: Column) -> Column:
+    return F.transform(grams, lambda g: F.struct(g["pos"].alias("pos"), g["h"].alias("h"), F.slice(words, g["pos"] + 1, K).alias("run")))
 
 
 def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """(h, tpl, tpos, grams, base, label): a fixed table of a few hundred rows."""
+    """(h, run, tpl, tpos, grams, base, label): a fixed table of a few hundred rows."""
     rows = [(i, t, label, i < len(phrases)) for i, (t, label) in enumerate([*phrases, *notices])]
     words = spark.createDataFrame(rows, "tpl int, t string, label string, base boolean").select("tpl", "label", "base", words_of(F.col("t")).alias("w"))
-    return words.select("tpl", "label", "base", F.size(grams_of(F.col("w"))).alias("grams"), F.posexplode(grams_of(F.col("w"))).alias("tpos", "h"))
+    grams = _with_words(grams_of(F.col("w")), F.col("w"))
+    return words.select("tpl", "label", "base", F.size(grams).alias("grams"), F.inline(grams)).withColumnRenamed("pos", "tpos").withColumnRenamed("run", "trun")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    known = templates(docs.sparkSession)
+    hashes = [r["h"] for r in known.select("h").distinct().collect()]  # of the fixed table
     words = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w"))
-    grams = words.select("rid", "id", F.size("w").cast("long").alias("n_words"), F.posexplode_outer(grams_of(F.col("w"))).alias("pos", "h"))
-    met = grams.join(F.broadcast(templates(docs.sparkSession)), "h", "left")
+    # runs that no template has end inside the row's array: only hits become rows, and one row for a text without any
+    hits = F.filter(grams_of(F.col("w")), lambda g: g["h"].isin(hashes))
+    grams = words.select("rid", "id", F.size("w").cast("long").alias("n_words"), F.inline_outer(_with_words(hits, F.col("w"))))
+    met = grams.join(F.broadcast(known), (grams["h"] == known["h"]) & (F.col("run") == F.col("trun")), "left")
     votes = met.groupBy("rid", "tpl", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
         F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("grams").alias("grams"), F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"),
     )
