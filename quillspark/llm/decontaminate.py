@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import bytekit as bk
 from quillspark.llm.minhash import MIXERS
-from quillspark.llm.shared import stage
 
 PIECE, WINDOW, BLOCK, PART_WORDS = 40, 96, 32, 1_000_000
 #: Bytes of texts scored at once: the pairs of passages and words they make are the operator's memory.
@@ -189,34 +188,39 @@ def best_score(index: dict, h: np.ndarray, item: int) -> float:
     return best
 
 
+def found_in(index: dict, column: pa.Array) -> list[tuple]:
+    """(row, item_id, score, question_overlap, answer_overlap, overlap) of the leaks in a slice of texts."""
+    data, offs, _ = bk.utf8(pc.utf8_lower(column))
+    h, _, _, doc = bk.word_hashes(data, offs, bk.ALNUM)
+    text, piece, score = retrieve(index, h, doc, len(column))
+    at = bk.per_text(doc, len(column))
+    rows = {}
+    for i, p, s in zip(text.tolist(), piece.tolist(), score.tolist()):
+        k = (i, int(index["owner"][p]))
+        rows[k] = max(rows.get(k, 0.0), s)
+    for i, item in held(index, h, doc):
+        if (i, item) not in rows:
+            rows[i, item] = best_score(index, h[at[i] : at[i + 1]], item)
+    out, seen, of = [], None, -1
+    for (i, item), s in sorted(rows.items()):
+        if i != of:
+            seen, of = _shingles(h[at[i] : at[i + 1]]), i
+        words = h[at[i] : at[i + 1]]
+        share = lambda z: float(np.isin(z, seen, kind="sort").mean()) if len(z) else 0.0  # noqa: E731, B023
+        if index["size"][item] <= SHINGLE:
+            whole = question = answer = float(_short(index["whole"][item][0], index["size"][item], words))
+        else:
+            whole, question, answer = share(index["whole"][item]), share(index["question"][item]), share(index["answer"][item])
+        if whole >= OVERLAP or question >= OVERLAP:
+            out.append((i, int(index["ids"][item]), s, question, answer, whole))
+    return out
+
+
 def _leaks(shared):
     def run(batches):
-        index = shared.value
         for b in batches:
             for lo, hi, *_ in bk.slices(b.column(1), SLICE):
-                data, offs, _ = bk.utf8(pc.utf8_lower(b.column(1).slice(lo, hi - lo)))
-                h, _, _, doc = bk.word_hashes(data, offs, bk.ALNUM)
-                text, piece, score = retrieve(index, h, doc, hi - lo)
-                at = bk.per_text(doc, hi - lo)
-                rows = {}
-                for i, p, s in zip(text.tolist(), piece.tolist(), score.tolist()):
-                    k = (i, int(index["owner"][p]))
-                    rows[k] = max(rows.get(k, 0.0), s)
-                for i, item in held(index, h, doc):
-                    if (i, item) not in rows:
-                        rows[i, item] = best_score(index, h[at[i] : at[i + 1]], item)
-                out, seen, of = [], None, -1
-                for (i, item), s in sorted(rows.items()):
-                    if i != of:
-                        seen, of = _shingles(h[at[i] : at[i + 1]]), i
-                    words = h[at[i] : at[i + 1]]
-                    share = lambda z: float(np.isin(z, seen, kind="sort").mean()) if len(z) else 0.0  # noqa: E731, B023
-                    if index["size"][item] <= SHINGLE:
-                        whole = question = answer = float(_short(index["whole"][item][0], index["size"][item], words))
-                    else:
-                        whole, question, answer = share(index["whole"][item]), share(index["question"][item]), share(index["answer"][item])
-                    if whole >= OVERLAP or question >= OVERLAP:
-                        out.append((i, int(index["ids"][item]), s, question, answer, whole))
+                out = found_in(shared.value, b.column(1).slice(lo, hi - lo))
                 if out:
                     i, *rest = zip(*out)
                     yield pa.record_batch([b.column(0).slice(lo, hi - lo).take(pa.array(i)), *(pa.array(c) for c in rest)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "overlap"])
@@ -224,6 +228,17 @@ def _leaks(shared):
     return run
 
 
+def _clean(shared, at):
+    def run(batches):
+        for b in batches:
+            keep = np.ones(len(b), bool)
+            for lo, hi, *_ in bk.slices(b.column(at), SLICE):
+                keep[[lo + r[0] for r in found_in(shared.value, b.column(at).slice(lo, hi - lo).cast(pa.string()))]] = False
+            yield b.filter(pa.array(keep))
+
+    return run
+
+
 def _short(shingle: np.uint64, k: int, words: np.ndarray) -> bool:
     """Whether an item of k words, five at most, stands in the text."""
     acc = np.full(max(0, len(words) - k + 1), k, np.uint64)
@@ -232,26 +247,29 @@ def _short(shingle: np.uint64, k: int, words: np.ndarray) -> bool:
     return bool((bk.mix(acc) == shingle).any())
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap, overlap) of every leak."""
-    spark = docs.sparkSession
+def _indexes(benchmark: DataFrame, item_col: str, item_text: str):
+    """Broadcast indexes of the test items, one per PART_WORDS of their words."""
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
     size = items.agg(F.sum(F.length("t") / 4 + 1)).first()[0] or 0
     parts = int(size // PART_WORDS) + 1
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = None
     for p in range(parts):
         part = items.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == p).distinct().orderBy("i", "t").collect()
-        shared = spark.sparkContext.broadcast(build_index([(r["i"], r["t"]) for r in part]))
+        yield benchmark.sparkSession.sparkContext.broadcast(build_index([(r["i"], r["t"]) for r in part]))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap, overlap) of every leak."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = None
+    for shared in _indexes(benchmark, item_col, item_text):
         new = rows.mapInArrow(_leaks(shared), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, overlap double")
-        new = stage(new, "leaks") if parts > 1 else new
         found = new if found is None else found.union(new)
     best = [F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap", "overlap")]
     return found.groupBy("doc_id", "item_id").agg(*best)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text leaks no item."""
-    shared_rows = stage(leaks(docs, benchmark, id_col, text_col).select("doc_id").distinct(), "leaking")
-    hit = shared_rows.withColumnRenamed("doc_id", "__leak")
-    return docs.join(hit, F.col(id_col).cast("long").eqNullSafe(F.col("__leak")), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose own text leaks no item: ids aren't read, so they may be null or repeat."""
+    for shared in _indexes(benchmark, item_col, item_text):
+        docs = docs.mapInArrow(_clean(shared, docs.columns.index(text_col)), docs.schema)
+    return docs
