@@ -1,13 +1,13 @@
 """Embedding near-duplicates with hierarchical navigable small-world graphs, one per shard.
 
-Vectors are linked when their labels are equal and not null, their lengths are equal, and their cosine in double precision is
+Vectors are linked when their labels (as text) are equal and not null, their lengths are equal, and their cosine in double precision is
 at least a threshold. Null, zero, non-finite vectors and vectors with a null component link with nothing; they and rows
 with a null id come back with no links. Equal vectors collapse into a class before anything else. Rows that repeat an id
 are separate members of their classes and one node of a component. An empty table gives no rows; extra columns are not read.
 
 Every label is cut by hash into shards of about SHARD_ROWS classes; a shard is one row holding its vectors and its graph
 as arrays, so a hot label is many rows. Blocks of queries meet every shard of their label by an equi-join of blocks. Beams
-widen until an audit of hash-drawn queries against brute force passes; what the graph finds is confirmed in double precision.
+widen for each query that finds nothing but links, and for all until an audit of hash-drawn queries against brute force passes; what the graph finds is confirmed in double precision.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import bytekit as bk
 from quillspark.llm.shared import components, stage
 
-SHARD_ROWS, BLOCK_ROWS, AUDIT_ROWS = 8192, 1024, 64
+SHARD_ROWS, BLOCK_ROWS, AUDIT_ROWS = 8192, 4096, 64
 LINKS, BEAM = 12, 48
 
 
@@ -168,31 +168,46 @@ class Graph:
         return self.search(q, start, 0, beam)
 
     def hits(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (query, node) found by the beam at a similarity within float error of the threshold."""
+        """Distinct (query, node) at a similarity within float error of the threshold.
+
+        A query whose beam holds nothing below the threshold may have more links than places: its beam is doubled until it
+        does, and one of half the graph or more is a matrix product with all nodes.
+        """
         rows, cols = [], []
-        for lo in range(0, len(q), 256):
-            ids, sims = self.near(q[lo : lo + 256], beam)
-            r, c = np.nonzero((sims >= least - 1e-5) & (ids >= 0))
-            rows.append(r + lo)
-            cols.append(ids[r, c])
+        left = np.arange(len(q))
+        while len(left):
+            wider = []
+            for lo in range(0, len(left), 256):
+                some = left[lo : lo + 256]
+                if 2 * beam >= len(self.x):
+                    r, c = np.nonzero(q[some] @ self.x.T >= least - 1e-5)
+                else:
+                    ids, sims = self.near(q[some], beam)
+                    ok = (sims >= least - 1e-5) & (ids >= 0)
+                    full = ok.all(1)
+                    wider.append(some[full])
+                    ok &= ~full[:, None]
+                    r, at = np.nonzero(ok)
+                    c = ids[r, at]
+                rows.append(some[r])
+                cols.append(c)
+            left = np.concatenate(wider) if wider else left[:0]
+            beam *= 2
         return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.zeros(0, int), np.zeros(0, int))
 
     def audited(self, q: np.ndarray, least: float, recall: float = 0.99) -> tuple[np.ndarray, np.ndarray]:
-        """hits() with the beam doubled until recall of the audited queries' links is reached.
-
-        AUDIT_ROWS hash-drawn queries are compared with brute force. Four seen links of a query count as all: the cluster
-        they belong to is confirmed member by member later.
-        """
+        """hits() with the first beam doubled until recall of the links of AUDIT_ROWS hash-drawn queries, each link counted, is
+        reached against brute force. A query's link to itself, which costs no search, isn't counted."""
         draw = np.argsort(bk.mix(np.arange(len(q), dtype=np.uint64)))[:AUDIT_ROWS]
-        true = np.minimum((q[draw] @ self.x.T >= least).sum(1), 4)
+        sims = q[draw] @ self.x.T
+        true = (sims >= least) & (sims < 1 - 1e-6)
         beam = BEAM
-        while True:
-            if beam >= len(self.x):
-                return self.hits(q, least, len(self.x))
-            seen = np.bincount(self.hits(q[draw], least, beam)[0], minlength=len(draw))
-            if np.minimum(seen, true).sum() >= recall * true.sum():
-                return self.hits(q, least, beam)
+        while 2 * beam < len(self.x):
+            r, c = self.hits(q[draw], least, beam)
+            if true[r, c].sum() >= recall * true.sum():
+                break
             beam *= 2
+        return self.hits(q, least, beam)
 
 
 def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,23 +257,23 @@ def _build(least: float):
         layers = [[t.shape[1], _pack(t)] for t in g.links]
         return pa.table(
             {
-                "label": [label], "dim": [dim], "shard": [shard], "ids": [_pack(ids)], "w": [_pack(np.asarray(group.column("w"))[order])], "v": [_pack(x.astype(np.float32))], "root": [_pack(root)], "entry": [g.entry],
+                "label": [label], "dim": [dim], "shard": [shard], "ids": [_pack(ids)], "w": [_pack(np.asarray(group.column("w"))[order])], "v": [_pack(x)], "root": [_pack(root)], "entry": [g.entry],
                 "widths": pa.array([[w for w, _ in layers]], pa.list_(pa.int32())), "links": pa.array([[t for _, t in layers]], pa.list_(pa.binary())),
             },
-        ).cast(pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("shard", pa.int64()), ("ids", pa.binary()), ("w", pa.binary()), ("v", pa.binary()), ("root", pa.binary()), ("entry", pa.int64()), ("widths", pa.list_(pa.int32())), ("links", pa.list_(pa.binary()))]))
+        ).cast(pa.schema([("label", pa.string()), ("dim", pa.int32()), ("shard", pa.int64()), ("ids", pa.binary()), ("w", pa.binary()), ("v", pa.binary()), ("root", pa.binary()), ("entry", pa.int64()), ("widths", pa.list_(pa.int32())), ("links", pa.list_(pa.binary()))]))
 
     return run
 
 
-BUILT = "label long, dim int, shard long, ids binary, w binary, v binary, root binary, entry long, widths array<int>, links array<binary>"
+BUILT = "label string, dim int, shard long, ids binary, w binary, v binary, root binary, entry long, widths array<int>, links array<binary>"
 
 
 def _meet(least: float):
     def one(row):
         dim = row["dim"]
         ids, w, root = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["w"], np.int64), np.frombuffer(row["root"], np.int64)
-        x = np.frombuffer(row["v"], np.float32).reshape(-1, dim).astype(np.float64)
-        qi, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_v"], np.float32).reshape(-1, dim).astype(np.float64)
+        x = np.frombuffer(row["v"], np.float64).reshape(-1, dim)
+        qi, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_v"], np.float64).reshape(-1, dim)
         g = Graph.__new__(Graph)
         g.x, norm = _unit(x)
         g.entry = row["entry"]
@@ -296,14 +311,14 @@ def _meet(least: float):
 def _block(_key, group):
     dim = _key[1].as_py()
     ids = np.asarray(group.column("rep"))
-    v = np.asarray(group.column("v").combine_chunks().flatten()).astype(np.float32)
-    return pa.table({"label": pa.array([_key[0].as_py()], pa.int64()), "dim": pa.array([dim], pa.int32()), "q_ids": pa.array([_pack(ids)], pa.binary()), "q_v": pa.array([_pack(v)], pa.binary())})
+    v = np.asarray(group.column("v").combine_chunks().flatten()).astype(np.float64)
+    return pa.table({"label": pa.array([_key[0].as_py()], pa.string()), "dim": pa.array([dim], pa.int32()), "q_ids": pa.array([_pack(ids)], pa.binary()), "q_v": pa.array([_pack(v)], pa.binary())})
 
 
 def embedding_links(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept) per row: links to other vectors, smallest id reachable, whether that is the row's own."""
-    v = F.col(vector_col).cast("array<float>")
-    rows = stage(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), v.alias("v")), "vectors")
+    v = F.col(vector_col).cast("array<double>")
+    rows = stage(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v")), "vectors")
     sound = F.col("label").isNotNull() & F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     good = rows.where(F.coalesce(sound, F.lit(False)))
     classes = good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("w")).withColumn("dim", F.size("v"))
@@ -311,7 +326,7 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     cut = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.ceil(F.col("c") / n))
     classes = stage(classes.join(sizes, ["label", "dim"]).withColumn("shard", cut(SHARD_ROWS, 1)).withColumn("block", cut(BLOCK_ROWS, 2)), "classes")
     shards = stage(classes.select("label", "dim", "shard", "rep", "w", "v").groupBy("label", "dim", "shard").applyInArrow(_build(least), BUILT), "graphs")
-    blocks = stage(classes.select("label", "dim", "block", "rep", "v").groupBy("label", "dim", "block").applyInArrow(_block, "label long, dim int, q_ids binary, q_v binary"), "blocks")
+    blocks = stage(classes.select("label", "dim", "block", "rep", "v").groupBy("label", "dim", "block").applyInArrow(_block, "label string, dim int, q_ids binary, q_v binary"), "blocks")
     met = blocks.join(shards, ["label", "dim"]).repartition(F.xxhash64("q_ids", "shard"))
     found = stage(met.mapInArrow(_meet(least), "a long, b long, n long"), "found")
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
