@@ -6,7 +6,8 @@ order stays, every later one is removed. Boundaries depend on content alone, so
 inner chunks.
 
 A null text is empty and has no chunks; rows with a null id are chunked, and sort before all others. Rows that repeat an id
-are told apart by their order of text digests; extra columns are not read. An empty table gives no rows.
+are told apart by the hash of their texts, which is also their order; rows alike in both are one document, and one spans list
+holds for each. Extra columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from quillspark.llm import bytekit as bk
 from quillspark.llm.shared import release, stage
 
 MIN_CHUNK, MAX_CHUNK, MASK = 24, 512, np.uint32(((1 << 5) - 1) << 27)
-#: Least bytes of a removed run, and of a stretch in it whose first copies stand in one piece too; a whole document needs neither.
+#: What a passage is for the registered query: least bytes of a removed run, and of a stretch in it whose first copies stand in
+#: one piece too; a whole document needs neither. Stock lines that many documents share are no passages.
 SHORTEST, STRETCH = 100, 80
 GEAR = np.random.default_rng(31).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -66,33 +68,33 @@ def cut_points(data: np.ndarray, offs: np.ndarray, shortest: int = MIN_CHUNK, lo
 
 def _chunks(batches):
     for b in batches:
-        for lo, hi, data, offs, _ in bk.slices(b.column(1)):
+        for lo, hi, data, offs, _ in bk.slices(b.column(2)):
             start, end, doc = cut_points(data, offs)
             view = memoryview(data)
             digest = b"".join([xxhash.xxh3_128_digest(view[s:e]) for s, e in zip(start.tolist(), end.tolist())])
             d = np.frombuffer(digest, np.int64).reshape(-1, 2)
-            ids = b.column(0).slice(lo, hi - lo).take(pa.array(doc))
-            yield pa.record_batch([ids, pa.array((start - offs[doc]).astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])], names=["id", "start", "len", "d0", "d1"])
+            own = (b.column(c).slice(lo, hi - lo).take(pa.array(doc)) for c in range(2))
+            yield pa.record_batch([*own, pa.array((start - offs[doc]).astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])], names=["id", "th", "start", "len", "d0", "d1"])
 
 
 def duplicate_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, len, first_id, first_start) of every chunk whose digest occurs earlier."""
-    chunks = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_chunks, "id long, start int, len int, d0 long, d1 long")
+    """(id, th, start, len, first_id, first_start) of every chunk whose digest occurs earlier; th: hash of the whole text."""
+    chunks = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(_chunks, "id long, th long, start int, len int, d0 long, d1 long")
     chunks = stage(chunks, "chunks")
-    first = chunks.groupBy("d0", "d1").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = chunks.join(first, ["d0", "d1"]).where(~F.struct("id", "start").eqNullSafe(F.col("first")))
-    return met.select("id", "start", "len", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
+    first = chunks.groupBy("d0", "d1").agg(F.min(F.struct("id", "th", "start")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    met = chunks.join(first, ["d0", "d1"]).where(~F.struct("id", "th", "start").eqNullSafe(F.col("first")))
+    return met.select("id", "th", "start", "len", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, stretch: int = STRETCH) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = 0, stretch: int = 0) -> DataFrame:
     """Per row of docs: n_bytes, n_chunks removed, bytes removed, removed spans and the ids that keep the removed text.
 
-    Runs of repeated chunks that touch are one span. It is removed if it has `shortest` bytes and holds `stretch` bytes whose
-    first copies touch as well: stock lines that happen to meet are no passage. A run that is the whole document always goes.
+    Runs of repeated chunks that touch are one span. Every one is removed, unless `shortest` or `stretch` ask for more: then a
+    run needs `shortest` bytes, and `stretch` bytes whose first copies touch as well, or to be the whole document.
     """
     found = stage(duplicate_chunks(docs, id_col, text_col), "repeats")
     release(docs.sparkSession)
-    each = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "len", "first_id", "first_start"))).alias("c"))
+    each = found.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "len", "first_id", "first_start"))).alias("c"))
     empty = F.array().cast("array<struct<start:int,end:int,n:int,fid:bigint,fend:int,cur:int,best:int>>")
 
     def fold(acc, c):
@@ -106,10 +108,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
         return F.concat(F.when(touches, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc), F.array(run))
 
-    runs = each.select("id", "c", F.aggregate("c", empty, fold).alias("runs"))
+    runs = each.select("id", "th", "c", F.aggregate("c", empty, fold).alias("runs"))
     within = lambda c: F.exists("spans", lambda r: (r["start"] <= c["start"]) & (c["start"] < r["end"]))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    out = base.join(runs, base["id"].eqNullSafe(runs["id"]), "left").drop(runs["id"])
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
+    out = base.join(runs, base["id"].eqNullSafe(runs["id"]) & (base["th"] == runs["th"]), "left").drop(runs["id"])
     passage = lambda r: (r["end"] - r["start"] >= shortest) & (r["best"] >= stretch) | (r["start"] == 0) & (r["end"] == F.col("n_bytes"))
     out = out.select("id", "n_bytes", "c", F.filter("runs", passage).alias("spans"))
     out = out.select("id", "n_bytes", "spans", F.array_sort(F.array_distinct(F.transform(F.filter("c", within), lambda c: c["first_id"]))).alias("first_ids"))

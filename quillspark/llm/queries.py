@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import secrets
+from quillspark.llm import chunks, secrets
 from quillspark.llm.chunks import substring_dedup
 from quillspark.llm.decontaminate import leaks
 from quillspark.llm.hnsw import embedding_links
@@ -29,7 +29,7 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document that loses a passage, with its removed spans and the documents that keep them."""
-    return substring_dedup(_table(spark, sf_dir, "documents")).where("n_spans > 0").withColumnRenamed("id", "doc_id")
+    return substring_dedup(_table(spark, sf_dir, "documents"), shortest=chunks.SHORTEST, stretch=chunks.STRETCH).where("n_spans > 0").withColumnRenamed("id", "doc_id")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
