@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import decontaminate, minhash, quality, queries, secrets
+from quillspark.llm import decontaminate, minhash, mixing, quality, queries, secrets
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +39,37 @@ def test_each_stage_keeps_what_its_operator_accepts(spark, sf, stages):
     assert ids(stages[4]) == ids(stages[3])
     found = secrets.secret_spans(stages[4]).where(F.exists("spans", lambda s: s["kind"] != "crf"))
     assert found.count() == 0
-    assert ids(stages[5]) == ids(stages[4])
+    taken = mixing.mix_sources(stages[4])
+    copies = taken.select("id", F.explode("shards").alias("shard"))
+    assert sorted(map(tuple, stages[5].select("doc_id", "shard").collect())) == sorted(map(tuple, copies.collect())) and stages[5].count() > 0
+    texts = dict(map(tuple, stages[4].select("doc_id", "text").collect()))
+    assert all(texts[r["doc_id"]] == r["text"] for r in stages[5].collect())
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_bear_odd_rows(spark, sf, docs, rows, none, k):
+    """Nulls, empty and very long texts, repeated rows, an empty table, and columns named like the operators' own."""
+    name, f = corpus_pipeline.STAGES[k]
+    odd = docs.withColumn("shard", F.lit("x")).withColumn("h", F.lit(1)).withColumn("rid", F.lit(2)).withColumn("size", F.lit(3))
+    got = f(spark, odd, sf).collect()
+    assert f(spark, none, sf).count() == 0
+    texts = [r["text"] for r in got]
+    if name == "near_dedup":
+        assert sum(r["doc_id"] is None for r in got) == 1 and texts.count(rows[20][1]) == 2 and texts.count(rows[0][1]) == 2
+    if name == "decontaminate":
+        assert len(got) == len(rows)
+    if name == "secrets":
+        assert len(got) == len(rows) and not any("24be64439e3e" in (t or "") for t in texts)
+    if name == "mix":
+        assert {type(r["shard"]) for r in got} == {int} and {r["text"] for r in got} <= {r[1] for r in rows}
+    assert all((r["h"], r["rid"], r["size"], r["id"]) == (1, 2, 3, "clash") for r in got if r["doc_id"] is not None)
+
+
+def test_only_the_leaking_row_of_a_null_id_goes(spark, sf):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    item = bench.where("length(text) > 100").first()["text"]
+    df = spark.createDataFrame([(None, f"before {item} after"), (None, "nothing of that"), (7, "a"), (7, f"x {item}")], "doc_id long, text string")
+    assert sorted(r["text"] for r in corpus_pipeline.decontaminate(spark, df, sf).collect()) == ["a", "nothing of that"]
 
 
 def test_queries_and_sql_agree_in_names():
