@@ -13,8 +13,9 @@ the log10 probability of the whole normalised text with its end, each symbol und
 No bound on contexts is relative to the input, so the tree grows with it; it is therefore never in one place. A string of context
 and symbol is an integer, the latest symbol of the context first, so that contexts are prefixes; buckets hold all strings
 with the same last three symbols. Groups of whole texts count their distinct strings, buckets add the counts in a tree of merges,
-build their part of the model, and answer each group's strings with probabilities. Only the levels up to LOW are sent to all
-tasks: 256**(LOW+1) numbers at the very most, a few ten thousand in practice.
+build their part of the model, and answer each group's strings with probabilities. Words are counted and answered the same way,
+in buckets of their hashes. Strings and counts travel as arrays, not as rows. Only the levels up to LOW are sent to all tasks:
+256**(LOW+1) numbers at the very most, a few ten thousand in practice.
 
 A null text is empty and scores its end alone. Every input row gives one output row, also where ids repeat or are null; extra
 columns are not read; a text of any length is handled whole. Without any training rows N and V are 0 and symbols are uniform.
@@ -33,7 +34,7 @@ from quillspark.llm.shared import drop, release, stage
 
 DEPTH, LOW, GAIN, LEAST = 6, 2, 8.0, 8
 #: Bytes of text in a group, of all text per bucket, groups of a bucket merged or answered at once, most buckets.
-GROUP_BYTES, BUCKET_BYTES, FAN, BUCKETS = 8 << 20, 32 << 20, 32, 4096
+GROUP_BYTES, BUCKET_BYTES, FAN, BUCKETS = 4 << 20, 16 << 20, 16, 4096
 BLANK, END = 32, 10  # white space other than a blank never stands in normalised text
 ALPHABET = 252  # bytes that aren't white space, the blank and the end
 
@@ -88,15 +89,30 @@ CODES = "grp long, bucket long, codes binary, counts binary"
 _CODES = pa.schema([("grp", pa.int64()), ("bucket", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary())])
 
 
+def _by_bucket(code: np.ndarray, times: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """(buckets, codes, times) with the codes of a bucket in one blob, in their order."""
+    order = np.argsort(to, kind="stable")
+    to, code, times = to[order], code[order], times[order]
+    cut = _distinct(to)
+    parts = list(zip(np.split(code, cut[1:]), np.split(times, cut[1:]))) if len(cut) else []
+    return to[cut], _pack(*(c for c, _ in parts)), _pack(*(t for _, t in parts))
+
+
+def _remainder(x: np.ndarray, buckets: int) -> np.ndarray:
+    return (bk.mix(x.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _count(buckets: int):
-    """A group's distinct strings by bucket, and how often each was seen in training."""
+    """A group's distinct strings and (in the second half of the buckets) words, and how often each was seen in training."""
 
     def run(key, group):
-        seen = []
+        seen, words = [], []
         held = np.asarray(group.column("held_out").combine_chunks())
         for lo, hi, data, offs, _ in bk.slices(group.column("text")):
             code, o = coded(data, offs)
             seen.append(code << 1 | np.repeat(held[lo:hi], np.diff(o)))
+            h, _, _, doc = bk.word_hashes(bk.LOWER[data], offs, ~bk.SPACE)
+            words.append((h.view(np.int64), ~held[lo:hi][doc]))
         seen = np.concatenate(seen) if seen else np.zeros(0, np.int64)
         seen.sort()
         learnt = (seen & 1) == 0
@@ -104,13 +120,12 @@ def _count(buckets: int):
         first = _distinct(seen)
         times = np.add.reduceat(learnt, first, dtype=np.int64) if len(first) else first
         code = seen[first]
-        to = (bk.mix((code >> 32).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        to, code, times = to[order], code[order], times[order]
-        cut = _distinct(to)
-        parts = [(c, t) for c, t in zip(np.split(code, cut[1:]), np.split(times, cut[1:]))] if len(cut) else []
-        grp = key[0].as_py()
-        return pa.table([[grp] * len(cut), to[cut], _pack(*(c for c, _ in parts)), _pack(*(t for _, t in parts))], schema=_CODES)
+        rows = [_by_bucket(code, times, _remainder(code >> 32, buckets))]
+        word, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(h for h, _ in words)]), return_inverse=True)
+        times = np.bincount(at, np.concatenate([np.zeros(0, bool), *(t for _, t in words)]), len(word)).astype(np.int64)
+        rows.append(_by_bucket(word, times, buckets + _remainder(word, buckets)))
+        to = np.concatenate([r[0] for r in rows])
+        return pa.table([[key[0].as_py()] * len(to), to, rows[0][1] + rows[1][1], rows[0][2] + rows[1][2]], schema=_CODES)
 
     return run
 
@@ -210,78 +225,72 @@ def _low(batches):
             yield pa.record_batch([pa.array(pair), pa.array(np.bincount(at, times, len(pair)).astype(np.int64))], names=["pair", "c"])
 
 
-def _build(low):
+def _build(low, buckets: int):
+    """A bucket's part of the model: arrays of its levels, or its words and their counts."""
+
     def run(batches):
         for b in batches:
             for k in range(len(b)):
-                found = deep_levels(*(np.frombuffer(b.column(c)[k].as_buffer(), np.int64) for c in (2, 3)), low.value)
-                yield pa.record_batch([b.column(1).slice(k, 1), pa.array([len(found[-1][0])]), pa.array([_pack(*(c for lv in found for c in lv))], pa.list_(pa.binary()))], names=["bucket", "deepest", "model"])
+                code, times = (np.frombuffer(b.column(c)[k].as_buffer(), np.int64) for c in (2, 3))
+                words = b.column(1)[k].as_py() >= buckets
+                found = [(code, times)] if words else deep_levels(code, times, low.value)
+                seen, kinds, deepest = (int(times.sum()), len(code), 0) if words else (0, 0, len(found[-1][0]))
+                parts = pa.array([_pack(*(c for lv in found for c in lv))], pa.list_(pa.binary()))
+                yield pa.record_batch([b.column(1).slice(k, 1), pa.array([seen]), pa.array([kinds]), pa.array([deepest]), parts], names=["bucket", "seen", "kinds", "deepest", "model"])
 
     return run
 
 
-def _answer(low):
+def _answer(low, buckets: int):
+    """For each string the log10 probability (float), for each word its count (long)."""
+
     def run(key, asked, model):
-        levels = list(low.value)
+        words = key[0].as_py() >= buckets
+        levels = [] if words else list(low.value)
         for parts in model.column("model") if len(model) else ():
-            arrays = [np.frombuffer(x.as_buffer(), np.float64 if j % 2 else np.int64) for j, x in enumerate(parts.values)]
+            arrays = [np.frombuffer(x.as_buffer(), np.float64 if j % 2 and not words else np.int64) for j, x in enumerate(parts.values)]
             levels += [tuple(arrays[j : j + 4]) for j in range(0, len(arrays), 4)]
-        logs = [np.log10(probabilities(levels, code)).astype(np.float32) for code in _blobs(asked, "codes", np.int64)]
-        return pa.table([asked.column("grp"), asked.column("codes"), pa.array(_pack(*logs), pa.binary())], names=["grp", "codes", "logs"])
+        out = []
+        for code in _blobs(asked, "codes", np.int64):
+            if words:
+                at, hit = _find(levels[0][0], code) if levels else (None, np.zeros(len(code), bool))
+                out.append(np.where(hit, levels[0][1][at], 0) if hit.any() else np.zeros(len(code), np.int64))
+            else:
+                out.append(np.log10(probabilities(levels, code)).astype(np.float32))
+        return pa.table([asked.column("grp"), pa.array([words] * len(asked), pa.bool_()), asked.column("codes"), pa.array(_pack(*out), pa.binary())], names=["grp", "words", "codes", "found"])
 
     return run
 
 
-def _word_counts(batches):
-    """(word hash, times) summed per slice."""
-    for b in batches:
-        for _, _, data, offs, _ in bk.slices(b.column(0)):
-            h, n = np.unique(bk.word_hashes(bk.LOWER[data], offs, ~bk.SPACE)[0], return_counts=True)
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-
-FREQUENT = 1 << 16
-SCORED = "rid long, id long, held_out boolean, h long, n long, part double, score double"
-
-
-def _score(common):
-    """Per text one row with the tree's score and the base sum over the frequent words, and one row per distinct other word."""
-
-    def run(key, texts, answers):
-        keys, count = common.value
-        logs, grp = np.log10(count + 0.5), key[0].as_py()
-        parts = [(lo, hi, bk.LOWER[data], offs, *coded(data, offs)) for lo, hi, data, offs, _ in bk.slices(texts.column("text"))]
-        known, value = np.concatenate([np.zeros(0, np.int64), *_blobs(answers, "codes", np.int64)]), np.concatenate([np.zeros(0, np.float32), *_blobs(answers, "logs", np.float32)])
-        place = np.asarray(pc.index_in(pa.array(np.concatenate([np.zeros(0, np.int64), *(p[4] for p in parts)])), value_set=pa.array(known)))
-        out, done = [], 0
-        for lo, hi, low, offs, code, o in parts:
-            n = hi - lo
-            score = np.add.reduceat(value[place[done : done + len(code)]].astype(np.float64), o[:-1])
-            done += len(code)
-            h, _, _, doc = bk.word_hashes(low, offs, ~bk.SPACE)
-            near = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            hit = keys[near] == h if len(keys) else np.zeros(len(h), bool)
-            part = np.bincount(doc[hit], logs[near[hit]], n) if len(keys) else np.zeros(n)
-            seen = np.bincount(doc[hit], minlength=n)
-            h, doc = h[~hit], doc[~hit]
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, int)
-            times, h, doc = np.diff(np.append(first, len(h))), h[first], doc[first]
-            whole = np.arange(n + len(h)) < n
-            row = np.concatenate([np.arange(n), doc])
-            own = pa.array(np.where(whole, row + lo, 0), mask=~whole)
-            out.append(
-                [pa.array(grp << 32 | (row + lo)), *(texts.column(c).combine_chunks().take(own) for c in ("id", "held_out")), pa.array(np.concatenate([np.zeros(n, np.int64), h.view(np.int64)])), pa.array(np.concatenate([seen, times]).astype(np.int64)), pa.array(np.concatenate([part, np.zeros(len(h))]), mask=~whole), pa.array(np.concatenate([score, np.zeros(len(h))]), mask=~whole)],
-            )
-        names = ["rid", "id", "held_out", "h", "n", "part", "score"]
-        return pa.Table.from_batches([pa.record_batch(x, names=names) for x in out]) if out else pa.schema([(c, pa.bool_() if c == "held_out" else pa.float64() if k > 4 else pa.int64()) for k, c in enumerate(names)]).empty_table()
+SCORED = "id long, held_out boolean, n long, n_known long, part double, score double"
 
-    return run
+
+def _known(answers: pa.Table, words: bool, kind) -> tuple[pa.Array, np.ndarray]:
+    mine = answers.filter(pc.equal(answers.column("words"), words))
+    return pa.array(np.concatenate([np.zeros(0, np.int64), *_blobs(mine, "codes", np.int64)])), np.concatenate([np.zeros(0, kind), *_blobs(mine, "found", kind)])
 
 
-def tree(codes: DataFrame, groups: int) -> tuple[list[tuple[np.ndarray, ...]], DataFrame]:
-    """The levels up to LOW, and a table (bucket, deepest, model) of the retained longer contexts; deepest: how many have DEPTH symbols."""
+def _score(key, texts, answers):
+    """Per text of a group its score, its words and those seen in training, and the sum of log10(c+0.5) over its words."""
+    (strings, logs), (words, count) = _known(answers, False, np.float32), _known(answers, True, np.int64)
+    kinds = {"id": pa.int64(), "held_out": pa.bool_(), "n": pa.int64(), "n_known": pa.int64(), "part": pa.float64(), "score": pa.float64()}
+    out = []
+    for lo, hi, data, offs, _ in bk.slices(texts.column("text"), 2 * bk.SLICE_BYTES):
+        code, o = coded(data, offs)
+        score = np.add.reduceat(logs[np.asarray(pc.index_in(pa.array(code), value_set=strings))].astype(np.float64), o[:-1])
+        h, _, _, doc = bk.word_hashes(bk.LOWER[data], offs, ~bk.SPACE)
+        c = count[np.asarray(pc.index_in(pa.array(h.view(np.int64)), value_set=words))] if len(h) else np.zeros(0, np.int64)
+        n = hi - lo
+        own = [np.bincount(doc, minlength=n), np.bincount(doc, c > 0, n).astype(np.int64), np.bincount(doc, np.log10(c + 0.5), n), score]
+        out.append(pa.Table.from_arrays([*(texts.column(x).slice(lo, n) for x in ("id", "held_out")), *map(pa.array, own)], schema=pa.schema(kinds.items())))
+    return pa.concat_tables(out) if out else pa.schema(kinds.items()).empty_table()
+
+
+def tree(codes: DataFrame, groups: int, buckets: int) -> tuple[list[tuple[np.ndarray, ...]], DataFrame]:
+    """The levels up to LOW, and a table (bucket, seen, kinds, deepest, model) of the retained longer contexts and the words.
+
+    seen, kinds: training words and distinct ones of a bucket; deepest: how many of its contexts have DEPTH symbols.
+    """
     spark = codes.sparkSession
     counted, parts = codes, groups
     while True:
@@ -293,9 +302,9 @@ def tree(codes: DataFrame, groups: int) -> tuple[list[tuple[np.ndarray, ...]], D
         release(spark)
         if parts <= 1:
             break
-    pairs = counted.mapInArrow(_low, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    pairs = counted.where(F.col("bucket") < buckets).mapInArrow(_low, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
     low = low_levels(*(np.asarray(pairs.column(k).combine_chunks()) for k in range(2)))
-    model = stage(counted.mapInArrow(_build(spark.sparkContext.broadcast(low)), "bucket long, deepest long, model array<binary>"), "tree")
+    model = stage(counted.mapInArrow(_build(spark.sparkContext.broadcast(low), buckets), "bucket long, seen long, kinds long, deepest long, model array<binary>"), "tree")
     drop(counted)
     return low, model
 
@@ -303,7 +312,6 @@ def tree(codes: DataFrame, groups: int) -> tuple[list[tuple[np.ndarray, ...]], D
 def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row."""
     spark = docs.sparkSession
-    send = spark.sparkContext.broadcast
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False)).alias("held_out")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size, ends = rows.agg(F.sum(F.octet_length("text") + 1), F.count_if(~F.col("held_out"))).first()
@@ -311,30 +319,18 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = stage(rows.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))), "texts")
     codes = stage(texts.select("grp", "held_out", "text").groupBy("grp").applyInArrow(_count(buckets), CODES), "codes")
     release(spark)
-    low, model = tree(codes, groups)
+    low, model = tree(codes, groups, buckets)
     salt = F.floor(F.col("grp") / FAN).alias("salt")
     asked = codes.select("bucket", salt, "grp", "codes").groupBy("bucket", "salt")
     copies = model.select("bucket", F.explode(F.expr(f"sequence(0L, {(groups - 1) // FAN}L)")).alias("salt"), "model").groupBy("bucket", "salt")
-    answers = stage(asked.cogroup(copies).applyInArrow(_answer(send(low)), "grp long, codes binary, logs binary"), "answers")
+    answers = stage(asked.cogroup(copies).applyInArrow(_answer(spark.sparkContext.broadcast(low), buckets), "grp long, words boolean, codes binary, found binary"), "answers")
     release(spark)
     drop(codes)
+    total = model.agg(F.sum("seen"), F.sum("kinds")).first()
+    n_all, kinds = (total[0] or 0) + ends, (total[1] or 0) + (1 if ends else 0)
     drop(model)
-    counts = stage(texts.where("not held_out").select("text").mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "words")
-    release(spark)
-    total = counts.agg(F.sum("c"), F.count("*")).first()
-    n_all, kinds = (total[0] or 0) + ends, total[1] + (1 if ends else 0)
-    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow().sort_by("h")
-    common = tuple(np.asarray(top.column(k).combine_chunks()).astype(t) for k, t in ((0, np.int64), (1, np.float64)))
-    scored = stage(texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_score(send(common)), SCORED), "scored")
-    release(spark)
-    drop(texts)
-    drop(answers)
-    rare = scored.where("part is null").select("rid", "h", "n").join(counts, "h", "left")
-    known = F.when(F.col("c") > 0, F.col("n")).otherwise(0)
-    rare = rare.groupBy("rid").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_part"), F.sum("n").alias("rare_n"), F.sum(known).alias("rare_known"))
-    out = scored.where("part is not null").join(rare, "rid", "left")
-    tokens = F.col("n") + F.coalesce("rare_n", F.lit(0)) + 1
-    unit = float(np.log10(n_all + 0.5 * (kinds + 1)))
-    base = F.col("part") + F.coalesce("rare_part", F.lit(0.0)) + float(np.log10(ends + 0.5)) - tokens * unit
-    seen = F.col("n") + F.coalesce("rare_known", F.lit(0)) + (1 if ends else 0)
-    return out.select("id", "held_out", tokens.cast("long").alias("n_tokens"), seen.cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    scored = texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_score, SCORED)
+    tokens = F.col("n") + 1
+    base = F.col("part") + float(np.log10(ends + 0.5)) - tokens * float(np.log10(n_all + 0.5 * (kinds + 1)))
+    known = F.col("n_known") + (1 if ends else 0)
+    return scored.select("id", "held_out", tokens.alias("n_tokens"), known.alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

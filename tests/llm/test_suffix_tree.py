@@ -88,7 +88,7 @@ def test_tree_grows_with_the_input_and_beats_word_counts(spark):
     def contexts(part):
         rows = part.selectExpr("0L AS grp", "false AS held_out", "text")
         codes = rows.groupBy("grp").applyInArrow(st._count(8), st.CODES)
-        return st.tree(codes, 1)[1].groupBy().sum("deepest").first()[0]
+        return st.tree(codes, 1, 8)[1].groupBy().sum("deepest").first()[0]
 
     assert contexts(docs) > 1.3 * contexts(docs.where("doc_id % 3 = 0"))
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
