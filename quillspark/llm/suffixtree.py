@@ -73,12 +73,29 @@ def coded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return six[at - DEPTH] << 8 | s, o
 
 
-def _blobs(group: pa.Table, name: str, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), kind) for chunk in group.column(name).chunks for x in chunk]
+def _packed(x: np.ndarray) -> bytes:
+    """An array as bytes: differences of integers, their bytes by place, compressed."""
+    y = np.diff(x, prepend=x.dtype.type(0)) if x.dtype == np.int64 else x
+    planes = np.ascontiguousarray(np.ascontiguousarray(y).view(np.uint8).reshape(-1, y.itemsize).T)
+    return len(x).to_bytes(8, "little") + (pa.Codec("zstd", 1).compress(planes, asbytes=True) if len(x) else b"")
+
+
+def _unpacked(blob: pa.BinaryScalar, kind=np.int64) -> np.ndarray:
+    data = memoryview(blob.as_buffer())
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(pa.py_buffer(data[8:]), n * size), np.uint8)
+    y = np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+    return np.cumsum(y) if kind == np.int64 else y
+
+
+def _blobs(group: pa.Table, name: str, kind=np.int64) -> list[np.ndarray]:
+    return [_unpacked(x, kind) for chunk in group.column(name).chunks for x in chunk]
 
 
 def _pack(*columns: np.ndarray) -> list[bytes]:
-    return [np.ascontiguousarray(c).tobytes() for c in columns]
+    return [_packed(c) for c in columns]
 
 
 def _distinct(sorted_: np.ndarray) -> np.ndarray:
@@ -132,7 +149,7 @@ def _count(buckets: int):
 
 def _merge(key, group):
     """The training counts of a bucket's groups in one."""
-    code, times = np.concatenate(_blobs(group, "codes", np.int64)), np.concatenate(_blobs(group, "counts", np.int64))
+    code, times = np.concatenate(_blobs(group, "codes")), np.concatenate(_blobs(group, "counts"))
     code, times = code[times > 0], times[times > 0]
     order = np.argsort(code, kind="stable")  # runs that are sorted already merge
     code, times = code[order], times[order]
@@ -220,7 +237,7 @@ def _low(batches):
     """Counts of the strings with contexts of LOW symbols, by bucket."""
     for b in batches:
         for code, times in zip(b.column(2), b.column(3)):
-            code, times = np.frombuffer(code.as_buffer(), np.int64), np.frombuffer(times.as_buffer(), np.int64)
+            code, times = _unpacked(code), _unpacked(times)
             pair, at = np.unique(context(code, LOW) << 8 | code & 255, return_inverse=True)
             yield pa.record_batch([pa.array(pair), pa.array(np.bincount(at, times, len(pair)).astype(np.int64))], names=["pair", "c"])
 
@@ -231,7 +248,7 @@ def _build(low, buckets: int):
     def run(batches):
         for b in batches:
             for k in range(len(b)):
-                code, times = (np.frombuffer(b.column(c)[k].as_buffer(), np.int64) for c in (2, 3))
+                code, times = (_unpacked(b.column(c)[k]) for c in (2, 3))
                 words = b.column(1)[k].as_py() >= buckets
                 found = [(code, times)] if words else deep_levels(code, times, low.value)
                 seen, kinds, deepest = (int(times.sum()), len(code), 0) if words else (0, 0, len(found[-1][0]))
@@ -248,10 +265,10 @@ def _answer(low, buckets: int):
         words = key[0].as_py() >= buckets
         levels = [] if words else list(low.value)
         for parts in model.column("model") if len(model) else ():
-            arrays = [np.frombuffer(x.as_buffer(), np.float64 if j % 2 and not words else np.int64) for j, x in enumerate(parts.values)]
+            arrays = [_unpacked(x, np.float64 if j % 2 and not words else np.int64) for j, x in enumerate(parts.values)]
             levels += [tuple(arrays[j : j + 4]) for j in range(0, len(arrays), 4)]
         out = []
-        for code in _blobs(asked, "codes", np.int64):
+        for code in _blobs(asked, "codes"):
             if words:
                 at, hit = _find(levels[0][0], code) if levels else (None, np.zeros(len(code), bool))
                 out.append(np.where(hit, levels[0][1][at], 0) if hit.any() else np.zeros(len(code), np.int64))
@@ -267,7 +284,7 @@ SCORED = "id long, held_out boolean, n long, n_known long, part double, score do
 
 def _known(answers: pa.Table, words: bool, kind) -> tuple[pa.Array, np.ndarray]:
     mine = answers.filter(pc.equal(answers.column("words"), words))
-    return pa.array(np.concatenate([np.zeros(0, np.int64), *_blobs(mine, "codes", np.int64)])), np.concatenate([np.zeros(0, kind), *_blobs(mine, "found", kind)])
+    return pa.array(np.concatenate([np.zeros(0, np.int64), *_blobs(mine, "codes")])), np.concatenate([np.zeros(0, kind), *_blobs(mine, "found", kind)])
 
 
 def _score(key, texts, answers):
