@@ -26,6 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ from quillspark.llm.shared import drop, release, stage
 
 DEPTH, LOW, GAIN, LEAST = 6, 2, 8.0, 8
 #: Bytes of text in a group, of all text per bucket, groups of a bucket merged or answered at once, most buckets.
-GROUP_BYTES, BUCKET_BYTES, FAN, BUCKETS = 4 << 20, 16 << 20, 16, 4096
+GROUP_BYTES, BUCKET_BYTES, FAN, BUCKETS = 12 << 20, 16 << 20, 16, 4096
 BLANK, END = 32, 10  # white space other than a blank never stands in normalised text
 ALPHABET = 252  # bytes that aren't white space, the blank and the end
 
@@ -102,6 +103,7 @@ def _distinct(sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(sorted_) else np.zeros(0, np.int64)
 
 
+TEXTS = "grp long, id long, held_out boolean, text string, bucket long, codes binary, counts binary"
 CODES = "grp long, bucket long, codes binary, counts binary"
 _CODES = pa.schema([("grp", pa.int64()), ("bucket", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary())])
 
@@ -119,30 +121,48 @@ def _remainder(x: np.ndarray, buckets: int) -> np.ndarray:
     return (bk.mix(x.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _count(buckets: int):
+def _counted(pieces: list[tuple[np.ndarray, ...]], buckets: int) -> tuple[np.ndarray, list[bytes], list[bytes]]:
     """A group's distinct strings and (in the second half of the buckets) words, and how often each was seen in training."""
+    seen = np.concatenate([p[0] for p in pieces])
+    seen.sort()
+    learnt = (seen & 1) == 0
+    seen >>= 1
+    first = _distinct(seen)
+    strings = _by_bucket(seen[first], np.add.reduceat(learnt, first, dtype=np.int64), _remainder(seen[first] >> 32, buckets))
+    word, at = np.unique(np.concatenate([p[1] for p in pieces]), return_inverse=True)
+    times = np.bincount(at, np.concatenate([p[2] for p in pieces]), len(word)).astype(np.int64)
+    words = _by_bucket(word, times, buckets + _remainder(word, buckets))
+    return np.concatenate([strings[0], words[0]]), strings[1] + words[1], strings[2] + words[2]
+
+
+def _groups(buckets: int):
+    """The rows of a partition dealt to groups of about GROUP_BYTES in their order, and each group's counts behind its rows.
+
+    Only the table written from this says which group a text is in: another run may cut otherwise.
+    """
+
+    def run(batches):
+        base, done, held_bytes, pieces = TaskContext.get().partitionId() << 32, 0, 0, []
+
+        def counts():
+            to, codes, times = _counted(pieces, buckets)
+            nulls = [pa.nulls(len(to), t) for t in (pa.int64(), pa.bool_(), pa.string())]
+            return pa.record_batch([pa.array([base + done] * len(to), pa.int64()), *nulls, pa.array(to), pa.array(codes, pa.binary()), pa.array(times, pa.binary())], names=names)
 
-    def run(key, group):
-        seen, words = [], []
-        held = np.asarray(group.column("held_out").combine_chunks())
-        for lo, hi, data, offs, _ in bk.slices(group.column("text")):
-            code, o = coded(data, offs)
-            seen.append(code << 1 | np.repeat(held[lo:hi], np.diff(o)))
-            h, _, _, doc = bk.word_hashes(bk.LOWER[data], offs, ~bk.SPACE)
-            words.append((h.view(np.int64), ~held[lo:hi][doc]))
-        seen = np.concatenate(seen) if seen else np.zeros(0, np.int64)
-        seen.sort()
-        learnt = (seen & 1) == 0
-        seen >>= 1
-        first = _distinct(seen)
-        times = np.add.reduceat(learnt, first, dtype=np.int64) if len(first) else first
-        code = seen[first]
-        rows = [_by_bucket(code, times, _remainder(code >> 32, buckets))]
-        word, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(h for h, _ in words)]), return_inverse=True)
-        times = np.bincount(at, np.concatenate([np.zeros(0, bool), *(t for _, t in words)]), len(word)).astype(np.int64)
-        rows.append(_by_bucket(word, times, buckets + _remainder(word, buckets)))
-        to = np.concatenate([r[0] for r in rows])
-        return pa.table([[key[0].as_py()] * len(to), to, rows[0][1] + rows[1][1], rows[0][2] + rows[1][2]], schema=_CODES)
+        names = ["grp", "id", "held_out", "text", "bucket", "codes", "counts"]
+        for b in batches:
+            for lo, hi, data, offs, _ in bk.slices(b.column(2)):
+                n, held = hi - lo, np.asarray(b.column(1).slice(lo, hi - lo))
+                code, o = coded(data, offs)
+                h, _, _, doc = bk.word_hashes(bk.LOWER[data], offs, ~bk.SPACE)
+                pieces.append((code << 1 | np.repeat(held, np.diff(o)), h.view(np.int64), ~held[doc]))
+                yield pa.record_batch([pa.array([base + done] * n, pa.int64()), *(b.column(c).slice(lo, n) for c in range(3)), *(pa.nulls(n, t) for t in (pa.int64(), pa.binary(), pa.binary()))], names=names)
+                held_bytes += len(data)
+                if held_bytes >= GROUP_BYTES:
+                    yield counts()
+                    done, held_bytes, pieces = done + 1, 0, []
+        if pieces:
+            yield counts()
 
     return run
 
@@ -303,6 +323,11 @@ def _score(key, texts, answers):
     return pa.concat_tables(out) if out else pa.schema(kinds.items()).empty_table()
 
 
+def _share(parts: int):
+    """Of groups dealt to so many parts, the part of each."""
+    return F.pmod(F.xxhash64("grp"), F.lit(parts))
+
+
 def tree(codes: DataFrame, groups: int, buckets: int) -> tuple[list[tuple[np.ndarray, ...]], DataFrame]:
     """The levels up to LOW, and a table (bucket, seen, kinds, deepest, model) of the retained longer contexts and the words.
 
@@ -312,7 +337,7 @@ def tree(codes: DataFrame, groups: int, buckets: int) -> tuple[list[tuple[np.nda
     counted, parts = codes, groups
     while True:
         parts = -(-parts // FAN)
-        merged = stage(counted.withColumn("part", F.floor(F.col("grp") / FAN)).groupBy("bucket", "part").applyInArrow(_merge, CODES), "counted")
+        merged = stage(counted.withColumn("part", _share(parts)).groupBy("bucket", "part").applyInArrow(_merge, CODES), "counted")
         if counted is not codes:
             drop(counted)
         counted = merged
@@ -332,17 +357,16 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False)).alias("held_out")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size, ends = rows.agg(F.sum(F.octet_length("text") + 1), F.count_if(~F.col("held_out"))).first()
-    groups, buckets = -(-(size or 1) // GROUP_BYTES), min(BUCKETS, max(8, (size or 0) // BUCKET_BYTES))
-    texts = stage(rows.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))), "texts")
-    codes = stage(texts.select("grp", "held_out", "text").groupBy("grp").applyInArrow(_count(buckets), CODES), "codes")
-    release(spark)
+    buckets = min(BUCKETS, max(8, (size or 0) // BUCKET_BYTES))
+    grouped = stage(rows.mapInArrow(_groups(buckets), TEXTS), "groups")
+    texts, codes = grouped.where("bucket is null").select("grp", "id", "held_out", "text"), grouped.where("bucket is not null").select("grp", "bucket", "codes", "counts")
+    groups = max(1, codes.select("grp").distinct().count())
     low, model = tree(codes, groups, buckets)
-    salt = F.floor(F.col("grp") / FAN).alias("salt")
-    asked = codes.select("bucket", salt, "grp", "codes").groupBy("bucket", "salt")
-    copies = model.select("bucket", F.explode(F.expr(f"sequence(0L, {(groups - 1) // FAN}L)")).alias("salt"), "model").groupBy("bucket", "salt")
+    parts = -(-groups // FAN)
+    asked = codes.select("bucket", _share(parts).alias("part"), "grp", "codes").groupBy("bucket", "part")
+    copies = model.select("bucket", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias("part"), "model").groupBy("bucket", "part")
     answers = stage(asked.cogroup(copies).applyInArrow(_answer(spark.sparkContext.broadcast(low), buckets), "grp long, words boolean, codes binary, found binary"), "answers")
     release(spark)
-    drop(codes)
     total = model.agg(F.sum("seen"), F.sum("kinds")).first()
     n_all, kinds = (total[0] or 0) + ends, (total[1] or 0) + (1 if ends else 0)
     drop(model)

@@ -86,8 +86,8 @@ def test_tree_grows_with_the_input_and_beats_word_counts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
 
     def contexts(part):
-        rows = part.selectExpr("0L AS grp", "false AS held_out", "text")
-        codes = rows.groupBy("grp").applyInArrow(st._count(8), st.CODES)
+        rows = part.selectExpr("doc_id AS id", "false AS held_out", "text").coalesce(1)
+        codes = rows.mapInArrow(st._groups(8), st.TEXTS).where("bucket is not null").select("grp", "bucket", "codes", "counts")
         return st.tree(codes, 1, 8)[1].groupBy().sum("deepest").first()[0]
 
     assert contexts(docs) > 1.3 * contexts(docs.where("doc_id % 3 = 0"))
