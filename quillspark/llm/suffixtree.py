@@ -279,7 +279,7 @@ def _build(low, buckets: int):
 
 
 def _answer(low, buckets: int):
-    """For each string the log10 probability (float), for each word its count (long)."""
+    """For each string the log10 probability (float), for each word its count (long), in the order they were asked in."""
 
     def run(key, asked, model):
         words = key[0].as_py() >= buckets
@@ -294,7 +294,7 @@ def _answer(low, buckets: int):
                 out.append(np.where(hit, levels[0][1][at], 0) if hit.any() else np.zeros(len(code), np.int64))
             else:
                 out.append(np.log10(probabilities(levels, code)).astype(np.float32))
-        return pa.table([asked.column("grp"), pa.array([words] * len(asked), pa.bool_()), asked.column("codes"), pa.array(_pack(*out), pa.binary())], names=["grp", "words", "codes", "found"])
+        return pa.table([asked.column("grp"), asked.column("bucket"), pa.array(_pack(*out), pa.binary())], names=["grp", "bucket", "found"])
 
     return run
 
@@ -302,25 +302,39 @@ def _answer(low, buckets: int):
 SCORED = "id long, held_out boolean, n long, n_known long, part double, score double"
 
 
-def _known(answers: pa.Table, words: bool, kind) -> tuple[pa.Array, np.ndarray]:
-    mine = answers.filter(pc.equal(answers.column("words"), words))
-    return pa.array(np.concatenate([np.zeros(0, np.int64), *_blobs(mine, "codes")])), np.concatenate([np.zeros(0, kind), *_blobs(mine, "found", kind)])
+def _asked(code: np.ndarray, to) -> pa.Array:
+    """Distinct codes in the order in which they were asked: by bucket, then by code."""
+    code = np.sort(code)
+    code = code[_distinct(code)]
+    return pa.array(code[np.argsort(to(code), kind="stable")])
 
 
-def _score(key, texts, answers):
+def _score(buckets: int):
     """Per text of a group its score, its words and those seen in training, and the sum of log10(c+0.5) over its words."""
-    (strings, logs), (words, count) = _known(answers, False, np.float32), _known(answers, True, np.int64)
     kinds = {"id": pa.int64(), "held_out": pa.bool_(), "n": pa.int64(), "n_known": pa.int64(), "part": pa.float64(), "score": pa.float64()}
-    out = []
-    for lo, hi, data, offs, _ in bk.slices(texts.column("text"), 2 * bk.SLICE_BYTES):
-        code, o = coded(data, offs)
-        score = np.add.reduceat(logs[np.asarray(pc.index_in(pa.array(code), value_set=strings))].astype(np.float64), o[:-1])
-        h, _, _, doc = bk.word_hashes(bk.LOWER[data], offs, ~bk.SPACE)
-        c = count[np.asarray(pc.index_in(pa.array(h.view(np.int64)), value_set=words))] if len(h) else np.zeros(0, np.int64)
-        n = hi - lo
-        own = [np.bincount(doc, minlength=n), np.bincount(doc, c > 0, n).astype(np.int64), np.bincount(doc, np.log10(c + 0.5), n), score]
-        out.append(pa.Table.from_arrays([*(texts.column(x).slice(lo, n) for x in ("id", "held_out")), *map(pa.array, own)], schema=pa.schema(kinds.items())))
-    return pa.concat_tables(out) if out else pa.schema(kinds.items()).empty_table()
+
+    def run(key, texts, answers):
+        parts = [(lo, hi, *coded(data, offs), *bk.word_hashes(bk.LOWER[data], offs, ~bk.SPACE)[::3]) for lo, hi, data, offs, _ in bk.slices(texts.column("text"))]
+        if not parts:
+            return pa.schema(kinds.items()).empty_table()
+        answers = answers.sort_by("bucket")
+        near = pc.less(answers.column("bucket"), buckets)
+        logs = np.concatenate([np.zeros(0, np.float32), *_blobs(answers.filter(near), "found", np.float32)])
+        count = np.concatenate([np.zeros(0, np.int64), *_blobs(answers.filter(pc.invert(near)), "found")])
+        codes, words = np.concatenate([p[2] for p in parts]), np.concatenate([p[4].view(np.int64) for p in parts])
+        at = np.asarray(pc.index_in(pa.array(codes), value_set=_asked(codes, lambda c: _remainder(c >> 32, buckets))))
+        word_at = np.asarray(pc.index_in(pa.array(words), value_set=_asked(words, lambda c: _remainder(c, buckets))))
+        out, done, seen = [], 0, 0
+        for lo, hi, code, o, h, doc in parts:
+            n = hi - lo
+            score = np.add.reduceat(logs[at[done : done + len(code)]].astype(np.float64), o[:-1])
+            c = count[word_at[seen : seen + len(h)]]
+            done, seen = done + len(code), seen + len(h)
+            own = [np.bincount(doc, minlength=n), np.bincount(doc, c > 0, n).astype(np.int64), np.bincount(doc, np.log10(c + 0.5), n), score]
+            out.append(pa.Table.from_arrays([*(texts.column(x).slice(lo, n) for x in ("id", "held_out")), *map(pa.array, own)], schema=pa.schema(kinds.items())))
+        return pa.concat_tables(out)
+
+    return run
 
 
 def _share(parts: int):
@@ -365,12 +379,12 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = -(-groups // FAN)
     asked = codes.select("bucket", _share(parts).alias("part"), "grp", "codes").groupBy("bucket", "part")
     copies = model.select("bucket", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias("part"), "model").groupBy("bucket", "part")
-    answers = stage(asked.cogroup(copies).applyInArrow(_answer(spark.sparkContext.broadcast(low), buckets), "grp long, words boolean, codes binary, found binary"), "answers")
+    answers = stage(asked.cogroup(copies).applyInArrow(_answer(spark.sparkContext.broadcast(low), buckets), "grp long, bucket long, found binary"), "answers")
     release(spark)
     total = model.agg(F.sum("seen"), F.sum("kinds")).first()
     n_all, kinds = (total[0] or 0) + ends, (total[1] or 0) + (1 if ends else 0)
     drop(model)
-    scored = texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_score, SCORED)
+    scored = texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_score(buckets), SCORED)
     tokens = F.col("n") + 1
     base = F.col("part") + float(np.log10(ends + 0.5)) - tokens * float(np.log10(n_all + 0.5 * (kinds + 1)))
     known = F.col("n_known") + (1 if ends else 0)
