@@ -103,7 +103,7 @@ def _distinct(sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(sorted_) else np.zeros(0, np.int64)
 
 
-TEXTS = "grp long, id long, held_out boolean, text string, bucket long, codes binary, counts binary"
+TEXTS = "grp long, texts binary, bucket long, codes binary, counts binary"
 CODES = "grp long, bucket long, codes binary, counts binary"
 _CODES = pa.schema([("grp", pa.int64()), ("bucket", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary())])
 
@@ -136,7 +136,7 @@ def _counted(pieces: list[tuple[np.ndarray, ...]], buckets: int) -> tuple[np.nda
 
 
 def _groups(buckets: int):
-    """The rows of a partition dealt to groups of about GROUP_BYTES in their order, and each group's counts behind its rows.
+    """The rows of a partition dealt to groups of about GROUP_BYTES in their order, some packed in a row; each group's counts follow.
 
     Only the table written from this says which group a text is in: another run may cut otherwise.
     """
@@ -146,17 +146,19 @@ def _groups(buckets: int):
 
         def counts():
             to, codes, times = _counted(pieces, buckets)
-            nulls = [pa.nulls(len(to), t) for t in (pa.int64(), pa.bool_(), pa.string())]
-            return pa.record_batch([pa.array([base + done] * len(to), pa.int64()), *nulls, pa.array(to), pa.array(codes, pa.binary()), pa.array(times, pa.binary())], names=names)
+            return pa.record_batch([pa.array([base + done] * len(to), pa.int64()), pa.nulls(len(to), pa.binary()), pa.array(to), pa.array(codes, pa.binary()), pa.array(times, pa.binary())], names=names)
 
-        names = ["grp", "id", "held_out", "text", "bucket", "codes", "counts"]
+        names = ["grp", "texts", "bucket", "codes", "counts"]
         for b in batches:
             for lo, hi, data, offs, _ in bk.slices(b.column(2)):
-                n, held = hi - lo, np.asarray(b.column(1).slice(lo, hi - lo))
+                held = np.asarray(b.column(1).slice(lo, hi - lo))
                 code, o = coded(data, offs)
                 h, _, _, doc = bk.word_hashes(bk.LOWER[data], offs, ~bk.SPACE)
                 pieces.append((code << 1 | np.repeat(held, np.diff(o)), h.view(np.int64), ~held[doc]))
-                yield pa.record_batch([pa.array([base + done] * n, pa.int64()), *(b.column(c).slice(lo, n) for c in range(3)), *(pa.nulls(n, t) for t in (pa.int64(), pa.binary(), pa.binary()))], names=names)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(b.slice(lo, hi - lo))
+                yield pa.record_batch([pa.array([base + done]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), *(pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.binary()))], names=names)
                 held_bytes += len(data)
                 if held_bytes >= GROUP_BYTES:
                     yield counts()
@@ -313,25 +315,29 @@ def _score(buckets: int):
     """Per text of a group its score, its words and those seen in training, and the sum of log10(c+0.5) over its words."""
     kinds = {"id": pa.int64(), "held_out": pa.bool_(), "n": pa.int64(), "n_known": pa.int64(), "part": pa.float64(), "score": pa.float64()}
 
-    def run(key, texts, answers):
-        parts = [(lo, hi, *coded(data, offs), *bk.word_hashes(bk.LOWER[data], offs, ~bk.SPACE)[::3]) for lo, hi, data, offs, _ in bk.slices(texts.column("text"))]
+    def run(key, packed, answers):
+        parts, rows = [], []
+        for blob in (x for chunk in packed.column("texts").chunks for x in chunk):
+            rows.append(pa.ipc.open_stream(blob.as_buffer()).read_all())
+            for _, _, data, offs, _ in bk.slices(rows[-1].column("text"), 1 << 60):
+                parts.append((*coded(data, offs), *bk.word_hashes(bk.LOWER[data], offs, ~bk.SPACE)[::3]))
         if not parts:
             return pa.schema(kinds.items()).empty_table()
         answers = answers.sort_by("bucket")
         near = pc.less(answers.column("bucket"), buckets)
         logs = np.concatenate([np.zeros(0, np.float32), *_blobs(answers.filter(near), "found", np.float32)])
         count = np.concatenate([np.zeros(0, np.int64), *_blobs(answers.filter(pc.invert(near)), "found")])
-        codes, words = np.concatenate([p[2] for p in parts]), np.concatenate([p[4].view(np.int64) for p in parts])
+        codes, words = np.concatenate([p[0] for p in parts]), np.concatenate([p[2].view(np.int64) for p in parts])
         at = np.asarray(pc.index_in(pa.array(codes), value_set=_asked(codes, lambda c: _remainder(c >> 32, buckets))))
         word_at = np.asarray(pc.index_in(pa.array(words), value_set=_asked(words, lambda c: _remainder(c, buckets))))
         out, done, seen = [], 0, 0
-        for lo, hi, code, o, h, doc in parts:
-            n = hi - lo
+        for (code, o, h, doc), own in zip(parts, rows):
+            n = len(own)
             score = np.add.reduceat(logs[at[done : done + len(code)]].astype(np.float64), o[:-1])
             c = count[word_at[seen : seen + len(h)]]
             done, seen = done + len(code), seen + len(h)
-            own = [np.bincount(doc, minlength=n), np.bincount(doc, c > 0, n).astype(np.int64), np.bincount(doc, np.log10(c + 0.5), n), score]
-            out.append(pa.Table.from_arrays([*(texts.column(x).slice(lo, n) for x in ("id", "held_out")), *map(pa.array, own)], schema=pa.schema(kinds.items())))
+            new = [np.bincount(doc, minlength=n), np.bincount(doc, c > 0, n).astype(np.int64), np.bincount(doc, np.log10(c + 0.5), n), score]
+            out.append(pa.Table.from_arrays([own.column("id"), own.column("held_out"), *map(pa.array, new)], schema=pa.schema(kinds.items())))
         return pa.concat_tables(out)
 
     return run
@@ -373,7 +379,7 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     size, ends = rows.agg(F.sum(F.octet_length("text") + 1), F.count_if(~F.col("held_out"))).first()
     buckets = min(BUCKETS, max(8, (size or 0) // BUCKET_BYTES))
     grouped = stage(rows.mapInArrow(_groups(buckets), TEXTS), "groups")
-    texts, codes = grouped.where("bucket is null").select("grp", "id", "held_out", "text"), grouped.where("bucket is not null").select("grp", "bucket", "codes", "counts")
+    texts, codes = grouped.where("bucket is null").select("grp", "texts"), grouped.where("bucket is not null").select("grp", "bucket", "codes", "counts")
     groups = max(1, codes.select("grp").distinct().count())
     low, model = tree(codes, groups, buckets)
     parts = -(-groups // FAN)
