@@ -103,7 +103,7 @@ def _distinct(sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(sorted_) else np.zeros(0, np.int64)
 
 
-TEXTS = "grp long, texts binary, bucket long, codes binary, counts binary"
+TEXTS = "grp long, texts binary"
 CODES = "grp long, bucket long, codes binary, counts binary"
 _CODES = pa.schema([("grp", pa.int64()), ("bucket", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary())])
 
@@ -135,36 +135,44 @@ def _counted(pieces: list[tuple[np.ndarray, ...]], buckets: int) -> tuple[np.nda
     return np.concatenate([strings[0], words[0]]), strings[1] + words[1], strings[2] + words[2]
 
 
-def _groups(buckets: int):
-    """The rows of a partition dealt to groups of about GROUP_BYTES in their order, some packed in a row; each group's counts follow.
+def _groups(batches):
+    """The rows of a partition in groups of about GROUP_BYTES, each packed in one row.
 
     Only the table written from this says which group a text is in: another run may cut otherwise.
     """
+    base, done, size, rows = TaskContext.get().partitionId() << 32, 0, 0, []
 
-    def run(batches):
-        base, done, held_bytes, pieces = TaskContext.get().partitionId() << 32, 0, 0, []
+    def packed():
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for r in rows:
+                out.write_batch(r)
+        return pa.record_batch([pa.array([base + done]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["grp", "texts"])
+
+    for b in batches:
+        for lo, hi, data, _, _ in bk.slices(b.column(2)):
+            rows.append(b.slice(lo, hi - lo))
+            size += len(data)
+            if size >= GROUP_BYTES:
+                yield packed()
+                done, size, rows = done + 1, 0, []
+    if rows:
+        yield packed()
 
-        def counts():
-            to, codes, times = _counted(pieces, buckets)
-            return pa.record_batch([pa.array([base + done] * len(to), pa.int64()), pa.nulls(len(to), pa.binary()), pa.array(to), pa.array(codes, pa.binary()), pa.array(times, pa.binary())], names=names)
 
-        names = ["grp", "texts", "bucket", "codes", "counts"]
+def _count(buckets: int):
+    def run(batches):
         for b in batches:
-            for lo, hi, data, offs, _ in bk.slices(b.column(2)):
-                held = np.asarray(b.column(1).slice(lo, hi - lo))
-                code, o = coded(data, offs)
-                h, _, _, doc = bk.word_hashes(bk.LOWER[data], offs, ~bk.SPACE)
-                pieces.append((code << 1 | np.repeat(held, np.diff(o)), h.view(np.int64), ~held[doc]))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(b.slice(lo, hi - lo))
-                yield pa.record_batch([pa.array([base + done]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), *(pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.binary()))], names=names)
-                held_bytes += len(data)
-                if held_bytes >= GROUP_BYTES:
-                    yield counts()
-                    done, held_bytes, pieces = done + 1, 0, []
-        if pieces:
-            yield counts()
+            for k in range(len(b)):
+                pieces = []
+                for rows in pa.ipc.open_stream(b.column(1)[k].as_buffer()):
+                    for _, _, data, offs, _ in bk.slices(rows.column(2), 1 << 60):
+                        held = np.asarray(rows.column(1))
+                        code, o = coded(data, offs)
+                        h, _, _, doc = bk.word_hashes(bk.LOWER[data], offs, ~bk.SPACE)
+                        pieces.append((code << 1 | np.repeat(held, np.diff(o)), h.view(np.int64), ~held[doc]))
+                to, codes, times = _counted(pieces, buckets)
+                yield pa.record_batch([pa.array([b.column(0)[k].as_py()] * len(to), pa.int64()), pa.array(to), pa.array(codes, pa.binary()), pa.array(times, pa.binary())], names=["grp", "bucket", "codes", "counts"])
 
     return run
 
@@ -317,9 +325,9 @@ def _score(buckets: int):
 
     def run(key, packed, answers):
         parts, rows = [], []
-        for blob in (x for chunk in packed.column("texts").chunks for x in chunk):
-            rows.append(pa.ipc.open_stream(blob.as_buffer()).read_all())
-            for _, _, data, offs, _ in bk.slices(rows[-1].column("text"), 1 << 60):
+        for batch in (x for chunk in packed.column("texts").chunks for blob in chunk for x in pa.ipc.open_stream(blob.as_buffer())):
+            rows.append(pa.Table.from_batches([batch]))
+            for _, _, data, offs, _ in bk.slices(batch.column(2), 1 << 60):
                 parts.append((*coded(data, offs), *bk.word_hashes(bk.LOWER[data], offs, ~bk.SPACE)[::3]))
         if not parts:
             return pa.schema(kinds.items()).empty_table()
@@ -371,6 +379,14 @@ def tree(codes: DataFrame, groups: int, buckets: int) -> tuple[list[tuple[np.nda
     return low, model
 
 
+def _answers(codes: DataFrame, model: DataFrame, low: list, parts: int, buckets: int) -> DataFrame:
+    """What the model says of each group's strings and words; a bucket's part of the model is copied for every FAN groups."""
+    asked = codes.select("bucket", _share(parts).alias("part"), "grp", "codes").groupBy("bucket", "part")
+    copies = model.select("bucket", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias("part"), "model").groupBy("bucket", "part")
+    said = _answer(codes.sparkSession.sparkContext.broadcast(low), buckets)
+    return stage(asked.cogroup(copies).applyInArrow(said, "grp long, bucket long, found binary"), "answers")
+
+
 def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row."""
     spark = docs.sparkSession
@@ -378,14 +394,12 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size, ends = rows.agg(F.sum(F.octet_length("text") + 1), F.count_if(~F.col("held_out"))).first()
     buckets = min(BUCKETS, max(8, (size or 0) // BUCKET_BYTES))
-    grouped = stage(rows.mapInArrow(_groups(buckets), TEXTS), "groups")
-    texts, codes = grouped.where("bucket is null").select("grp", "texts"), grouped.where("bucket is not null").select("grp", "bucket", "codes", "counts")
-    groups = max(1, codes.select("grp").distinct().count())
+    texts = stage(rows.mapInArrow(_groups, TEXTS), "texts")
+    codes = stage(texts.mapInArrow(_count(buckets), CODES), "codes")
+    groups = max(1, texts.count())
     low, model = tree(codes, groups, buckets)
-    parts = -(-groups // FAN)
-    asked = codes.select("bucket", _share(parts).alias("part"), "grp", "codes").groupBy("bucket", "part")
-    copies = model.select("bucket", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias("part"), "model").groupBy("bucket", "part")
-    answers = stage(asked.cogroup(copies).applyInArrow(_answer(spark.sparkContext.broadcast(low), buckets), "grp long, bucket long, found binary"), "answers")
+    answers = _answers(codes, model, low, -(-groups // FAN), buckets)
+    drop(codes)
     release(spark)
     total = model.agg(F.sum("seen"), F.sum("kinds")).first()
     n_all, kinds = (total[0] or 0) + ends, (total[1] or 0) + (1 if ends else 0)

@@ -87,7 +87,7 @@ def test_tree_grows_with_the_input_and_beats_word_counts(spark):
 
     def contexts(part):
         rows = part.selectExpr("doc_id AS id", "false AS held_out", "text").coalesce(1)
-        codes = rows.mapInArrow(st._groups(8), st.TEXTS).where("bucket is not null").select("grp", "bucket", "codes", "counts")
+        codes = rows.mapInArrow(st._groups, st.TEXTS).mapInArrow(st._count(8), st.CODES)
         return st.tree(codes, 1, 8)[1].groupBy().sum("deepest").first()[0]
 
     assert contexts(docs) > 1.3 * contexts(docs.where("doc_id % 3 = 0"))
