@@ -9,7 +9,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no meaning of their own in a summary.
-STOPWORDS = ["that", "this", "with", "from", "have", "they", "their", "will", "what", "when", "were", "been", "your", "into", "about", "after", "them", "then", "than", "only", "over", "just", "like", "some"]
+STOPWORDS = """
+about after again against almost along already also although always among another anything around because been before being
+below between both bring cannot could didnt does doesn doing done down during each else even ever every everything except feel
+feels felt find first found from further gave give given goes going gone good great had have having here herself himself
+however into itself just keep kept know known last later least less like likely little long look looking made make makes many
+maybe mean means might more most much must myself need never next none nothing often once only other others otherwise ought
+over perhaps please quite rather really right said same says seem seems seen several shall should since some something
+sometimes soon still such take taken takes than that their theirs them themselves then there these they thing things think
+this those though through thus together took toward towards under until upon used uses very want wanted wants well went were
+what whatever when where whether which while whom whose will with within without would your yours yourself
+chapter chapters summary spoilers warning warnings work story fic fics notes note author update updates series part complete
+ongoing
+""".split()
 
 
 def parsed_date(s: Column) -> Column:
@@ -39,9 +51,12 @@ def authors_of(byline: Column) -> Column:
 
 def summary_terms(text: Column) -> Column:
     """Distinct lower-case letter runs of 4 to 24 characters that are no stop words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}]+)"), F.lit(1))
-    sized = F.filter(words, lambda w: (F.length(w) >= 4) & (F.length(w) <= 24))
-    return F.array_distinct(F.array_except(sized, F.array(*(F.lit(w) for w in STOPWORDS))))
+    return F.array_except(summary_words(text), F.array(*(F.lit(w) for w in STOPWORDS)))
+
+
+def summary_words(text: Column) -> Column:
+    """The same with stop words."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?<!\p{L})\p{L}{4,24}+(?!\p{L})"), F.lit(0)))
 
 
 def pmi(co: Column, fa: Column, fb: Column, n: Column) -> Column:
@@ -90,7 +105,7 @@ def decade_weight(v: Column) -> Column:
     v = v.cast("double")
     decades = F.least(F.lit(4.0), F.greatest(F.lit(0.0), F.ceil(F.round(F.log10(F.greatest(v, F.lit(1.0))), 12))))
     rest = v / F.pow(F.lit(10.0), decades)
-    return F.when(v > 0, F.greatest(F.lit(0.05), (decades + rest - 1) / 4)).otherwise(0.05)
+    return F.when(v > 0, (decades + rest - 1) / 4).otherwise(0.05)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -70,7 +70,8 @@ def adaptive_gate(pairs: DataFrame, enough: int = 1000) -> DataFrame:
 
 def term_frequency(texts: Column, docs: DataFrame, least: int = 3, most_share: float = 0.2) -> DataFrame:
     total = docs.agg(F.count("*").alias("n"))
-    counts = docs.select(F.explode(fn.summary_terms(texts)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    words = docs.select(F.explode(fn.summary_words(texts)).alias("term")).where(~F.col("term").isin(fn.STOPWORDS))
+    counts = words.groupBy("term").agg(F.count("*").alias("df"))
     return counts.join(F.broadcast(total)).where((F.col("df") >= least) & (F.col("df") <= most_share * F.col("n"))).select("term", "df")
 
 
@@ -182,16 +183,14 @@ def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 # -- aggregates ------------------------------------------------------------------------------------------------------
 
 
-def upper_median(x: Column) -> Column:
-    """The upper of the two middle values."""
-    v = F.sort_array(F.collect_list(x))
-    return F.try_element_at(v, (F.floor(F.size(v) / 2) + 1).cast("int"))
+def upper_median(x: str) -> Column:
+    """The upper of the two middle values of a column. Counts per distinct value are held, never the rows of a group."""
+    return F.expr(f"-(percentile_disc(0.5) WITHIN GROUP (ORDER BY -{x}))")
 
 
-def nearest_rank(x: Column, p: float) -> Column:
-    """Smallest value whose rank reaches p of the count."""
-    v = F.sort_array(F.collect_list(x))
-    return F.try_element_at(v, F.greatest(F.lit(1), F.floor(F.lit(p) * F.size(v) + 0.999999).cast("int")))
+def nearest_rank(x: str, p: float) -> Column:
+    """Smallest value of a column whose rank reaches p of the count."""
+    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})")
 
 
 def tag_shelf(works: DataFrame, work_tags: DataFrame) -> DataFrame:
@@ -202,9 +201,9 @@ def tag_shelf(works: DataFrame, work_tags: DataFrame) -> DataFrame:
         F.count("*").alias("works"),
         F.sum("word_count").alias("words"),
         mean("word_count").alias("mean_words"),
-        upper_median(F.col("word_count")).alias("median_words"),
+        upper_median("word_count").cast("long").alias("median_words"),
         mean("kudos").alias("mean_kudos"),
-        upper_median(F.col("kudos")).alias("median_kudos"),
+        upper_median("kudos").cast("long").alias("median_kudos"),
         F.min_by("work_id", F.struct(-F.coalesce("bookmarks", F.lit(0)), "work_id")).alias("top_work"),
     )
 
@@ -236,10 +235,14 @@ def author_head(works: DataFrame) -> DataFrame:
 
 
 def velocity(marks: DataFrame, owner: str, at: str) -> DataFrame:
-    """Marks a day per owner at the median and the ninth decile of owners (nearest rank), and the verdict."""
-    per = marks.groupBy(owner).agg(F.count("*").alias("marks"), F.countDistinct(F.to_date(at)).alias("days"))
-    out = per.agg(F.count("*").alias("owners"), nearest_rank(F.col("marks"), 0.5).alias("p50"), nearest_rank(F.col("marks"), 0.9).alias("p90"), F.max("days").alias("most_days"))
-    return out.withColumn("verdict", F.when(F.col("p50") >= 20, "fast").when(F.col("p90") >= 20, "mixed").otherwise("slow"))
+    """Marks a day per owner at the median and the ninth decile of owners (nearest rank), and whether they tell owners apart.
+
+    They do where a fifth of the owners (one at least) have five days or more, and the ninth decile is twice the median.
+    """
+    per = marks.groupBy(owner).agg(F.count("*").alias("marks"), F.countDistinct(F.to_date(at)).alias("days")).withColumn("pace", F.col("marks") / F.col("days"))
+    out = per.agg(F.count("*").alias("owners"), F.sum("marks").alias("marks"), F.sum("days").alias("reader_days"), F.count_if(F.col("days") >= 5).alias("thick"), nearest_rank("pace", 0.5).alias("p50"), nearest_rank("pace", 0.9).alias("p90"))
+    need = F.greatest(F.lit(1), F.floor(F.col("owners") * 0.2 + 0.5))
+    return out.withColumn("verdict", F.when(F.col("thick") < need, "thin").when((F.col("p50") > 0) & (F.col("p90") / F.col("p50") < 2), "flat").otherwise("meets"))
 
 
 def seasons(works: DataFrame, work_tags: DataFrame, least: int) -> DataFrame:

@@ -17,8 +17,8 @@ from quillspark.operators import corpus as op
 
 #: The default weight of each signal.
 DEFAULT_TUNE = {
-    "tag_overlap": 0.2, "neighbourhood": 0.15, "quality": 0.1, "recency": 0.05, "peer_rating": 0.1, "popularity": 0.05, "embedding": 0.15, "collab": 0.25,
-    "owner_taste": 0.1, "session_taste": 0.1, "idf_overlap": 0.2, "tag_npmi": 0.0, "latent": 0.0, "seed_agreement": 0.1, "length_fit": 0.05, "walk": 0.1, "summary_style": 0.1,
+    "tag_overlap": 0.22, "neighbourhood": 0.30, "quality": 0.09, "recency": 0.09, "popularity": 0.09, "embedding": 0.10, "collab": 0.16, "peer_rating": 0.11,
+    "owner_taste": 0.06, "session_taste": 0.14, "idf_overlap": 0.12, "tag_npmi": 0.0, "latent": 0.0, "seed_agreement": 0.1, "length_fit": 0.08, "walk": 0.06, "summary_style": 0.1911,
 }
 
 

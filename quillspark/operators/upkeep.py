@@ -10,20 +10,14 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from quillspark.functions import scoring as fn
+from quillspark.functions.hashing import fnv1a64
 from quillspark.operators import corpus as op
 
 
-def fnv1a64(text: str) -> int:
-    h = 0xCBF29CE484222325
-    for b in text.encode():
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return h
-
-
 @pandas_udf(StringType())
 def fnv_id(names: pd.Series) -> pd.Series:
     """FNV-1a 64 of a name as 16 hex digits; null stays null."""
-    return names.map(lambda s: None if s is None else f"{fnv1a64(s):016x}")
+    return pd.Series([None if s is None else f"{h:016x}" for s, h in zip(names, fnv1a64(names).tolist())], dtype=object)
 
 
 def arm_of(owner: Column, arms: list[str]) -> Column:
@@ -31,7 +25,7 @@ def arm_of(owner: Column, arms: list[str]) -> Column:
 
     @pandas_udf(StringType())
     def pick(o: pd.Series) -> pd.Series:
-        return o.map(lambda x: None if x is None else arms[fnv1a64(str(x)) % len(arms)])
+        return pd.Series([None if x is None else arms[h % len(arms)] for x, h in zip(o, fnv1a64(o).tolist())], dtype=object)
 
     return pick(owner.cast("string"))
 
@@ -110,18 +104,32 @@ def influence(agreements: DataFrame, floor: float = 0.05) -> DataFrame:
     return agreements.withColumn("influence", fn.influence(F.col("agree"))).where(F.col("influence") >= floor)
 
 
-def next_pairs(ratings: DataFrame, judged: DataFrame, top: int = 40, n: int = 10) -> DataFrame:
-    """The most telling pairs among the `top` least certain entities (id, mu, phi), never one judged before (a, b).
+def pair_worth(strategy: str) -> Column:
+    """Worth of a pair (ma, pa, ga, fa; mb, pb, gb, fb: rating, deviation, games, affinity) under a strategy, tired by games played.
+
+    random favours what is uncertain on either side and not extreme, maxinfo what tells most, close equal ratings, explore
+    what the reader is thought to dislike.
+    """
+    fatigue = 1 / (1 + F.log1p("ga")) * (1 / (1 + F.log1p("gb")))
+    g = lambda phi: 1 / F.sqrt(1 + 3 * (F.col(phi) / 173.7178) ** 2 / F.pi() ** 2)
+    e = 1 / (1 + F.exp(-g("pb") * (F.col("ma") - F.col("mb")) / 173.7178))
+    boot = F.greatest(F.col("pa") / (350 + F.col("pa")), F.col("pb") / (350 + F.col("pb")))
+    centre = 1 - 0.3 * F.least(F.lit(1.0), F.greatest(F.abs(F.col("ma") - 1500), F.abs(F.col("mb") - 1500)) / 800)
+    return {"random": boot * centre, "maxinfo": g("pa") * g("pb") * e * (1 - e), "close": 1 - F.abs(F.col("ma") - F.col("mb")) / 600, "explore": 1 - F.col("fa") - F.col("fb")}[strategy] * fatigue
+
+
+def next_pairs(ratings: DataFrame, judged: DataFrame, strategy: str = "random", top: int = 40, n: int = 10) -> DataFrame:
+    """The worthiest pairs among the `top` least certain entities (id, mu, phi, games, affinity), never one judged before (a, b).
 
-    Settled pairs (both certain and far apart) and pairs too far apart are out; close and uncertain pairs come first.
+    Settled pairs (both certain and far apart) and pairs too far apart are out.
     """
     c = ratings.orderBy(F.desc("phi"), "id").limit(top)
-    x, y = c.select(F.col("id").alias("a"), F.col("mu").alias("ma"), F.col("phi").alias("pa")), c.select(F.col("id").alias("b"), F.col("mu").alias("mb"), F.col("phi").alias("pb"))
+    side = lambda k: c.select(F.col("id").alias(k), F.col("mu").alias("m" + k), F.col("phi").alias("p" + k), F.col("games").alias("g" + k), F.col("affinity").alias("f" + k))
+    x, y = side("a"), side("b")
     gap = F.abs(F.col("ma") - F.col("mb"))
     p = x.join(F.broadcast(y), F.col("a") < F.col("b")).withColumn("gap", gap)
     p = p.where(~((F.col("pa") < 80) & (F.col("pb") < 80) & (F.col("gap") > 300)) & (F.col("gap") <= 1000)).join(judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    worth = F.round((F.col("pa") + F.col("pb")) / (1 + F.col("gap") / 100), 9)
-    return p.withColumn("worth", worth).orderBy(F.desc("worth"), "a", "b").limit(n).select("a", "b", "worth")
+    return p.withColumn("worth", F.round(pair_worth(strategy), 9)).orderBy(F.desc("worth"), "a", "b").limit(n).select("a", "b", "worth")
 
 
 def drop_variants(work_tags: DataFrame, names: DataFrame, least: float = 0.5, ratio: float = 0.25) -> DataFrame:
@@ -144,9 +152,13 @@ def seasons_per_month(seasons: DataFrame, n: int) -> DataFrame:
     return seasons.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("month", "tag", "rank")
 
 
-def harvest_score(kudos: Column, bookmarks: Column, hits: Column, affinity: Column) -> Column:
-    """Logarithmic blend of engagement, lifted by tag affinity of at most three."""
-    return F.log10(1 + kudos) + 0.5 * F.log10(1 + F.coalesce(bookmarks, F.lit(0))) + 0.25 * F.log10(1 + hits) + F.least(F.lit(3.0), affinity)
+def harvest_score(works: DataFrame, work_tags: DataFrame, taste: DataFrame) -> DataFrame:
+    """(id, score): logarithmic blend of engagement, lifted by the mean taste of a work's tags, three at most. taste: (tag, weight)."""
+    size = taste.agg(F.count("*").alias("size"))
+    per = op.carried(work_tags).join(taste, "tag", "left").groupBy(F.col("work_id").alias("id")).agg(F.sum("weight").alias("sum"), F.count("*").alias("tags"))
+    quality = F.log10(1 + F.col("kudos")) + 1.5 * F.log10(1 + F.coalesce("bookmarks", F.lit(0))) + 0.25 * F.log10(1 + F.col("hits"))
+    affinity = F.least(F.lit(3.0), 3 * F.coalesce("sum", F.lit(0.0)) / F.col("tags") * F.col("size") / 4)
+    return works.join(per, "id", "left").join(F.broadcast(size)).select("id", (quality + F.coalesce(affinity, F.lit(0.0))).alias("score"))
 
 
 def explanation(work_tags: DataFrame, interactions: DataFrame, pairs: DataFrame, least_readers: int = 2) -> DataFrame:

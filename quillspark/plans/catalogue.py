@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import content, corpus, experiments, ranking, upkeep
+from quillspark.plans import browse, content, corpus, experiments, ranking, state, upkeep
 from quillspark.plans.registry import QUERIES, SQL
 
-MODULES = (corpus, ranking, experiments, content, upkeep)
+MODULES = (corpus, ranking, experiments, content, upkeep, browse, state)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -60,15 +60,10 @@ def theme_labels(spark, d):
 
 
 @query(
-    """WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN i = 1 THEN x * 1.5 ELSE x END) AS w FROM embeddings WHERE vec_id % 3 = 0)
+    """WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN i = 1 THEN x * 1.5 ELSE x END) AS w FROM embeddings)
     SELECT count(*) AS shared, round(avg(list_cosine_similarity(v, w)), 5) AS cosine, round(avg(sqrt(list_dot_product(w, w)) / sqrt(list_dot_product(v, v))), 5) AS norm_ratio, avg(list_cosine_similarity(v, w)) >= 0.98 AS stable FROM n"""
 )
 def drift(spark, d):
-    return stretched_drift(spark, d, "id % 3 = 0")
-
-
-@query()
-def drift_whole(spark, d):
     return stretched_drift(spark, d, "true")
 
 
@@ -134,7 +129,7 @@ def profiles(r, k: int = 30, top: int = 10) -> DataFrame:
 
 @query()
 def shards(spark, d):
-    return ht.shard_table(profiles(catalog(spark, d)), "reader", 16).select("shard", "rows", "digest")
+    return ht.shard_table(profiles(catalog(spark, d)), "reader").select("shard", "rows", "digest")
 
 
 @query(

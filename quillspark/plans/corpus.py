@@ -132,7 +132,7 @@ def multi_token_search(spark, d):
     return op.search(catalog(spark, d).works, "Ring").select("id", "title", "tier")
 
 
-def entries(works: DataFrame, which: str = "id % 40 = 0") -> DataFrame:
+def entries(works: DataFrame, which: str = "true") -> DataFrame:
     """Deterministic entries to resolve: exact, misspelt by one letter, and with a foreign author."""
     e = works.where(which).withColumn("m", (F.col("id") / 40 % 3).cast("int"))
     title = F.when(F.col("m") == 1, F.concat("title", F.lit("x"))).otherwise(F.col("title"))
@@ -140,7 +140,7 @@ def entries(works: DataFrame, which: str = "id % 40 = 0") -> DataFrame:
 
 
 @query(
-    """, e AS (SELECT id AS entry, CASE WHEN (id // 40) % 3 = 1 THEN title || 'x' ELSE title END AS t, CASE WHEN (id // 40) % 3 = 2 THEN 'nobody' ELSE lower(authors) END AS a FROM works WHERE id % 40 = 0),
+    """, e AS (SELECT id AS entry, CASE WHEN (id // 40) % 3 = 1 THEN title || 'x' ELSE title END AS t, CASE WHEN (id // 40) % 3 = 2 THEN 'nobody' ELSE lower(authors) END AS a FROM works),
     m AS (SELECT entry, id, 1 AS method FROM e JOIN works ON lower(title) = lower(t) AND lower(authors) = a
      UNION ALL SELECT entry, id, 2 FROM e JOIN works ON lower(authors) = a AND levenshtein(lower(t), lower(title)) <= 2
      UNION ALL SELECT entry, id, 3 FROM e JOIN works ON lower(title) = lower(t))
@@ -152,12 +152,6 @@ def fuzzy_match(spark, d):
     return op.fuzzy_match(entries(w), w)
 
 
-@query()
-def fuzzy_match_whole(spark, d):
-    w = catalog(spark, d).works
-    return op.fuzzy_match(entries(w, "true"), w)
-
-
 @query("SELECT DISTINCT work_id, tag, CASE WHEN tag_type = 'name' AND length(tag) % 2 = 0 THEN 'even' ELSE tag_type END AS tag_type FROM work_tags", "work_tags")
 def retag_update_from(spark, d):
     t = catalog(spark, d).work_tags
@@ -210,13 +204,13 @@ def author_head(spark, d):
 
 
 @query(
-    """, o AS (SELECT user_id, count(*) AS marks, count(DISTINCT ts::DATE) AS days FROM evt GROUP BY 1), s AS (SELECT list_sort(list(marks)) AS v, count(*) AS n, max(days) AS most_days FROM o),
-    q AS (SELECT n AS owners, v[greatest(1, floor(0.5 * n + 0.999999)::INT)] AS p50, v[greatest(1, floor(0.9 * n + 0.999999)::INT)] AS p90, most_days FROM s)
-    SELECT *, CASE WHEN p50 >= 20 THEN 'fast' WHEN p90 >= 20 THEN 'mixed' ELSE 'slow' END AS verdict FROM q""",
+    """, o AS (SELECT user_id, count(*) AS marks, count(DISTINCT ts::DATE) AS days FROM evt GROUP BY 1), s AS (SELECT list_sort(list(marks / days)) AS v, count(*) AS n, sum(marks)::BIGINT AS marks, sum(days)::BIGINT AS reader_days, count(*) FILTER (days >= 5) AS thick FROM o),
+    q AS (SELECT n AS owners, marks, reader_days, thick, v[greatest(1, floor(0.5 * n + 0.999999)::INT)] AS p50, v[greatest(1, floor(0.9 * n + 0.999999)::INT)] AS p90 FROM s)
+    SELECT owners, marks, reader_days, thick, round(p50, 6) AS p50, round(p90, 6) AS p90, CASE WHEN thick < greatest(1, floor(owners * 0.2 + 0.5)) THEN 'thin' WHEN p50 > 0 AND p90 / p50 < 2 THEN 'flat' ELSE 'meets' END AS verdict FROM q""",
     "evt",
 )
 def velocity(spark, d):
-    return op.velocity(events(spark, d), "user_id", "ts")
+    return op.velocity(events(spark, d), "user_id", "ts").withColumn("p50", F.round("p50", 6)).withColumn("p90", F.round("p90", 6))
 
 
 @query(

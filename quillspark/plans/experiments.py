@@ -89,13 +89,13 @@ def skipped_works(spark, d):
 
 
 @query(
-    """, cur AS (SELECT user_id AS owner, min(ts) AS since FROM evt WHERE event_type = 'signup' AND user_id < 20 GROUP BY 1), items AS (SELECT k AS item, max(ts) AS ts FROM evt GROUP BY 1), seen AS (SELECT DISTINCT user_id AS owner, k AS item FROM evt)
+    """, cur AS (SELECT user_id AS owner, min(ts) AS since FROM evt WHERE event_type = 'signup' GROUP BY 1), items AS (SELECT k AS item, max(ts) AS ts FROM evt GROUP BY 1), seen AS (SELECT DISTINCT user_id AS owner, k AS item FROM evt)
     SELECT owner, item FROM cur JOIN items ON ts > since WHERE (owner, item) NOT IN (SELECT (owner, item) FROM seen)""",
     "evt",
 )
 def new_since(spark, d):
     e = events(spark, d)
-    cursor = e.where("event_type = 'signup' and user_id < 20").groupBy(F.col("user_id").alias("owner")).agg(F.min("ts").alias("since"))
+    cursor = e.where("event_type = 'signup'").groupBy(F.col("user_id").alias("owner")).agg(F.min("ts").alias("since"))
     items = e.groupBy(F.col("k").alias("item")).agg(F.max("ts").alias("ts"))
     return ev.new_since(items, cursor, e.select(F.col("user_id").alias("owner"), F.col("k").alias("item")), "owner", "item", "ts")
 
@@ -293,17 +293,12 @@ def slices(spark, d):
 
 
 @query(
-    """, l AS (SELECT id, id % 20 AS lst FROM works WHERE id < 200), t AS (SELECT work_id AS id, list(tag) AS tags FROM carried GROUP BY 1),
+    """, l AS (SELECT id, id % 20 AS lst FROM works), t AS (SELECT work_id AS id, list(tag) AS tags FROM carried GROUP BY 1),
     p AS (SELECT a.lst, len(list_intersect(x.tags, y.tags)) / len(list_distinct(list_concat(x.tags, y.tags))) AS jac FROM l a JOIN l b ON a.lst = b.lst AND a.id < b.id JOIN t x ON x.id = a.id JOIN t y ON y.id = b.id)
     SELECT lst, round(avg(jac), 6) AS mean_jaccard, count(*) AS pairs FROM p GROUP BY 1""",
     "works carried",
 )
 def intra_list_diversity(spark, d):
-    return list_diversity(spark, d, "id < 200")
-
-
-@query()
-def intra_list_diversity_whole(spark, d):
     return list_diversity(spark, d, "true")
 
 

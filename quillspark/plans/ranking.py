@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import scoring as fn
 from quillspark.operators import corpus as op
+from quillspark.operators import learning, pools
 from quillspark.operators import ranking as rk
 from quillspark.operators import related as rel
 from quillspark.plans.corpus import AS_OF, TERMS, seeds
@@ -223,7 +224,8 @@ def _rank_sql() -> str:
     for k in RANKED:
         body = SQL[f"signal_{k}"]
         parts.append(f"{k}_ AS ({body})")
-    cols = " + ".join(f"coalesce({k}_.value * {rk.DEFAULT_TUNE[k]}, 0)" for k in RANKED)
+    weights = {"quality": 0.09, "recency": 0.09, "popularity": 0.09, "peer_rating": 0.11, "length_fit": 0.08, "idf_overlap": 0.12, "tag_overlap": 0.22, "collab": 0.16}
+    cols = " + ".join(f"coalesce({k}_.value * {w}, 0)" for k, w in weights.items())
     joins = " ".join(f"LEFT JOIN {k}_ ON {k}_.id = w.id" for k in RANKED)
     opinion = " OR ".join(f"{k}_.value IS NOT NULL" for k in RANKED)
     return "WITH " + ",\n".join(parts) + f", picked AS ({SQL['top_by_kudos'].replace('LIMIT 50', 'LIMIT 3')})\nSELECT w.id AS id, round({cols}, 5) AS score FROM (SELECT p_partkey::BIGINT AS id FROM part) w {joins} WHERE ({opinion}) AND w.id NOT IN (SELECT id FROM picked)"
@@ -234,10 +236,11 @@ SQL["rank_score"] = _rank_sql()
 
 @query()
 def recommend(spark, d):
-    """The whole plan: pool, signals, composition, re-ranking for diversity; rows only (sequential re-ranking)."""
+    """The whole plan: pool from the seeds, signals, composition, re-ranking for diversity; rows only (sequential re-ranking)."""
     r = catalog(spark, d)
-    pool = op.top_by(r.works, "kudos", 300).select("id")
-    every = all_signals(r, tag_vectors(spark, d, r.work_tags))
+    vectors = tag_vectors(spark, d, r.work_tags)
+    pool = pools.candidate_pool(r.works, r.work_tags, r.interactions, vectors, seeds(r.works), 1000).select("id")
+    every = all_signals(r, vectors) | {"tag_npmi": rk.tag_npmi(r.works, r.work_tags, seeds(r.works)), "latent": pools.latent(learning.als_factors(r.interactions), seeds(r.works))}
     scored = rk.compose(pool, every, rk.DEFAULT_TUNE)
     listed = scored.join(rk.tag_sets(r.work_tags).withColumnRenamed("work_id", "id"), "id").join(r.works.select("id", F.col("authors").alias("grp")), "id")
     return rk.mmr(listed.select(F.lit(1).cast("long").alias("request"), "id", "score", "tags", "grp"), 20)
@@ -246,7 +249,7 @@ def recommend(spark, d):
 @query()
 def mmr(spark, d):
     r = catalog(spark, d)
-    ranked = r.works.withColumn("request", F.col("id") % 4).withColumn("rn", F.row_number().over(W.partitionBy(F.col("id") % 4).orderBy(F.desc("kudos"), "id"))).where("rn <= 100")
+    ranked = r.works.withColumn("request", F.col("id") % 4).withColumn("rn", F.row_number().over(W.partitionBy(F.col("id") % 4).orderBy(F.desc("kudos"), "id")))
     listed = ranked.join(rk.tag_sets(r.work_tags).withColumnRenamed("work_id", "id"), "id")
     return rk.mmr(listed.select("request", "id", F.col("kudos").cast("double").alias("score"), "tags", F.col("authors").alias("grp")), 20, 0.7, 2)
 
@@ -255,7 +258,7 @@ def mmr(spark, d):
 def shelf_mmr(spark, d):
     r = catalog(spark, d)
     listed = r.works.join(rk.tag_sets(r.work_tags).withColumnRenamed("work_id", "id"), "id").withColumn("request", F.dense_rank().over(W.orderBy("rating")).cast("long"))
-    listed = listed.withColumn("rn", F.row_number().over(W.partitionBy("request").orderBy(F.desc("kudos"), "id"))).where("rn <= 200")
+    listed = listed.withColumn("rn", F.row_number().over(W.partitionBy("request").orderBy(F.desc("kudos"), "id")))
     return rk.mmr(listed.select("request", "id", F.col("kudos").cast("double").alias("score"), "tags", F.col("authors").alias("grp")), 10, 0.75, 0, 0.9)
 
 
@@ -430,18 +433,13 @@ def bridges(spark, d):
 
 
 @query(
-    TV + """, sm AS (SELECT tag, ln(1 + n / (1 + df)) AS w FROM df, total), pr AS (SELECT id AS x, id + 1 AS y FROM works WHERE id % 10 = 0 AND id + 1 IN (SELECT id FROM works)),
+    TV + """, sm AS (SELECT tag, ln(1 + n / (1 + df)) AS w FROM df, total), pr AS (SELECT id AS x, id + 1 AS y FROM works WHERE id + 1 IN (SELECT id FROM works)),
     tw AS (SELECT work_id, tag, w FROM carried JOIN sm USING (tag)), ms AS (SELECT work_id, sum(w) AS m FROM tw GROUP BY 1),
     bo AS (SELECT x, y, sum(a.w) AS b FROM pr JOIN tw a ON a.work_id = x JOIN tw c ON c.work_id = y AND c.tag = a.tag GROUP BY 1, 2)
     SELECT pr.x, pr.y, round((coalesce(b, 0) / (p.m + q.m - coalesce(b, 0)) + greatest(0, list_cosine_similarity(u.v, v.v))) / 2, 5) AS sim FROM pr LEFT JOIN bo ON bo.x = pr.x AND bo.y = pr.y JOIN ms p ON p.work_id = pr.x JOIN ms q ON q.work_id = pr.y JOIN ctr u ON u.work_id = pr.x JOIN ctr v ON v.work_id = pr.y""",
     ALL,
 )
 def pair_similarity(spark, d):
-    return neighbour_similarity(spark, d, "id % 10 = 0")
-
-
-@query()
-def pair_similarity_whole(spark, d):
     return neighbour_similarity(spark, d, "true")
 
 

@@ -46,25 +46,19 @@ def stored_record_qa(spark, d):
     return up.field_drift(w, fresh(w), ["title", "word_count"], {"kudos": 0.005})
 
 
-DEC = "CASE WHEN kudos > 0 THEN greatest(0.05, (least(4, greatest(0, ceil(round(log10(greatest(kudos, 1)), 12)))) + kudos / pow(10, least(4, greatest(0, ceil(round(log10(greatest(kudos, 1)), 12))))) - 1) / 4) ELSE 0.05 END"
+DEC = "CASE WHEN kudos > 0 THEN (least(4, greatest(0, ceil(round(log10(greatest(kudos, 1)), 12)))) + kudos / pow(10, least(4, greatest(0, ceil(round(log10(greatest(kudos, 1)), 12))))) - 1) / 4 ELSE 0.05 END"
 
 
-@query(f", w AS (SELECT id AS work_id, {DEC} AS w FROM works WHERE id % 9 = 0), s AS (SELECT tag, sum(w) AS s FROM carried JOIN w USING (work_id) GROUP BY 1) SELECT tag, round(s / (SELECT max(s) FROM s), 6) AS weight FROM s", "works carried")
+@query(f", w AS (SELECT id AS work_id, {DEC} AS w FROM works), s AS (SELECT tag, sum(w) AS s FROM carried JOIN w USING (work_id) GROUP BY 1) SELECT tag, round(s / (SELECT max(s) FROM s), 6) AS weight FROM s", "works carried")
 def profile_from_works(spark, d):
-    r = catalog(spark, d)
-    return up.profile_from_works(r.works.where("id % 9 = 0").select("id"), r.works, r.work_tags).withColumn("weight", F.round("weight", 6))
-
-
-@query()
-def profile_from_works_whole(spark, d):
     r = catalog(spark, d)
     return up.profile_from_works(r.works.select("id"), r.works, r.work_tags).withColumn("weight", F.round("weight", 6))
 
 
-PROFILE = ", rt AS (SELECT id AS work_id, id % 10 + 1 AS rating, 0.5 + (id % 4) / 4 AS conf FROM works WHERE id % 11 = 0), s AS (SELECT tag, sum((rating - 5.5) * conf) / (sum(conf) + 3) AS s FROM carried JOIN rt USING (work_id) GROUP BY 1), prof AS (SELECT tag, s / (SELECT max(abs(s)) FROM s) AS weight FROM s)"
+PROFILE = ", rt AS (SELECT id AS work_id, id % 10 + 1 AS rating, 0.5 + (id % 4) / 4 AS conf FROM works), s AS (SELECT tag, sum((rating - 5.5) * conf) / (sum(conf) + 3) AS s FROM carried JOIN rt USING (work_id) GROUP BY 1), prof AS (SELECT tag, s / (SELECT max(abs(s)) FROM s) AS weight FROM s)"
 
 
-def rated_profile(r, which: str = "id % 11 = 0") -> DataFrame:
+def rated_profile(r, which: str = "true") -> DataFrame:
     rated = r.works.where(which).select("id", (F.col("id") % 10 + 1).alias("rating"), (0.5 + (F.col("id") % 4) / 4).alias("confidence"))
     return up.profile_from_ratings(rated, r.work_tags)
 
@@ -74,23 +68,12 @@ def profile_from_ratings(spark, d):
     return rated_profile(catalog(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
-@query()
-def profile_from_ratings_whole(spark, d):
-    return rated_profile(catalog(spark, d), "true").withColumn("weight", F.round("weight", 6))
-
-
 @query(PROFILE + " SELECT work_id AS id, round(coalesce(sum(weight), 0) / sqrt(count(*)), 6) AS score FROM carried LEFT JOIN prof USING (tag) GROUP BY 1", "works carried")
 def profile_score(spark, d):
     r = catalog(spark, d)
     return up.profile_score(r.work_tags, rated_profile(r)).withColumn("score", F.round("score", 6))
 
 
-@query()
-def profile_score_whole(spark, d):
-    r = catalog(spark, d)
-    return up.profile_score(r.work_tags, rated_profile(r, "true")).withColumn("score", F.round("score", 6))
-
-
 SHELF = ", rd AS (SELECT DISTINCT work_id FROM reads WHERE user_id = (SELECT min(user_id) FROM reads)), tt AS (SELECT tag, count(*) / (1 + ln(1 + any_value(df.df))) AS t FROM carried JOIN rd USING (work_id) JOIN df USING (tag) GROUP BY 1), ta AS (SELECT tag, t / (SELECT max(t) FROM tt) AS taste FROM tt)"
 
 
@@ -115,11 +98,10 @@ def shelf_scores(spark, d):
     return up.shelf_scores(first_reader(r), r.works, r.work_tags, 40).withColumn("score", F.round("score", 5))
 
 
-VEC = ", ov AS (SELECT user_id AS owner, k % 30 AS tag, avg(value) - 50 AS weight FROM evt WHERE user_id < 30 GROUP BY 1, 2)"
+VEC = ", ov AS (SELECT user_id AS owner, k % 30 AS tag, avg(value) - 50 AS weight FROM evt GROUP BY 1, 2)"
 
 
-def owner_vectors(spark, d, which: str = "user_id < 30") -> DataFrame:
-    """The SQL twins hold the first owners against each other; the `_whole` queries all of them."""
+def owner_vectors(spark, d, which: str = "true") -> DataFrame:
     e = pc.events(spark, d).where(which)
     return e.groupBy(F.col("user_id").alias("owner"), (F.col("k") % 30).alias("tag")).agg((F.avg("value") - 50).alias("weight"))
 
@@ -144,31 +126,41 @@ def influence(spark, d):
     return up.influence(a).select("x", "y", F.round("influence", 5).alias("influence"))
 
 
-@query()
-def agreement_whole(spark, d):
-    return up.agreement(owner_vectors(spark, d, "true")).withColumn("agree", F.round("agree", 6))
+PAIRS = RATED + px.GAMES + """, c AS (SELECT id, mu, phi, id % 4 AS games, (id % 5 - 2) / 4 AS affinity FROM rated ORDER BY phi DESC, id LIMIT 40),
+    p AS (SELECT x.id AS a, y.id AS b, x.mu AS ma, y.mu AS mb, x.phi AS pa, y.phi AS pb, x.affinity AS fa, y.affinity AS fb, 1 / (1 + ln(1 + x.games)) / (1 + ln(1 + y.games)) AS tired,
+     1 / sqrt(1 + 3 * pow(x.phi / 173.7178, 2) / pow(pi(), 2)) AS ga, 1 / sqrt(1 + 3 * pow(y.phi / 173.7178, 2) / pow(pi(), 2)) AS gb FROM c x JOIN c y ON x.id < y.id),
+    e AS (SELECT *, 1 / (1 + exp(-gb * (ma - mb) / 173.7178)) AS e FROM p),
+    w AS (SELECT a, b, round(tired * ({}), 9) AS worth FROM e WHERE NOT (pa < 80 AND pb < 80 AND abs(ma - mb) > 300) AND abs(ma - mb) <= 1000 AND (a, b) NOT IN (SELECT (least(a, b), greatest(a, b)) FROM games))
+    SELECT a, b, round(worth, 6) AS worth FROM w ORDER BY w.worth DESC, a, b LIMIT 10"""
+WORTH = {
+    "random": "greatest(pa / (350 + pa), pb / (350 + pb)) * (1 - 0.3 * least(1.0, greatest(abs(ma - 1500), abs(mb - 1500)) / 800))", "maxinfo": "ga * gb * e * (1 - e)",
+    "close": "1 - abs(ma - mb) / 600", "explore": "1 - fa - fb",
+}
 
 
-@query()
-def agreement_literal_whole(spark, d):
-    return up.agreement(owner_vectors(spark, d, "true"), literal=True).withColumn("agree", F.round("agree", 6))
+def next_pairs(spark, d, strategy: str) -> DataFrame:
+    known = ratings(catalog(spark, d).works).withColumn("games", F.col("id") % 4).withColumn("affinity", (F.col("id") % 5 - 2) / 4)
+    return up.next_pairs(known, px.games(spark, d), strategy).withColumn("worth", F.round("worth", 6))
 
 
-@query()
-def influence_whole(spark, d):
-    a = up.agreement(owner_vectors(spark, d, "true")).withColumn("agree", F.round("agree", 6))
-    return up.influence(a).select("x", "y", F.round("influence", 5).alias("influence"))
+@query(PAIRS.format(WORTH["random"]), "works evt")
+def pair_selection(spark, d):
+    return next_pairs(spark, d, "random")
 
 
-@query(
-    RATED + px.GAMES + """, c AS (SELECT id, mu, phi FROM rated ORDER BY phi DESC, id LIMIT 40), p AS (SELECT x.id AS a, y.id AS b, abs(x.mu - y.mu) AS gap, x.phi AS pa, y.phi AS pb FROM c x JOIN c y ON x.id < y.id),
-    w AS (SELECT a, b, round((pa + pb) / (1 + gap / 100), 9) AS worth FROM p WHERE NOT (pa < 80 AND pb < 80 AND gap > 300) AND gap <= 1000 AND (a, b) NOT IN (SELECT (least(a, b), greatest(a, b)) FROM games))
-    SELECT a, b, round(worth, 6) AS worth FROM w ORDER BY w.worth DESC, a, b LIMIT 10""",
-    "works evt",
-)
-def pair_selection(spark, d):
-    out = up.next_pairs(ratings(catalog(spark, d).works), px.games(spark, d))
-    return out.withColumn("worth", F.round("worth", 6))
+@query(PAIRS.format(WORTH["maxinfo"]), "works evt")
+def pair_selection_maxinfo(spark, d):
+    return next_pairs(spark, d, "maxinfo")
+
+
+@query(PAIRS.format(WORTH["close"]), "works evt")
+def pair_selection_close(spark, d):
+    return next_pairs(spark, d, "close")
+
+
+@query(PAIRS.format(WORTH["explore"]), "works evt")
+def pair_selection_explore(spark, d):
+    return next_pairs(spark, d, "explore")
 
 
 @query()
@@ -182,26 +174,25 @@ def seasons_per_month(spark, d):
     return up.seasons_per_month(pc.seasons(spark, d), 2)
 
 
-@query("SELECT id, round(log10(1 + kudos) + 0.5 * log10(1 + coalesce(bookmarks, 0)) + 0.25 * log10(1 + hits) + least(3.0, id % 5), 6) AS score FROM works", "works")
+@query(
+    """, taste AS (SELECT DISTINCT tag, (length(tag) % 4 - 1) / 10 AS weight FROM work_tags WHERE tag_type = 'name'), s AS (SELECT work_id AS id, sum(weight) AS s, count(*) AS t FROM carried LEFT JOIN taste USING (tag) GROUP BY 1)
+    SELECT id, round(log10(1 + kudos) + 1.5 * log10(1 + coalesce(bookmarks, 0)) + 0.25 * log10(1 + hits) + least(3.0, 3 * coalesce(s, 0) / t * (SELECT count(*) FROM taste) / 4), 6) AS score FROM works JOIN s USING (id)""",
+    "works work_tags carried",
+)
 def harvest_score(spark, d):
-    s = up.harvest_score(F.col("kudos"), F.col("bookmarks"), F.col("hits"), (F.col("id") % 5).cast("double"))
-    return catalog(spark, d).works.select("id", F.round(s, 6).alias("score"))
+    r = catalog(spark, d)
+    taste = r.work_tags.where("tag_type = 'name'").select("tag").distinct().withColumn("weight", (F.length("tag") % 4 - 1) / 10)
+    return up.harvest_score(r.works, r.work_tags, taste).withColumn("score", F.round("score", 6))
 
 
 @query(
-    """, pr AS (SELECT (SELECT seed FROM seeds LIMIT 1) AS seed, id FROM works WHERE id % 17 = 3 AND id <> (SELECT seed FROM seeds LIMIT 1)),
+    """, pr AS (SELECT (SELECT seed FROM seeds LIMIT 1) AS seed, id FROM works WHERE id <> (SELECT seed FROM seeds LIMIT 1)),
     t AS (SELECT pr.seed, pr.id, string_agg(a.tag, ', ' ORDER BY a.tag) FILTER (b.tag IS NOT NULL) AS tags FROM pr JOIN carried a ON a.work_id = pr.seed LEFT JOIN carried b ON b.work_id = pr.id AND b.tag = a.tag GROUP BY 1, 2),
     r AS (SELECT pr.seed, pr.id, count(*) AS n FROM pr JOIN reads a ON a.work_id = pr.seed JOIN reads b ON b.work_id = pr.id AND b.user_id = a.user_id GROUP BY 1, 2)
     SELECT seed, id, coalesce(tags, '') AS by_tags, CASE WHEN n >= 2 THEN n || ' readers of both' END AS by_readers FROM t LEFT JOIN r USING (seed, id)""",
     "works carried reads seeds",
 )
 def explanation_pair(spark, d):
-    r = catalog(spark, d)
-    return explained(r, r.works.where("id % 17 = 3"))
-
-
-@query()
-def explanation_pair_whole(spark, d):
     r = catalog(spark, d)
     return explained(r, r.works)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.hashing import fnv_bucket
+
 #: The named character references that are decoded.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
@@ -66,7 +68,7 @@ def listing(html: Column, item: str) -> Column:
 def shard_table(df: DataFrame, key: str, shards: int = 256) -> DataFrame:
     """(shard, rows, digest, body): a snapshot's JSON shards by key hash, rows sorted, with SHA-256."""
     row = F.to_json(F.struct(*df.columns))
-    s = df.select(F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard"), row.alias("row"))
+    s = df.select(fnv_bucket(F.col(key).cast("string"), shards).alias("shard"), row.alias("row"))
     s = s.groupBy("shard").agg(F.count("*").alias("rows"), F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("row")), ","), F.lit("]")).alias("body"))
     return s.select("shard", "rows", F.sha2("body", 256).alias("digest"), "body")
 
