@@ -336,14 +336,16 @@ def _score(buckets: int):
         logs = np.concatenate([np.zeros(0, np.float32), *_blobs(answers.filter(near), "found", np.float32)])
         count = np.concatenate([np.zeros(0, np.int64), *_blobs(answers.filter(pc.invert(near)), "found")])
         codes, words = np.concatenate([p[0] for p in parts]), np.concatenate([p[2].view(np.int64) for p in parts])
+        parts = [(len(code), o, len(h), doc) for code, o, h, doc in parts]
         at = np.asarray(pc.index_in(pa.array(codes), value_set=_asked(codes, lambda c: _remainder(c >> 32, buckets))))
         word_at = np.asarray(pc.index_in(pa.array(words), value_set=_asked(words, lambda c: _remainder(c, buckets))))
         out, done, seen = [], 0, 0
-        for (code, o, h, doc), own in zip(parts, rows):
+        del codes, words
+        for (symbols_, o, words_, doc), own in zip(parts, rows):
             n = len(own)
-            score = np.add.reduceat(logs[at[done : done + len(code)]].astype(np.float64), o[:-1])
-            c = count[word_at[seen : seen + len(h)]]
-            done, seen = done + len(code), seen + len(h)
+            score = np.add.reduceat(logs[at[done : done + symbols_]].astype(np.float64), o[:-1])
+            c = count[word_at[seen : seen + words_]]
+            done, seen = done + symbols_, seen + words_
             new = [np.bincount(doc, minlength=n), np.bincount(doc, c > 0, n).astype(np.int64), np.bincount(doc, np.log10(c + 0.5), n), score]
             out.append(pa.Table.from_arrays([own.column("id"), own.column("held_out"), *map(pa.array, new)], schema=pa.schema(kinds.items())))
         return pa.concat_tables(out)
