@@ -26,7 +26,7 @@ from quillspark.llm.shared import stage
 
 WEIGHTS, SHARE, CAP, BLOCK_WORDS, SHARDS = (5, 2, 1), 1.5, 2.0, 1 << 16, 16
 #: Words of a shard from which there are more than SHARDS; ranges of the hash order of a source's blocks (a power of two).
-SHARD_WORDS, SLOTS = 1 << 27, 4096
+SHARD_WORDS, SLOTS = 1 << 25, 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
