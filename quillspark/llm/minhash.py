@@ -8,7 +8,7 @@ one node. Extra columns are not read. Very long texts are one slice of their own
 
 Plan: one Python pass makes set digests, band keys and a 256-bit sketch per text; equal sets collapse into classes by an
 aggregate; a bucket (texts with one band key in common) links each member to one pivot, so a bucket of m members makes m
-pairs; links are confirmed on full sets with array_intersect; buckets whose members are not yet in one component get another
+pairs, dealt to tasks in parts; links are confirmed on full sets with array_intersect; buckets whose members are not yet in one component get another
 pivot and at last an equi-join on the shingles in which members differ from a pivot, which finds every link across components
 without all pairs. Rounds end when no bucket holds two components.
 """
@@ -30,6 +30,8 @@ U = np.uint64
 BANDS = 20
 #: Sketches of 64 values times four bits: expected distance 256*(1-J)/2; this is over five standard deviations at 0.8.
 SKETCH_SLACK = 36
+#: Members of a bucket meet its pivot, and pairs of a pivot its set, in parts of about this many, each with a copy of the pivot's row.
+PART = 256
 _rng = np.random.default_rng(7)
 MULTIPLY = _rng.integers(0, 1 << 63, 2 * BANDS, dtype=U) * U(2) + U(1)
 XOR = _rng.integers(0, 1 << 64, 2 * BANDS, dtype=U)
@@ -121,14 +123,33 @@ def _near(percent: int) -> Column:
     return (100 * small >= percent * large) & (apart <= round(1.28 * (100 - percent)) + SKETCH_SLACK)
 
 
+def _parts(m: Column) -> Column:
+    return F.ceil(m / PART)
+
+
+def _copies(one: DataFrame, parts: Column) -> DataFrame:
+    """Every row once for each of its parts."""
+    return one.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+
+
+def _meet(members: DataFrame, one: DataFrame) -> DataFrame:
+    """Members of buckets (key, m, rep, ..) beside their bucket's row in one (key, m, ..): no task gets a whole large bucket."""
+    parted = members.withColumn("part", F.pmod(F.xxhash64("rep"), _parts(F.col("m"))))
+    return parted.join(_copies(one, _parts(F.col("m"))).drop("m"), ["key", "part"]).drop("part")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked."""
+    """The pairs (a, b) whose full sets are linked, smaller id first. a may stand in many pairs, which its parts tell."""
+    pairs = stage(pairs.groupBy("a", "b").agg(F.max("parts").alias("parts")), "pairs")
+    hot = pairs.groupBy(F.col("a").alias("id")).agg(F.max("parts").alias("parts"))
+    ha = _copies(sets.join(hot, "id"), F.col("parts")).select(F.col("id").alias("a"), "part", F.col("h").alias("ha"))
     both = F.size(F.array_intersect("ha", "hb"))
     return (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a")
+        pairs.select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
         .join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+        .join(ha, ["a", "part"])
         .where(100 * both >= percent * (F.size("ha") + F.size("hb") - both))
-        .select("a", "b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     )
 
 
@@ -140,10 +161,14 @@ def _by_differences(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     little already; where both are, q joins them. Where they share none of E, |x ^ y| is at least |E(x)|+|E(y)|+||M(x)|-|M(y)||; where even that is too much, a
     shared M makes no candidate. So an equi-join on differing shingles finds every candidate; full sets confirm.
     """
-    size = now.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = size.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("q"))
-    member = now.join(main, "key").where("rep <> q").select("q", "rep", "root").distinct()
-    both = member.join(sets.select(F.col("id").alias("rep"), F.col("h").alias("hx")), "rep").join(sets.select(F.col("id").alias("q"), F.col("h").alias("hq")), "q")
+    size = now.groupBy("key", "root").agg(F.count("*").alias("c"), F.max("m").alias("m"))
+    main = size.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("q"), F.max("m").alias("m"))
+    member = _meet(now, main).where("rep <> q").groupBy("q", "rep", "root").agg(F.max(_parts(F.col("m"))).alias("parts"))
+    member = stage(member, "members")
+    hot = member.groupBy(F.col("q").alias("id")).agg(F.max("parts").alias("parts"))
+    hq = _copies(sets.join(hot, "id"), F.col("parts")).select(F.col("id").alias("q"), "part", F.col("h").alias("hq"))
+    part = member.select("q", "rep", "root", F.pmod(F.xxhash64("rep"), "parts").alias("part"))
+    both = part.join(sets.select(F.col("id").alias("rep"), F.col("h").alias("hx")), "rep").join(hq, ["q", "part"])
     unlike = both.select("q", "rep", "root", F.size("hx").alias("n"), F.array_except("hx", "hq").alias("e"), F.array_except("hq", "hx").alias("m"))
     marked = lambda c, own: F.transform(c, lambda s: F.struct(s.alias("s"), F.lit(own).alias("own")))
     each = unlike.select("q", "rep", "root", "n", F.size("e").alias("ne"), F.size("m").alias("nm"), F.explode(F.concat(marked("e", True), marked("m", False))).alias("d")).select("q", "rep", "root", "n", "ne", "nm", "d.s", "d.own")
@@ -160,7 +185,7 @@ def _by_differences(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     once = (F.col("y.root") == F.col("y.q")) | (F.col("x.rep") < F.col("y.rep"))
     near = (F.col("x.root") != F.col("y.root")) & once & (apart <= most) & (F.col("x.own") | (least <= most))
     met = x.join(y, (F.col("x.q") == F.col("y.q")) & (F.col("x.s") == F.col("y.s")) & near)
-    pairs = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    pairs = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.lit(1).cast("long").alias("parts"))
     return _confirmed(pairs, sets, percent).union(direct)
 
 
@@ -174,7 +199,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classes = stage(held.groupBy("d0", "d1", "n").agg(F.min("id").alias("rep"), *first.values()), "classes")
     copies = held.join(classes.select("d0", "d1", "n", "rep"), ["d0", "d1", "n"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     light = classes.select("rep", "n", "s0", "s1", "s2", "s3", F.posexplode("bands").alias("band", "key"))
-    shared = light.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    shared = light.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     buckets = stage(light.join(shared, "key"), "buckets")
     wanted = buckets.select(F.col("rep").alias("id")).distinct()
     # a repeated id may stand for several sets: an id's sets are united, its rows are one node
@@ -186,16 +211,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     for turn in range(pivots + 1):
         now = buckets if turn == 0 else buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         if turn:
-            open_ = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-            now = stage(now.join(open_, "key"), "open")
+            open_ = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("m").alias("m")).where("lo < hi").select("key", "m")
+            now = stage(_meet(now, open_), "open")
             if now.isEmpty():
                 break
         if turn < pivots:
             cols = ["rep", "n", "s0", "s1", "s2", "s3", *(["root"] if turn else [])]
             order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-            pivot = now.groupBy("key").agg(F.min_by(F.struct(*cols), order).alias("p")).select("key", "p.*")
-            met = now.alias("x").join(pivot.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & _near(percent))
-            pairs = (met.where("x.root <> y.root") if turn else met).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+            pivot = now.groupBy("key").agg(F.min_by(F.struct(*cols), order).alias("y"), F.max("m").alias("m"))
+            met = _meet(now.select("key", "m", "rep", F.struct(*cols).alias("x")), pivot).where((F.col("x.rep") != F.col("y.rep")) & _near(percent))
+            pairs = (met.where("x.root <> y.root") if turn else met).select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b"), _parts(F.col("m")).alias("parts"))
             new = _confirmed(pairs, sets, percent)
         else:
             new = _by_differences(now, sets, percent)
