@@ -121,16 +121,39 @@ def _remainder(x: np.ndarray, buckets: int) -> np.ndarray:
     return (bk.mix(x.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _counted(pieces: list[tuple[np.ndarray, ...]], buckets: int) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+class _Filled:
+    """Arrays one after the other in one of known room, so that a group's strings are never held twice."""
+
+    def __init__(self, room: int):
+        self.all, self.n = np.empty(room, np.int64), 0
+
+    def add(self, x: np.ndarray) -> None:
+        self.all[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+    def take(self) -> np.ndarray:
+        found, self.all = self.all[: self.n], None
+        return found
+
+
+def _room(rows: pa.RecordBatch) -> int:
+    """More than the symbols of its texts."""
+    return rows.column(2).nbytes + len(rows)
+
+
+def _counted(strings: _Filled, pieces: list[tuple[np.ndarray, ...]], buckets: int) -> tuple[np.ndarray, list[bytes], list[bytes]]:
     """A group's distinct strings and (in the second half of the buckets) words, and how often each was seen in training."""
-    seen = np.concatenate([p[0] for p in pieces])
+    seen = strings.take()
     seen.sort()
     learnt = (seen & 1) == 0
     seen >>= 1
     first = _distinct(seen)
-    strings = _by_bucket(seen[first], np.add.reduceat(learnt, first, dtype=np.int64), _remainder(seen[first] >> 32, buckets))
-    word, at = np.unique(np.concatenate([p[1] for p in pieces]), return_inverse=True)
-    times = np.bincount(at, np.concatenate([p[2] for p in pieces]), len(word)).astype(np.int64)
+    code = seen[first]
+    del seen
+    strings = _by_bucket(code, np.add.reduceat(learnt, first, dtype=np.int64), _remainder(code >> 32, buckets))
+    del code, learnt, first
+    word, at = np.unique(np.concatenate([p[0] for p in pieces]), return_inverse=True)
+    times = np.bincount(at, np.concatenate([p[1] for p in pieces]), len(word)).astype(np.int64)
     words = _by_bucket(word, times, buckets + _remainder(word, buckets))
     return np.concatenate([strings[0], words[0]]), strings[1] + words[1], strings[2] + words[2]
 
@@ -164,14 +187,16 @@ def _count(buckets: int):
     def run(batches):
         for b in batches:
             for k in range(len(b)):
-                pieces = []
-                for rows in pa.ipc.open_stream(b.column(1)[k].as_buffer()):
+                texts, pieces = list(pa.ipc.open_stream(b.column(1)[k].as_buffer())), []
+                strings = _Filled(sum(map(_room, texts)))
+                for rows in texts:
                     for _, _, data, offs, _ in bk.slices(rows.column(2), 1 << 60):
                         held = np.asarray(rows.column(1))
                         code, o = coded(data, offs)
                         h, _, _, doc = bk.word_hashes(bk.LOWER[data], offs, ~bk.SPACE)
-                        pieces.append((code << 1 | np.repeat(held, np.diff(o)), h.view(np.int64), ~held[doc]))
-                to, codes, times = _counted(pieces, buckets)
+                        strings.add(code << 1 | np.repeat(held, np.diff(o)))
+                        pieces.append((h.view(np.int64), ~held[doc]))
+                to, codes, times = _counted(strings, pieces, buckets)
                 yield pa.record_batch([pa.array([b.column(0)[k].as_py()] * len(to), pa.int64()), pa.array(to), pa.array(codes, pa.binary()), pa.array(times, pa.binary())], names=["grp", "bucket", "codes", "counts"])
 
     return run
@@ -312,11 +337,20 @@ def _answer(low, buckets: int):
 SCORED = "id long, held_out boolean, n long, n_known long, part double, score double"
 
 
-def _asked(code: np.ndarray, to) -> pa.Array:
-    """Distinct codes in the order in which they were asked: by bucket, then by code."""
-    code = np.sort(code)
-    code = code[_distinct(code)]
-    return pa.array(code[np.argsort(to(code), kind="stable")])
+def _told(strings: _Filled, to, found: np.ndarray) -> np.ndarray:
+    """What was found for each string; distinct ones were asked by bucket, then by code."""
+    code = strings.take()
+    order = np.argsort(code)
+    code = code[order]
+    new = np.append(True, code[1:] != code[:-1])[: len(code)]
+    code = code[new]
+    rank = np.cumsum(new, dtype=np.int32)
+    at = np.empty(len(order), np.int32)
+    at[order] = rank
+    del order, rank, new
+    by_code = np.empty_like(found)
+    by_code[np.argsort(to(code), kind="stable")] = found
+    return by_code[at - 1]
 
 
 def _score(buckets: int):
@@ -324,27 +358,29 @@ def _score(buckets: int):
     kinds = {"id": pa.int64(), "held_out": pa.bool_(), "n": pa.int64(), "n_known": pa.int64(), "part": pa.float64(), "score": pa.float64()}
 
     def run(key, packed, answers):
-        parts, rows = [], []
-        for batch in (x for chunk in packed.column("texts").chunks for blob in chunk for x in pa.ipc.open_stream(blob.as_buffer())):
-            rows.append(pa.Table.from_batches([batch]))
-            for _, _, data, offs, _ in bk.slices(batch.column(2), 1 << 60):
-                parts.append((*coded(data, offs), *bk.word_hashes(bk.LOWER[data], offs, ~bk.SPACE)[::3]))
-        if not parts:
+        rows = [x for chunk in packed.column("texts").chunks for blob in chunk for x in pa.ipc.open_stream(blob.as_buffer())]
+        if not rows:
             return pa.schema(kinds.items()).empty_table()
+        strings, words, parts = _Filled(sum(map(_room, rows))), _Filled(sum(map(_room, rows))), []
+        for k, batch in enumerate(rows):
+            for _, _, data, offs, _ in bk.slices(batch.column(2), 1 << 60):
+                code, o = coded(data, offs)
+                h, _, _, doc = bk.word_hashes(bk.LOWER[data], offs, ~bk.SPACE)
+                strings.add(code)
+                words.add(h.view(np.int64))
+                parts.append((len(code), o, len(h), doc))
+            rows[k] = batch.select(["id", "held_out"])
         answers = answers.sort_by("bucket")
         near = pc.less(answers.column("bucket"), buckets)
         logs = np.concatenate([np.zeros(0, np.float32), *_blobs(answers.filter(near), "found", np.float32)])
+        logs = _told(strings, lambda c: _remainder(c >> 32, buckets), logs)
         count = np.concatenate([np.zeros(0, np.int64), *_blobs(answers.filter(pc.invert(near)), "found")])
-        codes, words = np.concatenate([p[0] for p in parts]), np.concatenate([p[2].view(np.int64) for p in parts])
-        parts = [(len(code), o, len(h), doc) for code, o, h, doc in parts]
-        at = np.asarray(pc.index_in(pa.array(codes), value_set=_asked(codes, lambda c: _remainder(c >> 32, buckets))))
-        word_at = np.asarray(pc.index_in(pa.array(words), value_set=_asked(words, lambda c: _remainder(c, buckets))))
+        count = _told(words, lambda c: _remainder(c, buckets), count)
         out, done, seen = [], 0, 0
-        del codes, words
         for (symbols_, o, words_, doc), own in zip(parts, rows):
             n = len(own)
-            score = np.add.reduceat(logs[at[done : done + symbols_]].astype(np.float64), o[:-1])
-            c = count[word_at[seen : seen + words_]]
+            score = np.add.reduceat(logs[done : done + symbols_].astype(np.float64), o[:-1])
+            c = count[seen : seen + words_]
             done, seen = done + symbols_, seen + words_
             new = [np.bincount(doc, minlength=n), np.bincount(doc, c > 0, n).astype(np.int64), np.bincount(doc, np.log10(c + 0.5), n), score]
             out.append(pa.Table.from_arrays([own.column("id"), own.column("held_out"), *map(pa.array, new)], schema=pa.schema(kinds.items())))
