@@ -42,16 +42,21 @@ def fisher(a: int, b: int, c: int, d: int) -> float:
 
 def glicko(mu: float, phi: float, sigma: float, games: list[tuple[float, float, float, float]], tau: float = 0.5) -> tuple[float, float, float]:
     """One rating period; games: (opponent's rating, deviation, score 0..1, weight). Without games the deviation grows."""
-    m, p = (mu - START) / SCALE, phi / SCALE
-    if not games:
-        return mu, SCALE * math.sqrt(p * p + sigma * sigma), sigma
-    v_inv = gain = 0.0
+    m, v_inv, gain = (mu - START) / SCALE, 0.0, 0.0
     for r, rd, score, weight in games:
         q = rd / SCALE
         g = 1 / math.sqrt(1 + 3 * q * q / math.pi**2)
         e = 1 / (1 + math.exp(-g * (m - (r - START) / SCALE)))
         v_inv += weight * g * g * e * (1 - e)
         gain += weight * g * (score - e)
+    return glicko_after(mu, phi, sigma, v_inv if games else None, gain, tau)
+
+
+def glicko_after(mu: float, phi: float, sigma: float, v_inv: float | None, gain: float, tau: float = 0.5) -> tuple[float, float, float]:
+    """The period's end from two sums over its games: what they tell (v_inv; None: no games) and by how much they surprise (gain)."""
+    m, p = (mu - START) / SCALE, phi / SCALE
+    if v_inv is None:
+        return mu, SCALE * math.sqrt(p * p + sigma * sigma), sigma
     v = 1 / v_inv if v_inv else 1e12
     delta = v * gain
     a = math.log(sigma * sigma)

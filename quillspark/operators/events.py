@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -121,20 +123,35 @@ def tally(side: DataFrame) -> DataFrame:
     return side.groupBy("entity").agg(F.count_if(F.col("score") == 1).alias("wins"), F.count_if(F.col("score") == 0).alias("losses"), F.count_if(F.col("score") == 0.5).alias("draws"))
 
 
-def glicko_period(side: DataFrame, ratings: DataFrame, default=(1500.0, 350.0, 0.06)) -> DataFrame:
-    """(entity, mu, phi, sigma, games) after one period; all games are read against ratings before it."""
+def glicko_evidence(side: DataFrame, ratings: DataFrame, default=(1500.0, 350.0, 0.06), keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, entity, mu, phi, sigma, v_inv, gain, games): ratings before the period and the two sums over its games they move by.
+
+    side: (*keys, entity, opponent, score) and a weight where games don't count in full; sums pre-aggregate, however many games one plays.
+    """
+    k = list(keys)
     base = [F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in zip(("mu", "phi", "sigma"), default)]
-    known = side.select("entity").union(ratings.select("entity")).distinct().join(ratings, "entity", "left").select("entity", *base)
-    met = side.join(known.select(F.col("entity").alias("opponent"), F.col("mu").alias("omu"), F.col("phi").alias("ophi")), "opponent")
-    per = met.groupBy("entity").agg(F.collect_list(F.struct("omu", "ophi", "score")).alias("games"))
-    both = known.join(per, "entity", "left")
+    met = side.select(*k, "entity", "opponent", "score", (F.col("weight") if "weight" in side.columns else F.lit(1.0)).alias("weight"))
+    known = met.select(*k, "entity").union(met.select(*k, F.col("opponent").alias("entity"))).union(ratings.select(*k, "entity")).distinct().join(ratings, [*k, "entity"], "left").select(*k, "entity", *base)
+    scaled = lambda c: (F.col(c) - stats.START) / stats.SCALE
+    q = F.col("ophi") / stats.SCALE
+    g = 1 / F.sqrt(1 + 3 * q * q / math.pi**2)
+    e = 1 / (1 + F.exp(-F.col("g") * (scaled("mu") - scaled("omu"))))
+    rows = met.join(known.select(*k, F.col("entity").alias("opponent"), F.col("mu").alias("omu"), F.col("phi").alias("ophi")), [*k, "opponent"]).join(known.select(*k, "entity", "mu"), [*k, "entity"])
+    rows = rows.withColumn("g", g).withColumn("e", e)
+    per = rows.groupBy(*k, "entity").agg(F.sum(F.expr("weight * g * g * e * (1 - e)")).alias("v_inv"), F.sum(F.expr("weight * g * (score - e)")).alias("gain"), F.count("*").alias("games"))
+    return known.join(per, [*k, "entity"], "left").withColumn("games", F.coalesce("games", F.lit(0)))
+
+
+def glicko_period(side: DataFrame, ratings: DataFrame, default=(1500.0, 350.0, 0.06), keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, entity, mu, phi, sigma, games) after one period; all games are read against ratings before it."""
 
     @pandas_udf("struct<mu:double,phi:double,sigma:double>")
-    def rate(mu: pd.Series, phi: pd.Series, sigma: pd.Series, games: pd.Series) -> pd.DataFrame:
-        rows = [stats.glicko(m, p, s, sorted((g["omu"], g["ophi"], g["score"], 1.0) for g in (gs if gs is not None else ()))) for m, p, s, gs in zip(mu, phi, sigma, games)]
+    def rate(mu: pd.Series, phi: pd.Series, sigma: pd.Series, v_inv: pd.Series, gain: pd.Series) -> pd.DataFrame:
+        rows = [stats.glicko_after(m, p, s, None if pd.isna(v) else v, g) for m, p, s, v, g in zip(mu, phi, sigma, v_inv, gain)]
         return pd.DataFrame(rows, columns=["mu", "phi", "sigma"])
 
-    return both.select("entity", rate("mu", "phi", "sigma", "games").alias("r"), F.coalesce(F.size("games"), F.lit(0)).alias("games")).select("entity", "r.mu", "r.phi", "r.sigma", "games")
+    both = glicko_evidence(side, ratings, default, keys)
+    return both.select(*keys, "entity", rate("mu", "phi", "sigma", "v_inv", "gain").alias("r"), "games").select(*keys, "entity", "r.mu", "r.phi", "r.sigma", "games")
 
 
 def leaderboard(ratings: DataFrame) -> DataFrame:

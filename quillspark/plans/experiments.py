@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.operators import assess as sm
 from quillspark.operators import corpus as op
 from quillspark.operators import events as ev
 from quillspark.plans.corpus import events
@@ -314,15 +315,7 @@ def list_diversity(spark, d, which: str) -> DataFrame:
 @query()
 def bootstrap_ci(spark, d):
     """Seeded paired bootstrap of each reader's hits in the first ten against the second ten places."""
-    import pandas as pd
-
-    from quillspark.functions import stats
-
     hit, _ = popularity_lists(catalog(spark, d))
-    diff = hit.where("pos <= 20").groupBy("user_id").agg((F.count_if(F.col("hit") & (F.col("pos") <= 10)) - F.count_if(F.col("hit") & (F.col("pos") > 10))).alias("diff"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        m, lo, hi = stats.bootstrap(g.sort_values("user_id")["diff"].to_numpy(float))
-        return pd.DataFrame([(m, lo, hi, "NO VERDICT" if lo <= 0 <= hi else "DIFFERENT")], columns=["mean", "low", "high", "verdict"])
-
-    return diff.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "mean double, low double, high double, verdict string")
+    ten = lambda which: hit.where("pos <= 20").groupBy("user_id").agg(F.count_if(F.col("hit") & which).alias("hits"))
+    out = sm.paired(ten(F.col("pos") > 10), ten(F.col("pos") <= 10), "user_id", ["hits"])
+    return out.select(F.col("diff").alias("mean"), "low", "high", F.when(F.col("verdict") == "NO VERDICT", "NO VERDICT").otherwise("DIFFERENT").alias("verdict"))

@@ -65,6 +65,35 @@ def listing(html: Column, item: str) -> Column:
     return F.filter(F.split(html, f"(?={item})"), lambda p: p.rlike(f"^{item}"))
 
 
+def unescaped(s: Column) -> Column:
+    """The five named entities and the numeric apostrophe as the characters they stand for."""
+    for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        s = F.replace(s, F.lit(entity), F.lit(c))
+    return s
+
+
+def bookmarks(html: Column) -> Column:
+    """array<(bookmark, work, title, shown, readers)> of a bookmarks page; the work is the one its class names, items without are left out."""
+    first = lambda p, r: F.regexp_extract(p, r, 1)
+    item = lambda p: F.struct(
+        first(p, r'^<li\s+id="bookmark_(\d+)"').cast("long").alias("bookmark"),
+        first(F.substring(p, 1, 400), r"\bwork-(\d+)\b").try_cast("long").alias("work"),
+        unescaped(F.trim(first(p, r'(?s)<a[^>]*href="/works/\d+"[^>]*>([^<]*)</a>'))).alias("title"),
+        F.trim(first(p, r'(?is)<p[^>]*class="datetime"[^>]*>([^<]*)</p>')).alias("shown"),
+        numbers_of(F.nullif(first(p, r'(?s)<p[^>]*class="status"[^>]*title="([\d,]+) Bookmarks?"'), F.lit(""))).alias("readers"),
+    )
+    return F.filter(F.transform(listing(html, r'<li\s+id="bookmark_\d+"[^>]*class="[^"]*bookmark blurb'), item), lambda b: b["work"].isNotNull())
+
+
+def universe_links(html: Column) -> Column:
+    """array<(name, path, works)> of a catalogue page; a path is a tag's plain text, without entities and percent signs."""
+    link = r'<a[^>]*href="/tags/([^"/]+)/works"[^>]*>([^<]*)</a>\s*\(([\d,]+)\)'
+    all_ = lambda n: F.regexp_extract_all(html, F.lit(link), F.lit(n))
+    path = lambda p: F.coalesce(F.try_url_decode(F.replace(unescaped(p), F.lit("+"), F.lit("%2B"))), unescaped(p))
+    rows = F.transform(F.arrays_zip(all_(1).alias("p"), all_(2).alias("n"), all_(3).alias("w")), lambda x: F.struct(unescaped(F.trim(x["n"])).alias("name"), path(x["p"]).alias("path"), numbers_of(x["w"]).alias("works")))
+    return F.filter(rows, lambda x: x["name"] != "")
+
+
 def shard_table(df: DataFrame, key: str, shards: int = 256) -> DataFrame:
     """(shard, rows, digest, body): a snapshot's JSON shards by key hash, rows sorted, with SHA-256."""
     row = F.to_json(F.struct(*df.columns))
