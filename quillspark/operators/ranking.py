@@ -235,7 +235,7 @@ def degraded(candidates: DataFrame, signals: dict[str, DataFrame]) -> DataFrame:
 
 
 def mmr(ranked: DataFrame, k: int = 20, lam: float = 0.75, per_group: int = 0, duplicate: float = 1.01) -> DataFrame:
-    """Greedy re-ranking of each request's list (request, id, score, tags, grp), scores scaled to the best.
+    """Greedy re-ranking of each request's list (request, id, score, tags, grp), scores scaled to the best, or to a column top.
 
     A candidate's worth is lam*score - (1-lam)*largest tag similarity to what is chosen. per_group bounds a group's places (0:
     no bound); candidates as similar as `duplicate` to a chosen one are left out. Lists are bounded: requests run side by side.
@@ -244,7 +244,7 @@ def mmr(ranked: DataFrame, k: int = 20, lam: float = 0.75, per_group: int = 0, d
     def run(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
         tags = [set(t) for t in g["tags"]]
-        top = g["score"].abs().max() or 1.0
+        top = (g["top"][0] if "top" in g else g["score"].abs().max()) or 1.0
         worth, near = (g["score"] / top).tolist(), [0.0] * len(g)
         chosen, used, left = [], {}, set(range(len(g)))
         while left and len(chosen) < k:

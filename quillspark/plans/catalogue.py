@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import assess, browse, content, corpus, experiments, facts, ranking, state, upkeep
+from quillspark.plans import assess, browse, content, corpus, experiments, facts, ranking, shelves, state, upkeep
 from quillspark.plans.registry import QUERIES, SQL
 
-MODULES = (corpus, ranking, experiments, content, upkeep, browse, state, facts, assess)
+MODULES = (corpus, ranking, experiments, content, upkeep, browse, state, facts, assess, shelves)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
