@@ -94,7 +94,7 @@ def strength_duels(spark, d):
 
 # -- held-out checks ---------------------------------------------------------------------------------------------------
 
-PREDICTED = """, rt AS (SELECT id AS work_id, id % 10 + 1 AS rating, 0.5 + (id % 4) / 4 AS conf, id * 48271 % 2147483647 % 5 = 0 AS held, kudos FROM works),
+PREDICTED = """, rt AS (SELECT id AS work_id, id % 10 + 1 AS rating, 0.5 + (id % 4) / 4 AS conf, id * 7919 % 101 % 5 = 0 AS held, kudos FROM works),
     s AS (SELECT tag, sum((rating - 5.5) * conf) / (sum(conf) + 3) AS s FROM carried JOIN rt USING (work_id) WHERE NOT held GROUP BY 1), prof AS (SELECT tag, s / (SELECT max(abs(s)) FROM s) AS weight FROM s),
     sc AS (SELECT work_id, coalesce(sum(weight), 0) / sqrt(count(*)) AS score FROM carried LEFT JOIN prof USING (tag) GROUP BY 1), pr AS (SELECT work_id AS id, rating, kudos, round(coalesce(score, 0), 6) AS predicted FROM rt LEFT JOIN sc USING (work_id) WHERE held)"""
 
@@ -102,7 +102,7 @@ PREDICTED = """, rt AS (SELECT id AS work_id, id % 10 + 1 AS rating, 0.5 + (id %
 def predicted(spark, d) -> DataFrame:
     r = catalog(spark, d)
     rated = r.works.select("id", (F.col("id") % 10 + 1).alias("rating"), (0.5 + (F.col("id") % 4) / 4).alias("confidence"))
-    return six(sm.predictions(rated, r.works, r.work_tags, F.col("id") * 48271 % 2147483647 % 5 == 0), "predicted")
+    return six(sm.predictions(rated, r.works, r.work_tags, F.col("id") * 7919 % 101 % 5 == 0), "predicted")
 
 
 @query(PREDICTED + " SELECT id, rating, predicted, kudos FROM pr", "works carried")

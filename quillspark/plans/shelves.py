@@ -11,6 +11,7 @@ from quillspark.operators import shelves as sh
 from quillspark.operators import upkeep as up
 from quillspark.plans.assess import six
 from quillspark.plans.corpus import vectors
+from quillspark.plans.ranking import tag_vectors
 from quillspark.plans.registry import query
 from quillspark.sources.tables import catalog
 
@@ -111,9 +112,10 @@ def theme_works(spark, d):
 
 @query()
 def divided_families(spark, d):
-    """Vectors of each label cut in four."""
-    v = vectors(spark, d).where("v is not null and label is not null")
-    return sh.divide(v.select(F.col("label").cast("long").alias("family"), "id", (F.col("id") % 17).alias("support"), "v"), 4)
+    """Tags' vectors by their first letter, each letter's tags cut in four."""
+    t = catalog(spark, d).work_tags
+    v = tag_vectors(spark, d, t).join(op.doc_frequency(t), "tag")
+    return sh.divide(v.select((F.ascii("tag") % 7).cast("long").alias("family"), F.xxhash64("tag").alias("id"), F.col("df").alias("support"), "v"), 4)
 
 
 # -- fingerprints ------------------------------------------------------------------------------------------------------
