@@ -16,6 +16,7 @@ from quillspark.plans.experiments import HELD, RECS, holdout, popularity_lists
 from quillspark.plans.registry import query
 from quillspark.plans.state import LOG, QUEUE, SINCE, log, queue
 from quillspark.sources import html as ht
+from quillspark.sources import paste
 from quillspark.sources.tables import catalog, table
 
 
@@ -224,3 +225,17 @@ def universe_pages(spark, d):
     item = x('<li><a class="tag" href="/tags/', path, '/works">', n, "&#39;s ", b, "</a>\n (", F.format_number(F.col("p_size") * 1000, 0), ")</li>")
     pages = table(spark, d, "part").groupBy("p_brand", (F.col("p_partkey") % 64).alias("page")).agg(F.concat_ws("\n", F.collect_list(item)).alias("html"))
     return pages.select(F.explode(ht.universe_links(F.col("html"))).alias("u")).select("u.*")
+
+
+@query(
+    """WITH t AS (SELECT p_partkey::BIGINT AS book, p_size % 12 AS s, p_size, p_name, p_brand FROM part)
+    SELECT book, CASE WHEN s <= 10 THEN s ELSE 0 END::BIGINT AS rating, s <= 10 AS rated, p_name || CASE WHEN p_size % 7 = 0 THEN '(2)' ELSE '' END AS title, p_brand || CASE WHEN p_size % 5 = 0 THEN '-jr' ELSE '' END AS author,
+    CASE WHEN p_size % 7 = 0 THEN p_name || ' (2)' ELSE '' END AS alt_title, CASE WHEN p_size % 5 = 0 THEN p_brand || ' -jr' ELSE '' END AS alt_author FROM t"""
+)
+def rated_lists(spark, d):
+    """Lists of 64 readers as a book manager prints them."""
+    s = F.col("p_size") % 12
+    line = F.concat(F.rpad(F.col("p_partkey").cast("string"), 12, " "), F.rpad(F.when(s <= 10, s.cast("string")).otherwise("None"), 6, " "), F.rpad("p_name", 70, " "), F.lit("  "), "p_brand")
+    more = F.concat(F.when(F.col("p_size") % 7 == 0, "\n                  (2)").otherwise(""), F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("\n"), F.rpad(F.lit(""), 90, " "), F.lit("-jr"))).otherwise(""))
+    text = F.concat(F.lit("a list\nid          *rating title      authors\n"), F.concat_ws("\n", F.collect_list(F.concat(line, more))))
+    return paste.rated_lists(table(spark, d, "part").groupBy((F.col("p_partkey") % 64).alias("paste")).agg(text.alias("text"))).drop("paste")
