@@ -323,6 +323,13 @@ def top_by(works: DataFrame, column: str, k: int, skip: int = 0) -> DataFrame:
     return works.orderBy(F.coalesce(F.col(column), F.lit(0)).desc(), "id").offset(skip).limit(k)
 
 
+def places(df: DataFrame, by: str, key: str) -> DataFrame:
+    """df with place, from the largest of a whole-numbered column, ties by key: ranks within a value behind the count of all above it."""
+    counts = df.groupBy(by).agg(F.count("*").alias("n"))
+    above = counts.select(by, (F.sum("n").over(W.orderBy(F.desc(by))) - F.col("n")).alias("above"))
+    return df.join(above, by).withColumn("place", F.col("above") + F.row_number().over(W.partitionBy(by).orderBy(key))).drop("above")
+
+
 def newest(works: DataFrame, k: int) -> DataFrame:
     return works.orderBy(F.col("update_date").desc_nulls_last(), "id").limit(k)
 

@@ -247,17 +247,22 @@ def holdout_split(spark, d):
     return holdout(op.reads(catalog(spark, d).interactions))
 
 
-RECS = HELD + """, recs AS (SELECT user_id, work_id, row_number() OVER (PARTITION BY user_id ORDER BY kudos DESC, work_id) AS pos FROM (SELECT DISTINCT user_id FROM held) u, (SELECT id AS work_id, kudos FROM works ORDER BY kudos DESC, id LIMIT 200) w WHERE (user_id, work_id) NOT IN (SELECT (user_id, work_id) FROM held WHERE NOT held_out)),
+RECS = HELD + """, recs AS (SELECT user_id, work_id, row_number() OVER (PARTITION BY user_id ORDER BY kudos DESC, work_id) AS pos FROM (SELECT DISTINCT user_id FROM held) u, (SELECT id AS work_id, kudos FROM works) w WHERE (user_id, work_id) NOT IN (SELECT (user_id, work_id) FROM held WHERE NOT held_out)),
     top AS (SELECT * FROM recs WHERE pos <= 50), hit AS (SELECT t.user_id, t.pos, h.work_id IS NOT NULL AS hit FROM top t LEFT JOIN held h ON h.user_id = t.user_id AND h.work_id = t.work_id AND h.held_out),
     need AS (SELECT user_id, count(*) AS need FROM held WHERE held_out GROUP BY 1)"""
 
 
 def popularity_lists(r, k: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(user_id, pos, hit) of popularity lists without what a reader is known to have read, and (user_id, need)."""
+    """(user_id, pos, hit) of the k most popular works that each reader isn't known to have read, and (user_id, need)."""
     held = holdout(op.reads(r.interactions))
-    pool = op.top_by(r.works, "kudos", 200).select(F.col("id").alias("work_id"), "kudos")
-    mine = held.select("user_id").distinct().join(F.broadcast(pool)).join(held.where("not held_out").select("user_id", "work_id"), ["user_id", "work_id"], "left_anti")
-    top = mine.withColumn("pos", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("kudos"), "work_id"))).where(F.col("pos") <= k)
+    place = op.places(r.works.select(F.col("id").alias("work_id"), "kudos"), "kudos", "work_id")
+    known = held.where("not held_out").join(place, "work_id")
+    before = F.col("place") - F.row_number().over(W.partitionBy("user_id").orderBy("place"))  # works not known that stand above a known one
+    inside = known.withColumn("before", before).where(F.col("before") < k).select("user_id", "place")
+    readers = held.select("user_id").distinct().join(inside.groupBy("user_id").agg(F.count("*").alias("more")), "user_id", "left")
+    readers = readers.select("user_id", (F.coalesce("more", F.lit(0)) + k).alias("depth"))
+    mine = readers.select("user_id", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("place")).join(inside, ["user_id", "place"], "left_anti").join(place.select("work_id", "place"), "place")
+    top = mine.withColumn("pos", F.row_number().over(W.partitionBy("user_id").orderBy("place")))
     hit = top.join(held.where("held_out").select("user_id", "work_id", F.lit(True).alias("hit")), ["user_id", "work_id"], "left").select("user_id", "pos", F.coalesce("hit", F.lit(False)).alias("hit"))
     return hit, held.where("held_out").groupBy("user_id").agg(F.count("*").alias("need"))
 

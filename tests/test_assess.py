@@ -132,3 +132,25 @@ def test_pages_of_bookmarks_and_universes(spark):
     links = '<a class="tag" href="/tags/X%20&#39;s%zz/works">X&#39;s</a> (1,234)<a href="/tags/Y+Z/works"> Y+Z </a>\n(5)<a href="/tags/q/works"></a> (3)<a href="/users/q">q</a> (3)'
     got = spark.createDataFrame([(links,), (None,)], "h string").select(ht.universe_links(F.col("h")).alias("u")).collect()
     assert [tuple(x) for x in got[0]["u"]] == [("X's", "X%20's%zz", 1234), ("Y+Z", "Y+Z", 5)] and got[1]["u"] is None
+
+
+def test_popular_lists_skip_what_is_known(spark):
+    """Readers of all popular works get the next ones: against plain lists."""
+    from quillspark.plans.experiments import holdout, popularity_lists
+    from quillspark.sources.tables import Roles
+
+    rng = random.Random(9)
+    works = [(i, rng.randrange(12)) for i in range(80)]
+    order = [i for i, _ in sorted(works, key=lambda w: (-w[1], w[0]))]
+    reads = [(1, i) for i in order[:60]] + [(2, i) for i in order[5:75:3]] + [(3, i) for i in order] + [(4, order[0])]
+    w = spark.createDataFrame(works, "id long, kudos long")
+    reads_df = spark.createDataFrame(reads, "user_id long, work_id long")
+    held = {(r["user_id"], r["work_id"]): r["held_out"] for r in holdout(reads_df).collect()}
+    hit, _ = popularity_lists(Roles(w, reads_df, reads_df), 10)
+    got = {}
+    for r in hit.collect():
+        got.setdefault(r["user_id"], {})[r["pos"]] = r["hit"]
+    for u in (1, 2, 3):
+        want = [held.get((u, i), False) for i in order if held.get((u, i)) is not False][:10]
+        assert [got[u][p] for p in sorted(got[u])] == want and sorted(got[u]) == list(range(1, len(want) + 1))
+    assert 4 not in got
