@@ -107,16 +107,14 @@ def latest_per_key(log: DataFrame, keys: list[str], at: str, key: str) -> DataFr
 def sides(comparisons: DataFrame, as_reference: bool = False) -> DataFrame:
     """(entity, opponent, score) from comparisons (a, b, winner a|b|draw): each game once per side.
 
-    as_reference: decided games enter twice per side and a draw enters its lower side only, as the reference counts them.
+    as_reference: a draw enters its lower side only, as the original tallies it (in its rating periods decided games count twice: assess.both_sides).
     """
     score = F.when(F.col("winner") == "draw", 0.5).when(F.col("winner") == "a", 1.0).otherwise(0.0)
     one = comparisons.select(F.col("a").alias("entity"), F.col("b").alias("opponent"), score.alias("score"))
     two = comparisons.select(F.col("b").alias("entity"), F.col("a").alias("opponent"), (1 - score).alias("score"))
     if not as_reference:
         return one.union(two)
-    decided = one.union(two).where("score <> 0.5")
-    low = one.union(two).where("score = 0.5 and entity < opponent")
-    return decided.union(decided).union(low)
+    return one.union(two).where("score <> 0.5 or entity < opponent")
 
 
 def tally(side: DataFrame) -> DataFrame:

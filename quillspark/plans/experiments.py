@@ -147,7 +147,7 @@ def rating_tally(spark, d):
     return ev.tally(ev.sides(games(spark, d)))
 
 
-@query(GAMES + SIDES + " SELECT entity, 2 * count(*) FILTER (score = 1) AS wins, 2 * count(*) FILTER (score = 0) AS losses, count(*) FILTER (score = 0.5 AND entity < opponent) AS draws FROM sd GROUP BY 1", "evt")
+@query(GAMES + SIDES + " SELECT entity, count(*) FILTER (score = 1) AS wins, count(*) FILTER (score = 0) AS losses, count(*) FILTER (score = 0.5 AND entity < opponent) AS draws FROM sd GROUP BY 1", "evt")
 def rating_tally_literal(spark, d):
     return ev.tally(ev.sides(games(spark, d), as_reference=True))
 
