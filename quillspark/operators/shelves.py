@@ -20,23 +20,23 @@ def taste_scores(read: DataFrame, work_tags: DataFrame) -> DataFrame:
     """(work_id, s) of the works that carry a tag of a reader's works (work_id): summed taste over 1+ln(number of the work's tags)."""
     c = op.carried(work_tags)
     n = c.groupBy("work_id").agg(F.count("*").alias("n"))
-    s = c.join(up.shelf_taste(read, work_tags), "tag").groupBy("work_id").agg(F.sum("taste").alias("taste")).join(n, "work_id")
+    s = op.apart(op.apart(c).join(up.shelf_taste(read, work_tags), "tag").groupBy("work_id").agg(F.sum("taste").alias("taste"))).join(op.apart(n), "work_id")
     return s.select("work_id", F.round(F.col("taste") / (1 + F.log("n")), 9).alias("s"))
 
 
 def universe_works(work_tags: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(universe, work_id): works by the catalogue's names (name, works), whatever the case or kind of the tag."""
     names = catalogue.select(F.lower("name").alias("universe")).distinct()
-    return op.carried(work_tags).select(F.lower("tag").alias("universe"), "work_id").distinct().join(names, "universe")
+    return op.apart(op.carried(work_tags).select(F.lower("tag").alias("universe"), "work_id").distinct()).join(names, "universe")
 
 
 def ranked_universes(members: DataFrame, scores: DataFrame, catalogue: DataFrame, read: DataFrame, limit: int, least: int = 3, top: int = 25, least_catalogue: int = 0) -> DataFrame:
     """(universe, n, score, catalogue, bookmarked): universes by the mean score of their best `top` works."""
     best = W.partitionBy("universe").orderBy(F.desc("s"), "work_id")
-    score = members.join(scores, "work_id").withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= top).groupBy("universe").agg(F.round(F.avg("s"), 9).alias("score"))
+    score = op.apart(members).join(op.apart(scores), "work_id").withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= top).groupBy("universe").agg(F.round(F.avg("s"), 9).alias("score"))
     size = members.groupBy("universe").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     known = catalogue.groupBy(F.lower("name").alias("universe")).agg(F.max("works").alias("catalogue")).where(F.col("catalogue") >= least_catalogue)
-    mine = members.join(read.distinct(), "work_id").groupBy("universe").agg(F.count("*").alias("m"))
+    mine = op.apart(members).join(op.apart(read.distinct()), "work_id").groupBy("universe").agg(F.count("*").alias("m"))
     all_ = score.join(size, "universe").join(known, "universe").join(mine, "universe", "left")
     out = all_.select("universe", "n", "score", "catalogue", F.coalesce("m", F.lit(0)).alias("bookmarked"))
     return out.orderBy(F.desc("score"), F.desc("n"), "universe").limit(limit)

@@ -73,7 +73,7 @@ def profile_score(work_tags: DataFrame, profile: DataFrame) -> DataFrame:
 
 def shelf_taste(read: DataFrame, work_tags: DataFrame) -> DataFrame:
     """(tag, taste) of one reader's works (work_id): count over 1+ln(1+df), the largest scaled to one."""
-    t = op.carried(work_tags).join(read, "work_id").groupBy("tag").agg(F.count("*").alias("c")).join(op.doc_frequency(work_tags), "tag").withColumn("t", F.col("c") / (1 + F.log1p("df")))
+    t = op.apart(op.carried(work_tags)).join(op.apart(read), "work_id").groupBy("tag").agg(F.count("*").alias("c")).join(op.doc_frequency(work_tags), "tag").withColumn("t", F.col("c") / (1 + F.log1p("df")))
     return t.join(F.broadcast(t.agg(F.max("t").alias("m")))).select("tag", (F.col("t") / F.col("m")).alias("taste"))
 
 
