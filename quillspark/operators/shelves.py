@@ -61,7 +61,7 @@ def without_variants(ranked: DataFrame, members: DataFrame, least: float = 0.5,
 def shelf_pool(members: DataFrame, scores: DataFrame, works: DataFrame, universes: DataFrame, pool: int) -> DataFrame:
     """(universe, id, s, place): each universe's `pool` works by taste, lifted a little by kudos."""
     lifted = F.round(F.col("s") * (1 + 0.25 * F.log1p(F.coalesce("kudos", F.lit(0))) / 8), 9)
-    rows = members.join(F.broadcast(universes), "universe", "left_semi").join(scores, "work_id").join(works.select(F.col("id").alias("work_id"), "kudos"), "work_id")
+    rows = members.join(F.broadcast(universes), "universe", "left_semi").join(op.apart(scores), "work_id").join(op.apart(works.select(F.col("id").alias("work_id"), "kudos")), "work_id")
     place = F.row_number().over(W.partitionBy("universe").orderBy(F.desc("lifted"), "work_id"))
     return rows.withColumn("lifted", lifted).withColumn("place", place).where(F.col("place") <= pool).select("universe", F.col("work_id").alias("id"), "s", "place")
 
