@@ -2,6 +2,7 @@
 
 import pytest
 
+from quillspark.operators import ranking as rk
 from quillspark.plans import catalogue
 
 
@@ -25,7 +26,15 @@ def broadcasts(df):
     return found
 
 
-@pytest.mark.parametrize("name", ["signal_tag_npmi", "shelf_universes", "shelf_pool"])
+@pytest.mark.parametrize("name", ["signal_tag_npmi", "shelf_universes", "shelf_pool", "signal_embedding"])
 def test_works_are_not_broadcast(name, spark, sf):
     sides = broadcasts(catalogue.queries()[name](spark, sf))
     assert not [s for s in sides if "work_id" in s]
+
+
+def test_mean_vectors_of_odd_shapes(spark):
+    """Vectors with nulls or of other widths: each place is the mean of what stands there, as by one row a place."""
+    tags = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (1, "b", "x"), (2, "b", "x"), (2, "c", "x"), (3, "d", "x"), (4, "e", "x")], "work_id long, tag string, tag_type string")
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 6.0]), ("c", [None, 1.0, 5.0]), ("d", []), ("e", [None])], "tag string, v array<float>")
+    got = {r["work_id"]: r["v"] for r in rk.mean_vectors(tags, vectors).collect()}
+    assert got == {1: [2.0, 4.0], 2: [3.0, 3.5, 5.0], 4: [None]}
