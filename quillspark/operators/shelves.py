@@ -12,6 +12,7 @@ from quillspark.functions import scoring as fn
 from quillspark.operators import corpus as op
 from quillspark.operators import ranking as rk
 from quillspark.operators import upkeep as up
+from quillspark.sources.staging import staged
 
 # -- a reader's shelf --------------------------------------------------------------------------------------------------
 
@@ -44,7 +45,7 @@ def ranked_universes(members: DataFrame, scores: DataFrame, catalogue: DataFrame
 
 def without_variants(ranked: DataFrame, members: DataFrame, least: float = 0.5, ratio: float = 0.25) -> list[str]:
     """Names of a ranked list (a few hundred, a top-k's rows) without spellings of one universe: the larger one keeps the place."""
-    rows = ranked.select("universe", "n").collect()
+    rows = ranked.orderBy(F.desc("score"), F.desc("n"), "universe").select("universe", "n").collect()
     size = {r["universe"]: r["n"] for r in rows}
     mine = members.join(F.broadcast(ranked.select("universe")), "universe", "left_semi").select("work_id", F.col("universe").alias("tag"))
     same = {frozenset((r["small"], r["large"])) for r in op.overlaps(mine, least, ratio).collect()}
@@ -73,13 +74,15 @@ def build_shelf(works: DataFrame, work_tags: DataFrame, catalogue: DataFrame, re
     scaled to that of the pool's first work.
     """
     spark = works.sparkSession
-    scores, members = taste_scores(read, work_tags), universe_works(work_tags, catalogue)
-    ranked = ranked_universes(members, scores, catalogue, read, 3 * universes, least, least_catalogue=least_catalogue)
+    # read by three jobs each
+    scores, members = staged(taste_scores(read, work_tags), "scores"), staged(universe_works(work_tags, catalogue), "members")
+    ranked = staged(ranked_universes(members, scores, catalogue, read, 3 * universes, least, least_catalogue=least_catalogue), "universes")
     names = without_variants(ranked, members)[:universes]
     chosen = spark.createDataFrame([(n, i + 1) for i, n in enumerate(names)], "universe string, rank long")
     pool = shelf_pool(members, scores, works, chosen, 2 * per).join(F.broadcast(chosen), "universe")
     pool = pool.withColumn("top", F.max(F.when(F.col("place") == 1, F.col("s"))).over(W.partitionBy("universe")))
-    lists = pool.join(rk.tag_sets(work_tags).select(F.col("work_id").alias("id"), "tags"), "id").select(F.col("rank").alias("request"), "id", F.col("s").alias("score"), "tags", F.lit("").alias("grp"), "top")
+    # at most 2 * per works a universe
+    lists = rk.tag_sets(work_tags).select(F.col("work_id").alias("id"), "tags").join(F.broadcast(pool), "id").select(F.col("rank").alias("request"), "id", F.col("s").alias("score"), "tags", F.lit("").alias("grp"), "top")
     out = rk.mmr(lists, per, lam, 0, 0.9)
     return out.join(F.broadcast(chosen), out["request"] == chosen["rank"]).select("universe", "rank", "id", "score", "place")
 

@@ -26,7 +26,7 @@ def broadcasts(df):
     return found
 
 
-@pytest.mark.parametrize("name", ["signal_tag_npmi", "shelf_universes", "shelf_pool", "signal_embedding"])
+@pytest.mark.parametrize("name", ["signal_tag_npmi", "shelf_universes", "shelf_pool", "signal_embedding", "shelf_build"])
 def test_works_are_not_broadcast(name, spark, sf):
     sides = broadcasts(catalogue.queries()[name](spark, sf))
     assert not [s for s in sides if "work_id" in s]
