@@ -170,3 +170,13 @@ def test_spectral_block_is_orthonormal(spark):
 
 def test_fnv_known_value():
     assert up.fnv1a64(pd.Series(["", "a"])).tolist() == [0xCBF29CE484222325, 0xAF63DC4C8601EC8C]
+
+
+def test_fuzzy_match_meets_spellings_once(spark):
+    """3,000 works of one title and author, 3,000 entries near it, one without an author: nine million pairs, never made."""
+    works = spark.range(10, 3010).select("id", F.lit("hot ring").alias("title"), F.lit("Ann").alias("authors"))
+    entries = spark.range(3000).select(F.col("id").alias("entry"), F.when(F.col("id") % 2 == 0, "Hot Rings").otherwise("hot ring").alias("title"), F.when(F.col("id") == 1, None).otherwise(F.lit("ann")).alias("author"))
+    out = op.fuzzy_match(entries, works)
+    made = out.groupBy("method", "id").count().collect()
+    assert {(r["method"], r["id"]): r["count"] for r in made} == {(2, 10): 1500, (1, 10): 1499, (3, 10): 1}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("min(id") >= 2
