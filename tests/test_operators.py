@@ -180,3 +180,26 @@ def test_fuzzy_match_meets_spellings_once(spark):
     made = out.groupBy("method", "id").count().collect()
     assert {(r["method"], r["id"]): r["count"] for r in made} == {(2, 10): 1500, (1, 10): 1499, (3, 10): 1}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("min(id") >= 2
+
+
+@pytest.mark.parametrize("literal", [False, True])
+def test_agreement_meets_blocks(spark, literal):
+    """Owners in blocks of three: nulls, no number and owners without shared tags, against sums pair by pair; no join by tag."""
+    rows = [(f"o{o:02}", t, None if (o + t) % 9 == 0 else float((o * 7 + t * 3) % 11 - 5)) for o in range(12) for t in range(9) if (o * t) % 4 or o % 3]
+    rows += [("odd", t, float("nan") if t == 1 else 1.0) for t in range(2, 7)] + [("odd", 1, float("nan")), ("far", 99, 1.0)]
+    out = up.agreement(spark.createDataFrame(rows, "owner string, tag long, weight double"), 3, literal, block=3)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    by = {}
+    for o, t, w in rows:
+        by.setdefault(o, {})[t] = w
+    want = {}
+    for x in by:
+        for y in by:
+            both = sorted(by[x].keys() & by[y].keys())
+            if x < y and len(both) >= 3:
+                dots = [by[x][t] * by[y][t] for t in both if by[x][t] is not None and by[y][t] is not None]
+                sx, sy = (sum(by[o][t] ** 2 for t in (both if literal else by[o]) if by[o][t] is not None) for o in (x, y))
+                norm = (sx * sy) ** 0.5
+                want[x, y] = len(both), None if norm and not dots else round(sum(dots) / norm, 9) + 0.0 if norm else 0.0
+    got = {(r["x"], r["y"]): (r["shared"], r["agree"] if r["agree"] is None else round(r["agree"], 9) + 0.0) for r in out.collect()}
+    assert {k: str(v) for k, v in got.items()} == {k: str(v) for k, v in want.items()} and want
