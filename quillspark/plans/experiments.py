@@ -310,11 +310,11 @@ def intra_list_diversity(spark, d):
 
 def list_diversity(spark, d, which: str) -> DataFrame:
     r = catalog(spark, d)
+    from quillspark.operators.assess import list_diversity as list_diversity_of
     from quillspark.operators.ranking import tag_sets
 
-    t = r.works.where(which).select("id", (F.col("id") % 20).alias("lst")).join(tag_sets(r.work_tags).withColumnRenamed("work_id", "id"), "id")
-    b = t.select("lst", F.col("id").alias("id2"), F.col("tags").alias("tags2"))
-    return t.join(b, "lst").where("id < id2").groupBy("lst").agg(F.round(F.avg(op.jaccard(F.col("tags"), F.col("tags2"))), 6).alias("mean_jaccard"), F.count("*").alias("pairs"))
+    t = op.apart(r.works.where(which).select("id", (F.col("id") % 20).alias("lst"))).join(op.apart(tag_sets(r.work_tags).withColumnRenamed("work_id", "id")), "id")
+    return list_diversity_of(t).withColumn("mean_jaccard", F.round("mean_jaccard", 6))
 
 
 @query()

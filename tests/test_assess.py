@@ -154,3 +154,18 @@ def test_popular_lists_skip_what_is_known(spark):
         want = [held.get((u, i), False) for i in order if held.get((u, i)) is not False][:10]
         assert [got[u][p] for p in sorted(got[u])] == want and sorted(got[u]) == list(range(1, len(want) + 1))
     assert 4 not in got
+
+
+def test_list_diversity_without_pairs(spark):
+    """Small, large, equal and empty sets against every pair; small sets alone are never joined."""
+    from itertools import combinations
+
+    from quillspark.operators import assess
+
+    sets = {i: sorted({f"t{(i * k) % 7}" for k in range(1 + i % 4)} | ({f"u{k}" for k in range(i % 3 + 3)} if i % 5 == 0 else set())) for i in range(40)} | {40: [], 41: [], 99: ["z"]}
+    listed = spark.createDataFrame([(1 if i == 99 else 0, i, t) for i, t in sets.items()], "lst long, id long, tags array<string>")
+    pairs = list(combinations([set(t) for i, t in sets.items() if i != 99], 2))
+    want = sum(len(a & b) / len(a | b) if a | b else 0 for a, b in pairs) / len(pairs)
+    for most in (3, 8):
+        (row,) = assess.list_diversity(listed, most).collect()
+        assert row["lst"] == 0 and row["pairs"] == len(pairs) and abs(row["mean_jaccard"] - want) < 1e-12
