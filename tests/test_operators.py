@@ -74,6 +74,17 @@ def test_signals_skip_rather_than_score_zero(works, tags, spark):
     assert rk.degraded(works, {"y": works.where("id = 9").select("id", F.lit(1.0).alias("value"))}).first()["signal"] == "y"
 
 
+def test_signals_of_no_weight_are_not_run(works, spark):
+    def trained():
+        raise AssertionError("it has no weight")
+
+    opinion = works.where("id = 1").select("id", F.lit(0.5).alias("value"))
+    got = rk.compose(works, {"x": opinion, "y": works.where("id < 3").select("id", F.lit(1.0).alias("value")), "z": trained}, {"x": 1.0, "y": 0.0, "z": 0.0})
+    assert [(r["id"], r["score"], [e["signal"] for e in r["evidence"]]) for r in got.collect()] == [(1, 0.5, ["x"])]
+    assert rk.compose(works, {"x": lambda: opinion}, {"x": 2.0}).collect()[0]["score"] == 1.0
+    assert rk.compose(works, {"z": trained}, {"z": 0.0}).collect() == []
+
+
 def test_tunes():
     tune, unknown = rk.retuned({"quality": 2.0, "nope": 1.0})
     assert tune["quality"] == 2.0 and unknown == ["nope"]

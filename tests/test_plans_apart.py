@@ -4,6 +4,8 @@ import pytest
 
 from quillspark.operators import ranking as rk
 from quillspark.plans import catalogue
+from quillspark.plans import ranking as plans
+from quillspark.sources.tables import Roles, catalog
 
 
 def broadcasts(df):
@@ -32,6 +34,26 @@ def test_works_are_not_broadcast(name, spark, sf):
     assert not [s for s in sides if "work_id" in s]
 
 
+def test_recommend_trains_nothing_without_a_weight(spark, sf, monkeypatch):
+    def trained(*a, **k):
+        raise AssertionError("the latent signal has no weight")
+
+    monkeypatch.setattr(plans.learning, "als_factors", trained)
+    assert [r["place"] for r in catalogue.queries()["recommend"](spark, sf).orderBy("place").collect()] == list(range(1, 21))
+
+
+def test_signals_of_some_works_are_those_of_all(spark, sf):
+    """Signals made for a part of the works, seeds among them, are what signals for all works say of these."""
+    r = catalog(spark, sf)
+    first = plans.seeds(r.works)
+    ids = r.works.where("id % 3 = 0").select("id").union(first).distinct()
+    own = Roles(r.works.join(ids, "id", "left_semi"), r.work_tags.join(ids.withColumnRenamed("id", "work_id"), "work_id", "left_semi"), r.interactions)
+    vectors = plans.tag_vectors(spark, sf, r.work_tags)
+    some, every = (rk.compose(ids, plans.all_signals(r, vectors, first, of), rk.DEFAULT_TUNE).collect() for of in (own, r))
+    flat = lambda rows: {x["id"]: [round(x["score"], 9), sorted((e["signal"], round(e["value"], 9)) for e in x["evidence"])] for x in rows}
+    assert flat(some) == flat(every) and len(some) == ids.count()
+
+
 def test_mean_vectors_of_odd_shapes(spark):
     """Vectors with nulls or of other widths: each place is the mean of what stands there, as by one row a place."""
     tags = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (1, "b", "x"), (2, "b", "x"), (2, "c", "x"), (3, "d", "x"), (4, "e", "x")], "work_id long, tag string, tag_type string")
