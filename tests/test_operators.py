@@ -1,7 +1,10 @@
 """Operators on small hand-made relations: boundaries, ties, nulls and skips."""
 
+import duckdb
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import scoring as fn
@@ -11,6 +14,7 @@ from quillspark.operators import learning as ml
 from quillspark.operators import ranking as rk
 from quillspark.operators import related as rel
 from quillspark.operators import upkeep as up
+from quillspark.plans import catalogue
 from quillspark.sources import html as ht
 from quillspark.sources.tables import ShapeError, assert_shape
 
@@ -214,3 +218,40 @@ def test_agreement_meets_blocks(spark, literal):
                 want[x, y] = len(both), None if norm and not dots else round(sum(dots) / norm, 9) + 0.0 if norm else 0.0
     got = {(r["x"], r["y"]): (r["shared"], r["agree"] if r["agree"] is None else round(r["agree"], 9) + 0.0) for r in out.collect()}
     assert {k: str(v) for k, v in got.items()} == {k: str(v) for k, v in want.items()} and want
+
+
+def pairwise(vectors, query, k, least):
+    """nearest with a row for every pair."""
+    met = vectors.join(query, F.size("v") == F.size("qv")).where("id <> query_id").withColumn("sim", F.round(fn.cosine(F.col("v"), F.col("qv")), 9))
+    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
+    return met.where(F.col("sim") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "sim", "rank")
+
+
+@pytest.mark.parametrize("least", [0.1, -1.0])
+def test_nearest_meets_blocks(spark, least):
+    """Copies, near copies, ties of scaled vectors, zeros, nulls, NaN, infinities, tiny norms, other widths and null ids."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(300, 6)).astype(np.float32).tolist()
+    odd = [None, [], [0.0] * 6, [None, *[1.0] * 5], [float("nan")] * 6, [float("inf"), *[1.0] * 5], [1e-38] * 6, [1.0, 2.0], [2.0, 1.0], [-1.0, 0.5]]
+    rows = [*base, *([base[0]] * 40), *([2 * x for x in base[1]] for _ in range(15)), *([x + 1e-7 for x in base[2]] for _ in range(15)), *odd * 2]
+    v = spark.createDataFrame([*enumerate(rows), (None, base[3])], "id long, v array<float>").repartition(3)
+    q = v.where("id % 7 = 0 or id >= 370").select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    got, want = (sorted(map(repr, f(v, q, 5, least).collect())) for f in (op.nearest, pairwise))
+    assert got == want and len(want) > 300
+    assert op.nearest(v, q.where("false"), 5, least).count() == 0
+
+
+def test_nearest_makes_no_row_for_a_pair(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    plan = op.nearest(v, v.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), 10, 0.1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_nearest_vectors_rounds_as_its_sql(spark, tmp_path):
+    """0.5047875 is 0.504787 as a double: its sixth place is rounded down."""
+    near = [0.5047875, (1 - 0.5047875**2) ** 0.5]
+    spark.createDataFrame([(0, [1.0, 0.0], 0), (1, near, 0)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sql = catalogue.oracle_sql()["nearest_vectors"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    sql = sql.replace(f"'{tmp_path}/embeddings.parquet/*.parquet', q", f"'{tmp_path}/embeddings.parquet/*.parquet' AS embeddings, q")
+    got = catalogue.queries()["nearest_vectors"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == duckdb.connect().sql(sql).fetchall() == [(0, 1, 0.504787, 1)]
