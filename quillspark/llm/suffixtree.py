@@ -44,34 +44,34 @@ def symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Symbols of each text, runs of space as one blank and none at the ends, then its end: (symbols, offsets)."""
     n = len(offs) - 1
     start, end, doc = bk.words(data, offs, ~bk.SPACE)
-    size = end - start
-    first = np.ones(len(start), bool)
-    first[1:] = doc[1:] != doc[:-1]
-    at = bk.per_text(doc, n)
-    gap = size + ~first  # each word but a text's first brings a blank
-    per = np.bincount(doc, gap, n).astype(np.int64) + 1
+    later = np.zeros(len(start), bool)
+    later[1:] = doc[1:] == doc[:-1]  # each word but a text's first brings a blank, the space before it
     out_offs = np.zeros(n + 1, np.int64)
-    np.cumsum(per, out=out_offs[1:])
-    out = np.full(out_offs[-1], BLANK, np.uint8)
-    upto = np.cumsum(gap)
-    before = upto - gap - np.repeat((upto - gap)[at[:-1][np.diff(at) > 0]], np.diff(at)[np.diff(at) > 0])
-    to = out_offs[doc] + before + ~first
-    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    out[np.repeat(to, size) + inner] = data[np.repeat(start, size) + inner]
-    out[out_offs[1:] - 1] = END
+    np.cumsum(np.bincount(doc, end - start + later, n).astype(np.int64) + 1, out=out_offs[1:])
+    kept = ~bk.SPACE[data]
+    kept[start[later] - 1] = True
+    inner = data[kept]
+    inner[bk.SPACE[inner]] = BLANK
+    out, place = np.full(out_offs[-1], END, np.uint8), np.ones(out_offs[-1], bool)
+    place[out_offs[1:] - 1] = False
+    out[place] = inner
     return out, out_offs
 
 
 def coded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(string of context and symbol at every place, offsets of the texts). A text's history begins with ends."""
     s, o = symbols(bk.LOWER[data], offs)
-    at = np.arange(len(s)) + DEPTH * (np.repeat(np.arange(len(o) - 1), np.diff(o)) + 1)
-    p = np.full(len(s) + DEPTH * (len(o) - 1), END, np.int64)
-    p[at] = s
-    two = p[1:] << 8 | p[:-1]
-    four = two[2:] << 16 | two[:-2]
-    six = four[2:] << 16 | two[:-4]
-    return six[at - DEPTH] << 8 | s, o
+    n = len(o) - 1
+    place = np.ones(len(s) + DEPTH * n, bool)
+    place[(o[:-1, None] + DEPTH * np.arange(n)[:, None] + np.arange(DEPTH)).ravel()] = False
+    p = np.full(len(place) + 8, END, np.uint8)
+    p[:-8][place] = s
+    # eight bytes from every place on as one integer: the lower six are the context of the symbol six places on, oldest symbol lowest
+    code = np.ndarray(max(0, len(place) - DEPTH), "<i8", p, strides=(1,))[place[DEPTH:]]
+    code &= (1 << 8 * DEPTH) - 1
+    code <<= 8
+    code |= s
+    return code, o
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -99,8 +99,15 @@ def _pack(*columns: np.ndarray) -> list[bytes]:
     return [_packed(c) for c in columns]
 
 
+def _new(sorted_: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    new = np.ones(len(sorted_), bool)
+    np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:])
+    return new
+
+
 def _distinct(sorted_: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(sorted_) else np.zeros(0, np.int64)
+    return np.flatnonzero(_new(sorted_))
 
 
 TEXTS = "grp long, texts binary"
@@ -110,52 +117,70 @@ _CODES = pa.schema([("grp", pa.int64()), ("bucket", pa.int64()), ("codes", pa.bi
 
 def _by_bucket(code: np.ndarray, times: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, list[bytes], list[bytes]]:
     """(buckets, codes, times) with the codes of a bucket in one blob, in their order."""
-    order = np.argsort(to, kind="stable")
-    to, code, times = to[order], code[order], times[order]
-    cut = _distinct(to)
-    parts = list(zip(np.split(code, cut[1:]), np.split(times, cut[1:]))) if len(cut) else []
-    return to[cut], _pack(*(c for c, _ in parts)), _pack(*(t for _, t in parts))
+    order, size = np.argsort(to, kind="stable"), np.bincount(to)
+    parts = [order[end - n : end] for n, end in zip(size, np.cumsum(size)) if n]
+    return np.flatnonzero(size), _pack(*(code[p] for p in parts)), _pack(*(times[p].astype(np.int64) for p in parts))
 
 
-def _remainder(x: np.ndarray, buckets: int) -> np.ndarray:
-    return (bk.mix(x.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+def _remainder(x: np.ndarray, buckets: int, shift: int = 0) -> np.ndarray:
+    out = np.empty(len(x), np.int16)  # BUCKETS fits; numpy sorts it by radix
+    for k in range(0, len(x), 1 << 18):
+        out[k : k + (1 << 18)] = bk.mix((x[k : k + (1 << 18)] >> shift).view(np.uint64)) % np.uint64(buckets)
+    return out
 
 
-class _Filled:
-    """Arrays one after the other in one of known room, so that a group's strings are never held twice."""
+def _string_bucket(code: np.ndarray, buckets: int) -> np.ndarray:
+    return _remainder(code, buckets, 32)
 
-    def __init__(self, room: int):
-        self.all, self.n = np.empty(room, np.int64), 0
 
-    def add(self, x: np.ndarray) -> None:
-        self.all[self.n : self.n + len(x)] = x
-        self.n += len(x)
+def _tallied(code: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct strings in order, how often each was seen in training)."""
+    seen = code << 1  # strings have 56 bits
+    seen |= held
+    seen.sort()
+    learnt = (seen & 1) == 0
+    seen >>= 1
+    first = _distinct(seen)
+    return seen[first], np.add.reduceat(learnt, first, dtype=np.int32)
 
-    def take(self) -> np.ndarray:
-        found, self.all = self.all[: self.n], None
-        return found
 
+def _ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values in order, of each place the rank of its value)."""
+    order = np.argsort(x)
+    x = x[order]
+    new = _new(x)
+    at = np.empty(len(x), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    return x[new], at
 
-def _room(rows: pa.RecordBatch) -> int:
-    """More than the symbols of its texts."""
-    return rows.column(2).nbytes + len(rows)
 
+def _union(kinds: list[np.ndarray]) -> np.ndarray:
+    """The distinct values of a group in order, from those of its slices."""
+    x = np.concatenate([np.zeros(0, np.int64), *kinds])
+    x.sort()
+    return x[_new(x)]
 
-def _counted(strings: _Filled, pieces: list[tuple[np.ndarray, ...]], buckets: int) -> tuple[np.ndarray, list[bytes], list[bytes]]:
-    """A group's distinct strings and (in the second half of the buckets) words, and how often each was seen in training."""
-    seen = strings.take()
-    seen.sort()
-    learnt = (seen & 1) == 0
-    seen >>= 1
-    first = _distinct(seen)
-    code = seen[first]
-    del seen
-    strings = _by_bucket(code, np.add.reduceat(learnt, first, dtype=np.int64), _remainder(code >> 32, buckets))
-    del code, learnt, first
-    word, at = np.unique(np.concatenate([p[0] for p in pieces]), return_inverse=True)
-    times = np.bincount(at, np.concatenate([p[1] for p in pieces]), len(word)).astype(np.int64)
-    words = _by_bucket(word, times, buckets + _remainder(word, buckets))
-    return np.concatenate([strings[0], words[0]]), strings[1] + words[1], strings[2] + words[2]
+
+def _sums(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The tallies of a group from those of its slices, which are let go."""
+    code = _union([x for x, _ in pieces])
+    times = np.zeros(len(code), np.int32)
+    while pieces:
+        x, c = pieces.pop()
+        times[np.searchsorted(code, x)] += c
+    return code, times
+
+
+def _slices(batches):
+    """(slice of rows, strings, offsets of the texts, words, text of each word) of a group's rows.
+
+    A group's strings never stand in one array: what is kept of a slice is its distinct ones, and of each place which it has.
+    """
+    for rows in batches:
+        for lo, hi, data, offs, _ in bk.slices(rows.column(2)):
+            code, o = coded(data, offs)
+            h, _, _, doc = bk.word_hashes(bk.LOWER[data], offs, ~bk.SPACE)
+            yield rows.slice(lo, hi - lo), code, o, h.view(np.int64), doc
 
 
 def _groups(batches):
@@ -184,20 +209,24 @@ def _groups(batches):
 
 
 def _count(buckets: int):
+    """A group's distinct strings and (in the second half of the buckets) words, and how often each was seen in training."""
+
     def run(batches):
         for b in batches:
             for k in range(len(b)):
-                texts, pieces = list(pa.ipc.open_stream(b.column(1)[k].as_buffer())), []
-                strings = _Filled(sum(map(_room, texts)))
-                for rows in texts:
-                    for _, _, data, offs, _ in bk.slices(rows.column(2), 1 << 60):
-                        held = np.asarray(rows.column(1))
-                        code, o = coded(data, offs)
-                        h, _, _, doc = bk.word_hashes(bk.LOWER[data], offs, ~bk.SPACE)
-                        strings.add(code << 1 | np.repeat(held, np.diff(o)))
-                        pieces.append((h.view(np.int64), ~held[doc]))
-                to, codes, times = _counted(strings, pieces, buckets)
-                yield pa.record_batch([pa.array([b.column(0)[k].as_py()] * len(to), pa.int64()), pa.array(to), pa.array(codes, pa.binary()), pa.array(times, pa.binary())], names=["grp", "bucket", "codes", "counts"])
+                strings, words = [], []
+                for rows, code, o, word, doc in _slices(pa.ipc.open_stream(b.column(1)[k].as_buffer())):
+                    held = np.asarray(rows.column(1))
+                    strings.append(_tallied(code, np.repeat(held, np.diff(o))))
+                    kind, at = _ranked(word)
+                    words.append((kind, np.bincount(at[~held[doc]], minlength=len(kind)).astype(np.int32)))
+                code, c = _sums(strings)
+                to, codes, times = _by_bucket(code, c, _string_bucket(code, buckets))
+                del code
+                word, c = _sums(words)
+                of, kinds, seen = _by_bucket(word, c, _remainder(word, buckets))
+                to = np.concatenate([to, buckets + of])
+                yield pa.record_batch([pa.array([b.column(0)[k].as_py()] * len(to), pa.int64()), pa.array(to), pa.array(codes + kinds, pa.binary()), pa.array(times + seen, pa.binary())], names=["grp", "bucket", "codes", "counts"])
 
     return run
 
@@ -337,20 +366,14 @@ def _answer(low, buckets: int):
 SCORED = "id long, held_out boolean, n long, n_known long, part double, score double"
 
 
-def _told(strings: _Filled, to, found: np.ndarray) -> np.ndarray:
-    """What was found for each string; distinct ones were asked by bucket, then by code."""
-    code = strings.take()
-    order = np.argsort(code)
-    code = code[order]
-    new = np.append(True, code[1:] != code[:-1])[: len(code)]
-    code = code[new]
-    rank = np.cumsum(new, dtype=np.int32)
-    at = np.empty(len(order), np.int32)
-    at[order] = rank
-    del order, rank, new
+def _told(pieces: list[tuple[np.ndarray, np.ndarray]], to, found: np.ndarray):
+    """What was found for each place, slice by slice, which are let go; distinct values were asked by bucket, then by code."""
+    code = _union([x for x, _ in pieces])
     by_code = np.empty_like(found)
     by_code[np.argsort(to(code), kind="stable")] = found
-    return by_code[at - 1]
+    for k, (x, at) in enumerate(pieces):
+        pieces[k] = None
+        yield by_code[np.searchsorted(code, x)][at]
 
 
 def _score(buckets: int):
@@ -358,32 +381,26 @@ def _score(buckets: int):
     kinds = {"id": pa.int64(), "held_out": pa.bool_(), "n": pa.int64(), "n_known": pa.int64(), "part": pa.float64(), "score": pa.float64()}
 
     def run(key, packed, answers):
-        rows = [x for chunk in packed.column("texts").chunks for blob in chunk for x in pa.ipc.open_stream(blob.as_buffer())]
-        if not rows:
+        strings, words, parts = [], [], []
+        for blob in (x for chunk in packed.column("texts").chunks for x in chunk):
+            for rows, code, o, word, doc in _slices(pa.ipc.open_stream(blob.as_buffer())):
+                strings.append(_ranked(code))
+                words.append(_ranked(word))
+                parts.append((rows.column(0), rows.column(1), o[:-1], doc.astype(np.int32)))
+        if not parts:
             return pa.schema(kinds.items()).empty_table()
-        strings, words, parts = _Filled(sum(map(_room, rows))), _Filled(sum(map(_room, rows))), []
-        for k, batch in enumerate(rows):
-            for _, _, data, offs, _ in bk.slices(batch.column(2), 1 << 60):
-                code, o = coded(data, offs)
-                h, _, _, doc = bk.word_hashes(bk.LOWER[data], offs, ~bk.SPACE)
-                strings.add(code)
-                words.add(h.view(np.int64))
-                parts.append((len(code), o, len(h), doc))
-            rows[k] = batch.select(["id", "held_out"])
         answers = answers.sort_by("bucket")
         near = pc.less(answers.column("bucket"), buckets)
         logs = np.concatenate([np.zeros(0, np.float32), *_blobs(answers.filter(near), "found", np.float32)])
-        logs = _told(strings, lambda c: _remainder(c >> 32, buckets), logs)
         count = np.concatenate([np.zeros(0, np.int64), *_blobs(answers.filter(pc.invert(near)), "found")])
+        logs = _told(strings, lambda c: _string_bucket(c, buckets), logs)
         count = _told(words, lambda c: _remainder(c, buckets), count)
-        out, done, seen = [], 0, 0
-        for (symbols_, o, words_, doc), own in zip(parts, rows):
+        out = []
+        for (own, held, begin, doc), p, c in zip(parts, logs, count):
             n = len(own)
-            score = np.add.reduceat(logs[done : done + symbols_].astype(np.float64), o[:-1])
-            c = count[seen : seen + words_]
-            done, seen = done + symbols_, seen + words_
+            score = np.add.reduceat(p.astype(np.float64), begin)
             new = [np.bincount(doc, minlength=n), np.bincount(doc, c > 0, n).astype(np.int64), np.bincount(doc, np.log10(c + 0.5), n), score]
-            out.append(pa.Table.from_arrays([own.column("id"), own.column("held_out"), *map(pa.array, new)], schema=pa.schema(kinds.items())))
+            out.append(pa.Table.from_arrays([own, held, *map(pa.array, new)], schema=pa.schema(kinds.items())))
         return pa.concat_tables(out)
 
     return run

@@ -2,8 +2,10 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import pytest
 
@@ -100,3 +102,44 @@ def test_texts_that_all_are_held_out(spark):
     ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
     got = st.suffix_tree_scores(spark.createDataFrame([(i, "Ab c") for i in ids], "doc_id long, text string")).collect()
     assert all(math.isclose(r["score"], 5 * math.log10(1 / 252), rel_tol=1e-6) and r["train_tokens"] == 0 for r in got)
+
+
+def test_strings_of_odd_texts():
+    import numpy as np
+
+    texts = [b"", b" \t ", b"a", b"  Ab\n\x00c  ", b"x\x0b\x0cy", "\u00e9 \u4f60\u597d".encode(), b"", b"long words and  blanks "]
+    want = []
+    for t in texts:
+        s = b"\n" * st.DEPTH + b" ".join(re.findall(rb"[^\x20\x09-\x0D]+", t.lower())) + b"\n"
+        want.append([int.from_bytes(s[at - st.DEPTH : at][::-1] + s[at : at + 1], "big") for at in range(st.DEPTH, len(s))])
+    code, o = st.coded(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert [code[i:j].tolist() for i, j in zip(o, o[1:])] == want
+
+
+def test_memory_of_a_group(monkeypatch):
+    """The arrays of a whole group take at most 16 bytes for each byte of its text while it is counted, and 24 while it is scored."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(st, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"])
+    held = pa.array([zlib.crc32(str(i).encode()) % 5 == 1 for i in texts.column(0).to_pylist()])
+    group = next(st._groups(pa.table([texts.column(0), held, texts.column(1).cast(pa.string())], names=["id", "held_out", "text"]).to_batches()))
+    size = sum(len(t) for b in pa.ipc.open_stream(group.column(1)[0].as_buffer()) for t in map(str.encode, b.column(2).to_pylist()))
+    assert size > st.GROUP_BYTES / 2
+
+    def peak(f):
+        tracemalloc.start()
+        try:
+            return f(), tracemalloc.get_traced_memory()[1] / size
+        finally:
+            tracemalloc.stop()
+
+    (counted,), took = peak(lambda: list(st._count(8)([group])))
+    assert took < 16
+    found = [np.ones(len(st._unpacked(c)), np.float32 if b < 8 else np.int64) for b, c in zip(counted.column(1).to_pylist(), counted.column(2))]
+    answers = pa.table([counted.column(0), counted.column(1), pa.array(st._pack(*found), pa.binary())], names=["grp", "bucket", "found"])
+    scored, took = peak(lambda: st._score(8)((pa.scalar(0),), pa.Table.from_batches([group]), answers))
+    assert took < 24
+    assert scored.column("n_known").equals(scored.column("n"))
