@@ -38,6 +38,7 @@ DEPTH, LOW, GAIN, LEAST = 6, 2, 8.0, 8
 GROUP_BYTES, BUCKET_BYTES, FAN, BUCKETS = 12 << 20, 16 << 20, 16, 4096
 BLANK, END = 32, 10  # white space other than a blank never stands in normalised text
 ALPHABET = 252  # bytes that aren't white space, the blank and the end
+COUNT = np.uint64  # of counts in blobs: they follow no order, so differences would only spoil their compression
 
 
 def symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +76,7 @@ def coded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """An array as bytes: differences of integers, their bytes by place, compressed."""
+    """An array as bytes: differences of int64 (other kinds as they are), their bytes by place, compressed."""
     y = np.diff(x, prepend=x.dtype.type(0)) if x.dtype == np.int64 else x
     planes = np.ascontiguousarray(np.ascontiguousarray(y).view(np.uint8).reshape(-1, y.itemsize).T)
     return len(x).to_bytes(8, "little") + (pa.Codec("zstd", 1).compress(planes, asbytes=True) if len(x) else b"")
@@ -119,7 +120,7 @@ def _by_bucket(code: np.ndarray, times: np.ndarray, to: np.ndarray) -> tuple[np.
     """(buckets, codes, times) with the codes of a bucket in one blob, in their order."""
     order, size = np.argsort(to, kind="stable"), np.bincount(to)
     parts = [order[end - n : end] for n, end in zip(size, np.cumsum(size)) if n]
-    return np.flatnonzero(size), _pack(*(code[p] for p in parts)), _pack(*(times[p].astype(np.int64) for p in parts))
+    return np.flatnonzero(size), _pack(*(code[p] for p in parts)), _pack(*(times[p].astype(COUNT) for p in parts))
 
 
 def _remainder(x: np.ndarray, buckets: int, shift: int = 0) -> np.ndarray:
@@ -233,7 +234,7 @@ def _count(buckets: int):
 
 def _merge(key, group):
     """The training counts of a bucket's groups in one."""
-    code, times = np.concatenate(_blobs(group, "codes")), np.concatenate(_blobs(group, "counts"))
+    code, times = np.concatenate(_blobs(group, "codes")), np.concatenate(_blobs(group, "counts", COUNT))
     code, times = code[times > 0], times[times > 0]
     order = np.argsort(code, kind="stable")  # runs that are sorted already merge
     code, times = code[order], times[order]
@@ -321,7 +322,7 @@ def _low(batches):
     """Counts of the strings with contexts of LOW symbols, by bucket."""
     for b in batches:
         for code, times in zip(b.column(2), b.column(3)):
-            code, times = _unpacked(code), _unpacked(times)
+            code, times = _unpacked(code), _unpacked(times, COUNT)
             pair, at = np.unique(context(code, LOW) << 8 | code & 255, return_inverse=True)
             yield pa.record_batch([pa.array(pair), pa.array(np.bincount(at, times, len(pair)).astype(np.int64))], names=["pair", "c"])
 
@@ -332,7 +333,7 @@ def _build(low, buckets: int):
     def run(batches):
         for b in batches:
             for k in range(len(b)):
-                code, times = (_unpacked(b.column(c)[k]) for c in (2, 3))
+                code, times = _unpacked(b.column(2)[k]), _unpacked(b.column(3)[k], COUNT)
                 words = b.column(1)[k].as_py() >= buckets
                 found = [(code, times)] if words else deep_levels(code, times, low.value)
                 seen, kinds, deepest = (int(times.sum()), len(code), 0) if words else (0, 0, len(found[-1][0]))
@@ -349,13 +350,13 @@ def _answer(low, buckets: int):
         words = key[0].as_py() >= buckets
         levels = [] if words else list(low.value)
         for parts in model.column("model") if len(model) else ():
-            arrays = [_unpacked(x, np.float64 if j % 2 and not words else np.int64) for j, x in enumerate(parts.values)]
+            arrays = [_unpacked(x, (COUNT if words else np.float64) if j % 2 else np.int64) for j, x in enumerate(parts.values)]
             levels += [tuple(arrays[j : j + 4]) for j in range(0, len(arrays), 4)]
         out = []
         for code in _blobs(asked, "codes"):
             if words:
                 at, hit = _find(levels[0][0], code) if levels else (None, np.zeros(len(code), bool))
-                out.append(np.where(hit, levels[0][1][at], 0) if hit.any() else np.zeros(len(code), np.int64))
+                out.append(np.where(hit, levels[0][1][at], COUNT(0)) if hit.any() else np.zeros(len(code), COUNT))
             else:
                 out.append(np.log10(probabilities(levels, code)).astype(np.float32))
         return pa.table([asked.column("grp"), asked.column("bucket"), pa.array(_pack(*out), pa.binary())], names=["grp", "bucket", "found"])
@@ -392,7 +393,7 @@ def _score(buckets: int):
         answers = answers.sort_by("bucket")
         near = pc.less(answers.column("bucket"), buckets)
         logs = np.concatenate([np.zeros(0, np.float32), *_blobs(answers.filter(near), "found", np.float32)])
-        count = np.concatenate([np.zeros(0, np.int64), *_blobs(answers.filter(pc.invert(near)), "found")])
+        count = np.concatenate([np.zeros(0, COUNT), *_blobs(answers.filter(pc.invert(near)), "found", COUNT)])
         logs = _told(strings, lambda c: _string_bucket(c, buckets), logs)
         count = _told(words, lambda c: _remainder(c, buckets), count)
         out = []

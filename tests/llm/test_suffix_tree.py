@@ -138,7 +138,9 @@ def test_memory_of_a_group(monkeypatch):
 
     (counted,), took = peak(lambda: list(st._count(8)([group])))
     assert took < 16
-    found = [np.ones(len(st._unpacked(c)), np.float32 if b < 8 else np.int64) for b, c in zip(counted.column(1).to_pylist(), counted.column(2))]
+    strings = counted.filter(pa.array([b < 8 for b in counted.column(1).to_pylist()]))
+    assert strings.column(3).nbytes < sum(len(st._unpacked(c)) for c in strings.column(2)), "a count takes less than a byte"
+    found = [np.ones(len(st._unpacked(c)), np.float32 if b < 8 else st.COUNT) for b, c in zip(counted.column(1).to_pylist(), counted.column(2))]
     answers = pa.table([counted.column(0), counted.column(1), pa.array(st._pack(*found), pa.binary())], names=["grp", "bucket", "found"])
     scored, took = peak(lambda: st._score(8)((pa.scalar(0),), pa.Table.from_batches([group]), answers))
     assert took < 24
