@@ -220,6 +220,29 @@ def test_agreement_meets_blocks(spark, literal):
     assert {k: str(v) for k, v in got.items()} == {k: str(v) for k, v in want.items()} and want
 
 
+@pytest.mark.parametrize("literal", [False, True])
+def test_agreement_copies_parts_not_rows(spark, literal):
+    """80 owners in blocks of two, so parts of several blocks: every pair is met once, and rows aren't copied for every block."""
+    rows = [(o, t, float((o * 7 + t * 3) % 11 - 5)) for o in range(80) for t in range(12)]
+    out = up.agreement(spark.createDataFrame(rows, "owner long, tag long, weight double"), 3, literal, block=2, digits=6)
+    w = np.zeros((80, 12))
+    for o, t, x in rows:
+        w[o, t] = x
+    cos = (w @ w.T) / np.sqrt((w * w).sum(1)[:, None] * (w * w).sum(1)[None, :])
+    got = {(r["x"], r["y"]): (r["shared"], r["agree"]) for r in out.collect()}
+    assert got.keys() == {(x, y) for x in range(80) for y in range(x + 1, 80)}
+    assert all(s == 12 and abs(a - cos[x, y]) < 1e-6 for (x, y), (s, a) in got.items())
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = lambda name: [k for k, line in enumerate(plan) if name in line]
+    assert len(at("FlatMapGroupsInArrow")) == 2 and at("FlatMapGroupsInArrow")[0] < at("Generate explode")[0] < at("FlatMapGroupsInArrow")[1]
+
+
+def test_rounding_as_spark(spark):
+    xs = [0.5047875, -0.5047875, 0.0000005, -0.0000005, 1e-9, -1e-9, -0.0, 0.1234565, 2.5e-6, 123456.7890125, 1e15 + 0.5, 1e300, float("nan"), float("inf"), -1.0, *(k / 2**7 / 1e4 for k in range(-300, 300))]
+    want = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(F.round("x", 6)).collect()]
+    assert list(map(repr, up._rounded(np.array(xs), 6).tolist())) == list(map(repr, want))
+
+
 def pairwise(vectors, query, k, least):
     """nearest with a row for every pair."""
     met = vectors.join(query, F.size("v") == F.size("qv")).where("id <> query_id").withColumn("sim", F.round(fn.cosine(F.col("v"), F.col("qv")), 9))
