@@ -176,7 +176,7 @@ POOL = """, st AS (SELECT DISTINCT tag FROM carried JOIN seeds ON work_id = seed
 def candidate_pool(spark, d):
     """Without vectors, which the twin has no word for; recommend runs it with them."""
     r = catalog(spark, d)
-    return pools.candidate_pool(r.works, r.work_tags, r.interactions, None, seeds(r.works), 200)
+    return pools.candidate_pool(r.works, r.work_tags, r.interactions, None, seeds(r.works), 200, fixed=True)
 
 
 @query()

@@ -62,6 +62,29 @@ def test_pool_reserves_places_for_readers(spark):
     assert [r["id"] for r in got] == [1, 2, 3, 4, 5, 6, 7, 30]
 
 
+def test_pool_gives_sources_what_is_left(spark):
+    """Few works by tags: readers and the walk fill all places, not only a reserve; the walk reserves none; one place is the tags'."""
+    works = spark.range(40)
+    tags = [(0, "t", "x"), (1, "t", "x"), (2, "t", "x"), *((i, "w", "x") for i in range(30, 36)), (99, "t", "x"), (98, "w", "x")]
+    tags = spark.createDataFrame(tags, "work_id long, tag string, tag_type string")
+    reads = spark.createDataFrame([(u, w) for u in (1, 2) for w in (0, 2, 20, 21, 22)], "user_id long, work_id long")
+    seed, mass = spark.createDataFrame([(0,)], "seed long"), spark.createDataFrame([("w", 0.1)], "tag string, mass double")
+    pool = lambda limit, **k: [(r["id"], r["source"]) for r in pools.candidate_pool(works, tags, reads, None, seed, limit, **k).orderBy("place").collect()]
+    assert pool(16) == [(1, 0), (2, 0), (20, 1), (21, 1), (22, 1)]
+    assert pool(8, mass=mass) == [(1, 0), (2, 0), (20, 1), (21, 1), (22, 1), (30, 2), (31, 2), (32, 2)]
+    assert pool(4, mass=mass) == [(1, 0), (2, 0), (20, 1), (30, 2)]  # 2 is asked of the readers again and not replaced
+    assert pool(1) == [(1, 0)]
+
+
+def test_near_tags_of_mean_centroids(spark):
+    """The centre is the mean of the seeds' means, not of all their tags; tags under a cosine of 0.25 aren't near."""
+    tags = spark.createDataFrame([(0, "a", "x"), (1, "b", "x"), (1, "c", "x"), (1, "d", "x")], "work_id long, tag string, tag_type string")
+    v = {"a": [1.0, 0.0], "b": [0.0, 1.0], "c": [0.0, 1.0], "d": [0.0, 0.0], "p": [1.0, 1.0], "q": [1.0, -0.7], "r": [1.0, -0.1], "z": [0.0, 0.0]}
+    vectors = spark.createDataFrame(list(v.items()), "tag string, v array<double>")
+    got = [(r["tag"], round(r["w"], 4)) for r in pools.near_tags(tags, vectors, spark.createDataFrame([(0,), (1,)], "seed long")).orderBy(F.desc("w")).collect()]
+    assert got == [("p", 1.0), ("r", 0.6332)]
+
+
 def test_latent_needs_a_seed_with_factors(spark):
     f = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [-1.0, 0.0])], "id long, features array<double>")
     got = {r["id"]: round(r["value"], 4) for r in pools.latent(f, spark.createDataFrame([(1,), (9,)], "seed long")).collect()}

@@ -42,6 +42,16 @@ def test_recommend_trains_nothing_without_a_weight(spark, sf, monkeypatch):
     assert [r["place"] for r in catalogue.queries()["recommend"](spark, sf).orderBy("place").collect()] == list(range(1, 21))
 
 
+def test_recommend_walks(spark, sf, monkeypatch):
+    """The walk is a source of the pool and a signal."""
+    seen = {}
+    pooled, composed = plans.pools.candidate_pool, plans.rk.compose
+    monkeypatch.setattr(plans.pools, "candidate_pool", lambda *a, **k: seen.update(mass=k.get("mass")) or pooled(*a, **k))
+    monkeypatch.setattr(plans.rk, "compose", lambda c, signals, tune: seen.update(walk=signals.get("walk")) or composed(c, signals, tune))
+    catalogue.queries()["recommend"](spark, sf)
+    assert seen["mass"].count() > 0 and seen["walk"].count() > 0
+
+
 def test_signals_of_some_works_are_those_of_all(spark, sf):
     """Signals made for a part of the works, seeds among them, are what signals for all works say of these."""
     r = catalog(spark, sf)
